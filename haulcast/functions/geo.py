@@ -12,13 +12,24 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL text of ``haversine_km`` over column names."""
+    a = (
+        f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1}))"
+        f" * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)"
+    )
+    # rounding can push antipodal points just above 1
+    return f"({2 * EARTH_RADIUS_KM}D * asin(sqrt(CASE WHEN {a} > 1 THEN 1D ELSE {a} END)))"
+
+
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in km between two points given in degrees."""
+    """Great-circle distance in km between two points given in degrees (names or columns)."""
+    if all(isinstance(c, str) for c in (lat1, lon1, lat2, lon2)):
+        return F.expr(haversine_sql(lat1, lon1, lat2, lon2))
     lat1, lon1, lat2, lon2 = (F.radians(_col(c)) for c in (lat1, lon1, lat2, lon2))
     sin_lat = F.sin((lat2 - lat1) / 2)
     sin_lon = F.sin((lon2 - lon1) / 2)
     a = sin_lat * sin_lat + F.cos(lat1) * F.cos(lat2) * sin_lon * sin_lon
-    # rounding can push antipodal points just above 1; least() would skip a null
     safe = F.when(a > 1.0, F.lit(1.0)).otherwise(a)
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(safe))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, outside, parse_number, parse_time, round_half_up
 from ..schema import REQUIRED_COLUMNS, SEQUENCE_BLOCK
+from .scan import attach
 
 
 def missing_columns(df: DataFrame) -> DataFrame:
@@ -145,8 +146,7 @@ def adjacent_duplicates(raw: DataFrame, block_rows: int = 1_000_000) -> DataFram
     carried = ends.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_carried"))
     before = F.lag(content).over(Window.partitionBy("_block").orderBy("event_seq"))
     return (
-        rows.withColumn("_before", before)
-        .join(carried, "_block")
+        attach(rows.withColumn("_before", before), carried, ["_block"])
         .where(F.coalesce(F.col("_before"), F.col("_carried")) == content)
         .select("event_seq", "VIN", "Timestamp", "Latitude", "Longitude")
     )
@@ -173,8 +173,7 @@ def out_of_order(raw: DataFrame, block_rows: int = SEQUENCE_BLOCK) -> DataFrame:
     )
     before = F.lag("_us").over(Window.partitionBy("VIN", "_block").orderBy("event_seq"))
     return (
-        rows.withColumn("_before", before)
-        .join(carried, ["VIN", "_block"])
+        attach(rows.withColumn("_before", before), carried, ["VIN", "_block"])
         .withColumn("previous_us", F.coalesce("_before", "_carried"))
         .where(F.col("_us") < F.col("previous_us"))
         .select("VIN", "event_seq", F.col("_us").alias("ts_us"), "previous_us")

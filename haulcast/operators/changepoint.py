@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHANGE_MIN_PINGS, CHANGE_MIN_SIZE, CHANGE_PENALTY, FLAT_STD
-from .scan import NO_TIME, running_totals
+from .scan import NO_TIME, attach, running_totals
 from .trips import effective_speed
 
 METHODS = ("pelt", "binseg")
@@ -252,8 +252,6 @@ def best_first_split(scanned: DataFrame, min_size: int = CHANGE_MIN_SIZE) -> Dat
     totals = rows.groupBy("VIN", "trip_local", "chunk").agg(
         F.sum("sp").alias("b1"), F.sum(F.col("sp") * F.col("sp")).alias("b2")
     )
-    from pyspark.sql import Window
-
     whole = Window.partitionBy("VIN", "trip_local")
     totals = totals.select(
         "VIN",
@@ -272,7 +270,7 @@ def best_first_split(scanned: DataFrame, min_size: int = CHANGE_MIN_SIZE) -> Dat
     gain = F.round(whole_cost - left - right, 6)
     flat = whole_cost / F.col("_n") < FLAT_STD * FLAT_STD
     return (
-        summed.join(totals, ["VIN", "trip_local", "chunk"])
+        attach(summed, totals, ["VIN", "trip_local", "chunk"])
         .where((F.col("_n") >= CHANGE_MIN_PINGS) & (cut >= min_size) & (rest >= min_size) & ~flat)
         .groupBy("VIN", "trip_local")
         .agg(F.max(F.struct(gain.alias("gain"), cut.alias("position"))).alias("s"))

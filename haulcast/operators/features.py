@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,29 +17,23 @@ from ..schema import (
     ROLLING_PINGS,
     STOP_SPEED_MPH,
 )
-from .scan import NO_TIME, with_time_chunk
+from .scan import NO_TIME, attach, with_time_chunk
 from .trips import ORDER, effective_speed
 
 TRIP_KEY = ("VIN", "trip_local")
 _BACK = ROLLING_PINGS - 1  # earlier pings a rolling statistic looks at
 
 
-def smoothed_is_low(*speeds: Column) -> Column:
-    """1 where the mean of the present ``speeds`` is below the load threshold, else 0."""
-    return (F.round(mean_present(speeds), 9) < LOAD_SPEED_MPH).cast("int")
+def is_low(mean: str) -> str:
+    """SQL: 1 where a mean speed is below the load threshold, else 0."""
+    return f"cast(round({mean}, 9) < {LOAD_SPEED_MPH} AS int)"
 
 
-def raw_is_low(speed: Column) -> Column:
-    return (speed < LOAD_SPEED_MPH).cast("int")
-
-
-def count_present(values: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
-
-
-def mean_present(values: Sequence[Column]) -> Column:
-    total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
-    return total / count_present(values)
+def mean_of(middle: str, *neighbours: str) -> str:
+    """SQL: mean of a speed and those of its neighbours that exist."""
+    total = " + ".join([middle, *[f"coalesce({c}, 0D)" for c in neighbours]])
+    count = " + ".join(["1", *[f"int({c} IS NOT NULL)" for c in neighbours]])
+    return f"(({total}) / ({count}))"
 
 
 def _local_columns(trips: DataFrame, group: list[str], stop_mph: float) -> DataFrame:
@@ -71,13 +64,12 @@ def _local_columns(trips: DataFrame, group: list[str], stop_mph: float) -> DataF
 
 def _pieces(local: DataFrame, group: list[str]) -> DataFrame:
     """One summary row per (trip, chunk), by aggregation on the existing partitioning."""
-    head, tail = F.col("_idx") == 0, F.col("_tail")
-    inner = F.col("_n1").isNotNull()
-    here = smoothed_is_low(F.col("_l1"), F.col("_sp"), F.col("_n1"))
-    before = smoothed_is_low(F.col("_l2"), F.col("_l1"), F.col("_sp"))
+    head, tail, inner = "_idx = 0", "_tail", "_n1 IS NOT NULL"
+    here = is_low("(_l1 + _sp + _n1) / 3")
+    before = is_low("(_l2 + _l1 + _sp) / 3")
 
-    def at(where: Column, value) -> Column:
-        return F.max(F.when(where, value))
+    def at(where: str, value: str) -> Column:
+        return F.expr(f"max(CASE WHEN {where} THEN {value} END)")
 
     return local.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -86,20 +78,20 @@ def _pieces(local: DataFrame, group: list[str]) -> DataFrame:
         F.max("_sp").alias("max_sp"),
         F.max("_lmv").alias("moving"),
         F.sum("_step").alias("km"),
-        at(head, F.col("_sp")).alias("sp_first"),
-        at(head, F.col("_n1")).alias("sp_second"),
-        at(head, F.col("Latitude")).alias("lat_first"),
-        at(head, F.col("Longitude")).alias("lon_first"),
-        at(tail, F.col("Latitude")).alias("lat_last"),
-        at(tail, F.col("Longitude")).alias("lon_last"),
-        at(tail, F.col("_lat_seen")).alias("lat_seen"),
-        at(tail, F.col("_lon_seen")).alias("lon_seen"),
-        at(tail, F.col("_sp")).alias("tail1"),
-        *[at(tail, F.col(f"_l{k}")).alias(f"tail{k + 1}") for k in range(1, _BACK)],
+        at(head, "_sp").alias("sp_first"),
+        at(head, "_n1").alias("sp_second"),
+        at(head, "Latitude").alias("lat_first"),
+        at(head, "Longitude").alias("lon_first"),
+        at(tail, "Latitude").alias("lat_last"),
+        at(tail, "Longitude").alias("lon_last"),
+        at(tail, "_lat_seen").alias("lat_seen"),
+        at(tail, "_lon_seen").alias("lon_seen"),
+        at(tail, "_sp").alias("tail1"),
+        *[at(tail, f"_l{k}").alias(f"tail{k + 1}") for k in range(1, _BACK)],
         # load states whose three pings all lie inside the piece
-        at((F.col("_idx") == 1) & inner, here).alias("state_second"),
-        at(tail & (F.col("_idx") >= 2), before).alias("state_penult"),
-        F.sum(((F.col("_idx") >= 2) & inner & (here != before)).cast("long")).alias("inner_changes"),
+        at(f"_idx = 1 AND {inner}", here).alias("state_second"),
+        at(f"{tail} AND _idx >= 2", before).alias("state_penult"),
+        F.expr(f"count_if(_idx >= 2 AND {inner} AND {here} <> {before})").alias("inner_changes"),
     )
 
 
@@ -144,28 +136,25 @@ def _carries(pieces: DataFrame, key: Sequence[str], group: list[str]) -> DataFra
         }
     )
     # load changes: states at the two ends of a piece depend on the neighbouring pieces
-    short = F.col("t_n") < LOAD_WINDOW_PINGS
-    single = F.col("n") == 1
-    first_next = F.when(single, F.col("n_sp")).otherwise(F.col("sp_second"))
-    last_prev = F.when(single, F.col("p_sp")).otherwise(F.col("tail2"))
+    def end_state(speed: str, *neighbours: str) -> Column:
+        low = f"cast({speed} < {LOAD_SPEED_MPH} AS int)"
+        smoothed = is_low(mean_of(speed, *neighbours))
+        return F.expr(f"CASE WHEN t_n < {LOAD_WINDOW_PINGS} THEN {low} ELSE {smoothed} END")
+
     df = df.withColumns(
         {
-            "s_first": F.when(short, raw_is_low(F.col("sp_first"))).otherwise(
-                smoothed_is_low(F.col("p_sp"), F.col("sp_first"), first_next)
-            ),
-            "s_last": F.when(short, raw_is_low(F.col("tail1"))).otherwise(
-                smoothed_is_low(last_prev, F.col("tail1"), F.col("n_sp"))
-            ),
+            "_next": F.expr("CASE WHEN n = 1 THEN n_sp ELSE sp_second END"),
+            "_prev": F.expr("CASE WHEN n = 1 THEN p_sp ELSE tail2 END"),
+        }
+    ).withColumns(
+        {
+            "s_first": end_state("sp_first", "p_sp", "_next"),
+            "s_last": end_state("tail1", "_prev", "n_sp"),
         }
     )
-    inside = (
-        F.when(single, zero)
-        .when(F.col("n") == 2, (F.col("s_first") != F.col("s_last")).cast("long"))
-        .otherwise(
-            F.col("inner_changes")
-            + (F.col("s_first") != F.col("state_second")).cast("long")
-            + (F.col("state_penult") != F.col("s_last")).cast("long")
-        )
+    inside = F.expr(
+        """CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN int(s_first <> s_last)
+        ELSE inner_changes + int(s_first <> state_second) + int(state_penult <> s_last) END"""
     )
     across = F.coalesce((F.lag("s_last").over(w) != F.col("s_first")).cast("long"), zero)
     df = df.withColumn("_piece_changes", inside + across)
@@ -203,34 +192,33 @@ def trip_scan(
     group = [key[0], "chunk", *key[1:]]
     local = _local_columns(rows, group, stop_mph)
     carries = _carries(_pieces(local, group), key, group)
-    df = local.join(carries, group)
+    df = attach(local, carries, group)
 
-    idx = F.col("_idx")
-    earlier = {
-        f"_x{k}": F.when(idx >= k, F.col(f"_l{k}")).otherwise(F.get("halo", F.lit(k - 1) - idx))
+    earlier = [
+        f"CASE WHEN _idx >= {k} THEN _l{k} ELSE get(halo, {k - 1} - _idx) END AS _x{k}"
         for k in range(1, _BACK + 1)
-    }
-    return df.select(
-        *trips.columns,
+    ]
+    return df.selectExpr(
+        *[f"`{c}`" for c in trips.columns],
+        *([] if "chunk" in trips.columns else ["chunk"]),
         "_us",
-        "_step",
-        (F.col("c_n") + idx).alias("_i"),
-        F.col("t_n").alias("_n"),
-        F.col("_sp").alias("_x0"),
-        *[c.alias(name) for name, c in earlier.items()],
-        F.when(F.col("_tail"), F.col("n_sp")).otherwise(F.col("_n1")).alias("_nx"),
-        F.col("t_start").alias("_start"),
-        F.col("t_end").alias("_end"),
-        F.greatest("_lmax", "c_max").alias("_max"),
-        (F.col("_lmv") + F.col("c_mv")).alias("_mv"),
-        F.col("t_mv").alias("_mv_total"),
-        F.when(idx == 0, F.col("p_lat")).otherwise(F.col("_llat")).alias("_plat"),
-        F.when(idx == 0, F.col("p_lon")).otherwise(F.col("_llon")).alias("_plon"),
-        (F.coalesce(F.col("_lkm"), F.lit(0.0)) + F.col("c_km")).alias("_km"),
-        F.col("t_km").alias("_km_total"),
-        F.col("dest_lat").alias("_dest_lat"),
-        F.col("dest_lon").alias("_dest_lon"),
-        F.col("changes").alias("_changes"),
+        "c_n + _idx AS _i",
+        "t_n AS _n",
+        "_sp AS _x0",
+        *earlier,
+        "CASE WHEN _tail THEN n_sp ELSE _n1 END AS _nx",
+        "t_start AS _start",
+        "t_end AS _end",
+        "greatest(_lmax, c_max) AS _max",
+        "_lmv + c_mv AS _mv",
+        "t_mv AS _mv_total",
+        "CASE WHEN _idx = 0 THEN p_lat ELSE _llat END AS _plat",
+        "CASE WHEN _idx = 0 THEN p_lon ELSE _llon END AS _plon",
+        "coalesce(_lkm, 0D) + c_km AS _km",
+        "t_km AS _km_total",
+        "dest_lat AS _dest_lat",
+        "dest_lon AS _dest_lon",
+        "changes AS _changes",
     )
 
 
@@ -238,42 +226,44 @@ def trip_scan(
 
 
 def elapsed_s() -> Column:
-    return (F.col("_us") - F.col("_start")) / F.lit(1e6)
+    return F.expr("(_us - _start) / 1e6D")
 
 
 def eta_remaining_s() -> Column:
-    return (F.col("_end") - F.col("_us")) / F.lit(1e6)
+    return F.expr("(_end - _us) / 1e6D")
 
 
-def recent_speeds() -> list[Column]:
-    return [F.col(f"_x{k}") for k in range(ROLLING_PINGS)]
+# the speeds looked back at are contiguous, so their number follows from the position
+_SPEEDS = [f"_x{k}" for k in range(ROLLING_PINGS)]
+_SPEED_COUNT = f"least(_i + 1, {ROLLING_PINGS})"
+_SPEED_MEAN = "((" + " + ".join(f"coalesce({x}, 0D)" for x in _SPEEDS) + f") / {_SPEED_COUNT})"
 
 
 def rolling_mean() -> Column:
-    return mean_present(recent_speeds())
+    return F.expr(_SPEED_MEAN)
 
 
 def rolling_std() -> Column:
     """Sample standard deviation of the recent speeds; 0 for a single ping."""
-    xs = recent_speeds()
-    mean = rolling_mean()
-    squares = reduce(
-        lambda a, b: a + b, [F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in xs]
-    )
-    n = count_present(xs)
-    return F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(0.0)
+    squares = " + ".join(f"coalesce(pow({x} - {_SPEED_MEAN}, 2), 0D)" for x in _SPEEDS)
+    return F.expr(f"CASE WHEN _i > 0 THEN sqrt(({squares}) / ({_SPEED_COUNT} - 1)) ELSE 0D END")
 
 
 def hour_of_day() -> Column:
     """Hours with minutes as a fraction; seconds are ignored."""
-    return F.hour("Timestamp") + F.minute("Timestamp") / F.lit(60.0)
+    return F.expr("hour(Timestamp) + minute(Timestamp) / 60D")
+
+
+def day_turn() -> Column:
+    """Time of day as an angle."""
+    return F.lit(2 * pi) * hour_of_day() / F.lit(24.0)
 
 
 def load_state() -> Column:
     """1 (loaded, slow) or 0 from the centred three-ping mean; raw speed in very short trips."""
-    return F.when(F.col("_n") < LOAD_WINDOW_PINGS, raw_is_low(F.col("_x0"))).otherwise(
-        smoothed_is_low(F.col("_x1"), F.col("_x0"), F.col("_nx"))
-    )
+    smoothed = is_low(mean_of("_x0", "_x1", "_nx"))
+    raw = f"cast(_x0 < {LOAD_SPEED_MPH} AS int)"
+    return F.expr(f"CASE WHEN _n < {LOAD_WINDOW_PINGS} THEN {raw} ELSE {smoothed} END")
 
 
 def weight_flag(df: DataFrame) -> Column:
@@ -281,23 +271,20 @@ def weight_flag(df: DataFrame) -> Column:
     return F.col("Weight_lbs").isNotNull().cast("int") if "Weight_lbs" in df.columns else F.lit(0)
 
 
-def feature_columns(df: DataFrame) -> dict[str, Column]:
-    """All model features of a scanned trip table, by name."""
-    turn = F.lit(2 * pi) * hour_of_day() / F.lit(24.0)
-    return {
-        "elapsed_s": elapsed_s(),
-        "speed_rolling_mean": rolling_mean(),
-        "speed_rolling_std": rolling_std(),
-        "speed_cummax": F.col("_max"),
-        "dist_remaining_km": haversine_km("Latitude", "Longitude", "_dest_lat", "_dest_lon"),
-        "hour_sin": F.sin(turn),
-        "hour_cos": F.cos(turn),
-        "dow": F.weekday("Timestamp"),
-        "has_weight": weight_flag(df),
-        "trip_progress": F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)),
-        "load_state": load_state(),
-        "load_change_count": F.col("_changes"),
-    }
+FEATURE_EXPRESSIONS: dict[str, Callable[[DataFrame], Column]] = {
+    "elapsed_s": lambda df: elapsed_s(),
+    "speed_rolling_mean": lambda df: rolling_mean(),
+    "speed_rolling_std": lambda df: rolling_std(),
+    "speed_cummax": lambda df: F.col("_max"),
+    "dist_remaining_km": lambda df: haversine_km("Latitude", "Longitude", "_dest_lat", "_dest_lon"),
+    "hour_sin": lambda df: F.sin(day_turn()),
+    "hour_cos": lambda df: F.cos(day_turn()),
+    "dow": lambda df: F.weekday("Timestamp"),
+    "has_weight": weight_flag,
+    "trip_progress": lambda df: F.expr("_i / greatest(_n - 1, 1)"),
+    "load_state": lambda df: load_state(),
+    "load_change_count": lambda df: F.col("_changes"),
+}
 
 
 def add_features(
@@ -316,8 +303,7 @@ def add_features(
     scanned = trip_scan(trips, key, chunk_seconds)
     if min_pings is not None:
         scanned = scanned.where(F.col("_n") >= min_pings)
-    columns = feature_columns(scanned)
-    chosen = {name: columns[name] for name in names}
+    chosen = {name: FEATURE_EXPRESSIONS[name](scanned) for name in names}
     if label:
         chosen["eta_remaining_s"] = eta_remaining_s()
         chosen["eta_remaining_min"] = eta_remaining_s() / 60.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHUNK_SECONDS, LOAD_SPEED_MPH, LOADED_WEIGHT_LBS
@@ -45,8 +45,6 @@ def state_changes(states: DataFrame, by: Sequence[str] = TRIP, state: str = "loa
     Each (group, chunk) is summarised by its first and last known state and its own changes; the
     changes across chunks are added from those summaries.
     """
-    from pyspark.sql import Window
-
     known = F.when(F.col(state) != -1, F.col(state))
     local = Window.partitionBy(*by, chunk).orderBy(order)
     before = F.last(known, True).over(local.rowsBetween(Window.unboundedPreceding, -1))
@@ -102,7 +100,7 @@ def add_load_state(
     if method not in METHODS:
         raise ValueError("method must be one of: 'heuristic', 'pelt', 'binseg'")
     scanned = trip_scan(trips, chunk_seconds=chunk_seconds).select(
-        *trips.columns, *([] if "chunk" in trips.columns else ["chunk"]), "_i", "_x0"
+        *dict.fromkeys([*trips.columns, "chunk"]), "_i", "_x0"
     )
     segmented = with_segments(scanned, change_points(trips, method, **search))
     states = segment_states(segmented)
@@ -162,7 +160,7 @@ def compare_methods(trips: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> Dat
     out = None
     for method in METHODS:
         scanned = trip_scan(trips, chunk_seconds=chunk_seconds).select(
-            *TRIP, *([] if "chunk" in TRIP else ["chunk"]), "_i", "_x0", "Weight_lbs"
+            *TRIP, "chunk", "_i", "_x0", "Weight_lbs"
         )
         segmented = with_segments(scanned, change_points(trips, method))
         states = segment_states(segmented)

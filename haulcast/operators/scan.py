@@ -70,6 +70,16 @@ def measured_chunk_seconds(df: DataFrame, max_rows: int = 5_000_000, key: str =
     return max(fitting, default=finest)
 
 
+def attach(rows: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join per-chunk summaries back to the rows they came from.
+
+    The rows are already partitioned and sorted by the leading join columns, so a merge join moves
+    only the summary. Left free, the planner may broadcast whichever side looks small, which gives
+    up the rows' partitioning.
+    """
+    return rows.join(summary.hint("merge"), list(on))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -94,9 +104,10 @@ def running_totals(
             *[F.sum(f"_sum_{name}").over(earlier).alias(f"_carry_{name}") for name in amounts],
         )
     )
-    out = df.select(
+    summed = df.select(
         "*", *[F.sum(amount).over(local).alias(f"_local_{name}") for name, amount in amounts.items()]
-    ).join(carry, [*keys, chunk])
+    )
+    out = attach(summed, carry, [*keys, chunk])
     for name in amounts:
         total = F.coalesce(F.col(f"_local_{name}"), F.lit(0)) + F.coalesce(
             F.col(f"_carry_{name}"), F.lit(0)

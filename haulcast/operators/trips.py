@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHUNK_SECONDS, MIN_TRIP_PINGS, STOP_SPEED_MPH, TRIP_GAP_MINUTES
-from .scan import NO_TIME, ordered_offsets, with_time_chunk
+from .scan import NO_TIME, attach, ordered_offsets, with_time_chunk
 
 ORDER = ("_t", "event_seq")
 
@@ -92,8 +92,7 @@ def segment_trips(
     pings = pings.where(F.col("VIN").isNotNull())
     base = _chunk_bases(pings, rule, chunk_seconds).select("VIN", "chunk", "_base")
     return (
-        _chunk_cuts(pings, rule, chunk_seconds)
-        .join(base, ["VIN", "chunk"])
+        attach(_chunk_cuts(pings, rule, chunk_seconds), base, ["VIN", "chunk"])
         .withColumn("trip_local", F.col("_base") + F.col("_cut"))
         .drop("_t", "_sp", "_open", "_cut", "_base")
     )
@@ -112,7 +111,7 @@ def keep_long_trips(trips: DataFrame, min_pings: int = MIN_TRIP_PINGS) -> DataFr
         .where(F.col("_size") >= min_pings)
         .drop("_size")
     )
-    return trips.join(kept, ["VIN", "chunk", "trip_local"])
+    return attach(trips, kept, ["VIN", "chunk", "trip_local"])
 
 
 def trip_label(vin: Column, number: Column) -> Column:
@@ -145,7 +144,7 @@ def number_trips_globally(trips: DataFrame, offsets: DataFrame) -> DataFrame:
     """
     spread = trips.select("VIN", "chunk").distinct().join(offsets.select("VIN", "trip_offset"), "VIN")
     return (
-        trips.join(spread, ["VIN", "chunk"])
+        attach(trips, spread, ["VIN", "chunk"])
         .withColumn("trip_number", F.col("trip_offset") + F.col("trip_local"))
         .withColumn("trip_id", trip_label(F.col("VIN"), F.col("trip_number")))
         .drop("trip_offset")

@@ -16,6 +16,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording the call site of every column expression dominates plan building
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 

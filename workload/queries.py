@@ -175,7 +175,7 @@ def _(spark, sf_dir):
 @query("time_encoding")
 def _(spark, sf_dir):
     df = event_pings(spark, sf_dir)
-    turn = F.lit(2 * features.pi) * features.hour_of_day() / F.lit(24.0)
+    turn = features.day_turn()
     return df.select(
         "event_seq",
         r6(F.sin(turn)).alias("hour_sin"),
