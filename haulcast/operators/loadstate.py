@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHUNK_SECONDS, LOAD_SPEED_MPH, LOADED_WEIGHT_LBS
+from ..session import cut_lineage
 from .changepoint import METHODS, change_points
 from .features import add_features, trip_scan
 from .scan import running_totals
@@ -102,7 +103,8 @@ def add_load_state(
     scanned = trip_scan(trips, chunk_seconds=chunk_seconds).select(
         *dict.fromkeys([*trips.columns, "chunk"]), "_i", "_x0"
     )
-    segmented = with_segments(scanned, change_points(trips, method, **search))
+    # written once: the means, the changes and the result all read the segmented rows
+    segmented = cut_lineage(with_segments(scanned, change_points(trips, method, **search)))
     states = segment_states(segmented)
     changes = segment_changes(states)
     return (
@@ -158,11 +160,13 @@ def load_confusion(
 def compare_methods(trips: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Per trip and change-point method: change points, load changes and agreement with weights."""
     out = None
-    for method in METHODS:
-        scanned = trip_scan(trips, chunk_seconds=chunk_seconds).select(
-            *TRIP, "chunk", "_i", "_x0", "Weight_lbs"
+    scanned = cut_lineage(
+        trip_scan(trips, chunk_seconds=chunk_seconds).select(
+            *TRIP, "chunk", "_i", "_x0", "Weight_lbs", "Timestamp", "event_seq", "Speed"
         )
-        segmented = with_segments(scanned, change_points(trips, method))
+    )
+    for method in METHODS:
+        segmented = cut_lineage(with_segments(scanned, change_points(scanned, method)))
         states = segment_states(segmented)
         rows = segmented.join(states.select(*TRIP, "segment", "load_state"), [*TRIP, "segment"])
         report = segment_changes(states).select(

@@ -17,8 +17,10 @@ ERROR_EMPTY = "Request body is required"
 def parse_requests(bodies: DataFrame, column: str = "body") -> DataFrame:
     """Add the typed request fields, ``use_route`` and ``error`` (null for a usable request).
 
-    A key that is present with a null value is not missing; a null number is not numeric.
+    A key that is present with a null value is not missing; a null number is not numeric. Columns
+    of ``bodies`` named like a request field give way to it.
     """
+    taken = {*REQUEST_FIELDS, "use_route", "error"}
     body = F.col(column)
     # the map keeps every key with its JSON text, so absent and null keys differ
     fields = F.from_json(body, "map<string,string>", {"mode": "PERMISSIVE"})
@@ -43,7 +45,7 @@ def parse_requests(bodies: DataFrame, column: str = "body") -> DataFrame:
         df.withColumn("_missing", missing)
         .withColumn("error", error)
         .select(
-            *bodies.columns,
+            *[c for c in bodies.columns if c.lower() not in taken],
             F.col("_f")["vin"].alias("vin"),
             F.col("_f")["trip_id"].alias("trip_id"),
             *[value.alias(name) for name, value in numbers.items()],

@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.functions import eta, text
 from haulcast.functions.geo import haversine_km
-from haulcast.operators import audit, calibrate, features, metrics, motion, quantiles
+from haulcast.operators import (
+    audit,
+    calibrate,
+    changepoint,
+    extras,
+    features,
+    loadstate,
+    metrics,
+    models,
+    motion,
+    quantiles,
+)
 from haulcast.operators.models import trip_split
 from haulcast.operators.routes import join_destinations, route_asof
-from haulcast.operators.trips import keep_long_trips, trip_label
+from haulcast.operators.trips import keep_long_trips, segment_trips, trip_label
+from haulcast.plans import scoring, training
 from haulcast.plans.segment import numbered_trips
 from haulcast.schema import MIN_TRIP_PINGS
-from haulcast.session import configure
-from haulcast.sources import derived, pings as ping_source
+from haulcast.session import configure, cut_lineage
+from haulcast.sources import derived
+from haulcast.sources import pings as ping_source
 from haulcast.sources.events import event_pings
+from haulcast.sources.requests import parse_requests
+from haulcast.streaming import replay
+from haulcast.streaming.features import split_late, stream_features
+from haulcast.streaming.trips import drop_repeats, stream_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,18 +322,10 @@ def _(spark, sf_dir):
     p = event_pings(spark, sf_dir).withColumn(
         "Latitude", F.when(F.col("event_seq") % 13 != 0, F.col("Latitude"))
     )
-    built = features.build_features(
-        features_trips(p), min_pings=MIN_TRIP_PINGS, label=True
-    )
+    built = features.build_features(segment_trips(p), min_pings=MIN_TRIP_PINGS, label=True)
     return features.drop_incomplete(built).select(*KEY, r6("dist_remaining_km").alias("dist_remaining_km"))
 
 
-def features_trips(p: DataFrame) -> DataFrame:
-    from haulcast.operators.trips import segment_trips
-
-    return segment_trips(p)
-
-
 @query("short_trip_filter")
 def _(spark, sf_dir):
     return kept_trips(spark, sf_dir).select(*KEY)
@@ -653,3 +664,450 @@ def _(spark, sf_dir):
     return rounded(calibrate.calibration_report(test, fitted))
 
 
+
+
+# --- load state ---------------------------------------------------------------------------
+
+
+@query("load_confusion")
+def _(spark, sf_dir):
+    """Heuristic load state against reported weights, over all rows."""
+    rows = with_features(spark, sf_dir, "load_state")
+    return rounded(loadstate.load_confusion(rows))
+
+
+@query("load_confusion_by_trip")
+def _(spark, sf_dir):
+    rows = with_features(spark, sf_dir, "load_state")
+    return rounded(loadstate.load_confusion(rows, by=["VIN", "trip_local"]))
+
+
+def fixed_points(scanned: DataFrame) -> DataFrame:
+    """Change points at every fourth ping."""
+    return scanned.where((F.col("_i") % 4 == 0) & (F.col("_i") > 0)).select(
+        "VIN", "trip_local", F.col("_i").alias("position")
+    )
+
+
+def kept_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.trip_scan(trips(spark, sf_dir)).where(F.col("_n") >= MIN_TRIP_PINGS)
+
+
+@query("segment_state")
+def _(spark, sf_dir):
+    """Segment means and states for change points at every fourth ping."""
+    scanned = kept_scan(spark, sf_dir)
+    return rounded(loadstate.segment_states(loadstate.with_segments(scanned, fixed_points(scanned))))
+
+
+@query("segment_changes")
+def _(spark, sf_dir):
+    scanned = kept_scan(spark, sf_dir)
+    states = loadstate.segment_states(loadstate.with_segments(scanned, fixed_points(scanned)))
+    return loadstate.segment_changes(states)
+
+
+@query("state_changes")
+def _(spark, sf_dir):
+    """Changes between known weight states per trip; rows without a weight are unknown."""
+    state = F.when(F.col("Weight_lbs") > 10000, 1).when(F.col("Weight_lbs").isNotNull(), 0).otherwise(-1)
+    return loadstate.state_changes(kept_scan(spark, sf_dir).withColumn("load_state", state))
+
+
+@query("changepoints_pelt")
+def _(spark, sf_dir):
+    return changepoint.change_points(kept_trips(spark, sf_dir), "pelt")
+
+
+@query("changepoints_binseg")
+def _(spark, sf_dir):
+    return changepoint.change_points(kept_trips(spark, sf_dir), "binseg")
+
+
+@query("binseg_first_split")
+def _(spark, sf_dir):
+    """Best first split of every trip from running sums."""
+    return rounded(changepoint.best_first_split(kept_scan(spark, sf_dir)), digits=3)
+
+
+@query("load_state_cpd")
+def _(spark, sf_dir):
+    return loadstate.add_load_state(kept_trips(spark, sf_dir), "pelt").select(
+        *KEY, "load_state", "load_change_count"
+    )
+
+
+@query("compare_cpd")
+def _(spark, sf_dir):
+    return rounded(loadstate.compare_methods(kept_trips(spark, sf_dir)))
+
+
+# --- requests -----------------------------------------------------------------------------
+
+
+@query("parse_requests")
+def _(spark, sf_dir):
+    parsed = parse_requests(derived.request_bodies(spark, sf_dir))
+    return rounded(parsed.select("event_seq", "vin", "trip_id", "latitude", "speed_mph", "use_route", "error"))
+
+
+def scored_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Request bodies with the route estimate known at their time, scored."""
+    bodies = derived.request_bodies(spark, sf_dir)
+    placed = route_asof(bodies, derived.route_offers(spark, sf_dir))
+    return scoring.batch_predict(placed, F.col("route_eta_min"), F.unix_micros("Timestamp"))
+
+
+@query("route_blend")
+def _(spark, sf_dir):
+    responses, _ = scored_requests(spark, sf_dir)
+    return responses.select("vin", "as_of", "blended_eta_min", "method")
+
+
+@query("eta_response")
+def _(spark, sf_dir):
+    """Full responses; the JSON text is read back to prove it well-formed."""
+    responses, _ = scored_requests(spark, sf_dir)
+    body = scoring.response_json(responses)
+    read = F.from_json(body, responses.schema)
+    return responses.select(body.alias("b"), read.alias("r")).select("r.*")
+
+
+@query("batch_predict")
+def _(spark, sf_dir):
+    """Usable and rejected requests per outcome."""
+    responses, rejected = scored_requests(spark, sf_dir)
+    usable = responses.groupBy(F.col("method").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return usable.unionByName(
+        rejected.groupBy(F.col("error").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+# --- models -------------------------------------------------------------------------------
+
+SMALL = training.TrainingOptions(
+    baseline_rounds=3, specialist_rounds=3, quantile_rounds=3, quantile_step=0.3, depth=3, quantile_depth=3
+)
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS))
+
+
+def model_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = models.assemble(model_rows(spark, sf_dir))
+    return tuple(rows.where(F.col("split") == s) for s in ("train", "validation", "test"))
+
+
+@query("gbt_baseline")
+def _(spark, sf_dir):
+    train, _, test = model_parts(spark, sf_dir)
+    model = models.train_baseline(train, rounds=5, depth=4)
+    return rounded(metrics.evaluate(models.predict_with(model, test, "p50")))
+
+
+@query("near_specialist")
+def _(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    columns = [*features.FEATURE_COLS, "naive"]
+    model = models.train_near_specialist(rows.where("split = 'train'"), columns, rounds=5, depth=4)
+    test = models.assemble(rows.where("split = 'test'"), columns)
+    return rounded(metrics.evaluate(models.predict_with(model, test, "p50")))
+
+
+@query("quantile_gbt")
+def _(spark, sf_dir):
+    """The 0.9 quantile, three boosting rounds."""
+    train, validation, test = model_parts(spark, sf_dir)
+    model = models.train_quantile_boost(train, validation, 0.9, rounds=3, depth=4, step=0.3)
+    scored = model.predict(test, "p90")
+    return rounded(
+        scored.agg(
+            metrics.pinball("y", "p90", 0.9).alias("pinball_p90"),
+            F.avg((F.col("y") <= F.col("p90")).cast("double")).alias("share_below"),
+        )
+    )
+
+
+@query("predict_quantiles")
+def _(spark, sf_dir):
+    train, validation, test = model_parts(spark, sf_dir)
+    fitted = models.train_quantiles(train, validation, rounds=2, depth=3, step=0.3)
+    return rounded(models.predict_quantiles(fitted, test).select(*KEY, *fitted))
+
+
+@query("near_opt_candidates")
+def _(spark, sf_dir):
+    """All 63 near-arrival candidates on stand-in predictions (p10 as the specialist)."""
+    _, validation, _ = split_predictions(spark, sf_dir)
+    rows = validation.withColumn("p50", F.col("naive") * 1.2)
+    found = models.near_candidates(rows, specialist="p10")
+    return rounded(models.choices_df(spark, found))
+
+
+@query("near_opt_select")
+def _(spark, sf_dir):
+    _, validation, _ = split_predictions(spark, sf_dir)
+    rows = validation.withColumn("p50", F.col("naive") * 1.2)
+    best = models.choose_near(models.near_candidates(rows, specialist="p10"))
+    return rounded(models.choices_df(spark, [best]).drop("trial"))
+
+
+@query("train_pipeline")
+def _(spark, sf_dir):
+    """Train everything small, then compare the models on the test rows."""
+    trained, test = training.fit(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS), SMALL)
+    return rounded(training.reports(trained, test)["comparison"])
+
+
+@query("model_save_load")
+def _(spark, sf_dir):
+    """Predictions of a saved and reloaded training run equal those of the original."""
+    trained, test = training.fit(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS), SMALL)
+    path = ping_source.scratch_path(spark, "models")
+    trained.save(path)
+    names = ["baseline", "specialist", "p10", "p50", "p90", "near_opt"]
+    again = training.Trained.load(path).predict(test.drop(*names))
+    both = test.select(*KEY, *[F.col(n).alias(f"{n}_a") for n in names]).join(again.select(*KEY, *names), KEY)
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.max(F.abs(F.col(n) - F.col(f"{n}_a"))).alias(f"{n}_diff") for n in names],
+    )
+
+
+@query("feature_importance")
+def _(spark, sf_dir):
+    train, _, _ = model_parts(spark, sf_dir)
+    return rounded(models.feature_importance(models.train_baseline(train, rounds=3, depth=3)))
+
+
+@query("ablation")
+def _(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    return rounded(
+        extras.ablation(
+            rows.where("split = 'train'"), rows.where("split = 'test'"), features.FEATURE_COLS, rounds=2, depth=3
+        )
+    )
+
+
+@query("model_variants")
+def _(spark, sf_dir):
+    """Linear model, forest, and a tuned tree depth, on the test rows."""
+    train, _, test = model_parts(spark, sf_dir)
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", seed=models.SEED)
+    grid = extras.parameter_grid(depth=(tree.maxDepth, [2, 4]))
+    fitted = {
+        "linear": extras.train_linear(train),
+        "forest": extras.train_forest(train, trees=5, depth=4),
+        "tuned_tree": extras.tune_by_trip(tree, grid, train, folds=2).bestModel,
+    }
+    out = None
+    for name, model in fitted.items():
+        scored = models.predict_with(model, test, "p50")
+        report = metrics.evaluate(scored).select(F.lit(name).alias("model"), "*")
+        out = report if out is None else out.unionByName(report)
+    return rounded(out)
+
+
+# --- further features and reports ---------------------------------------------------------
+
+
+@query("acceleration")
+def _(spark, sf_dir):
+    df = extras.motion_features(kept_trips(spark, sf_dir))
+    return rounded(df.select(*KEY, "acceleration_mphps"))
+
+
+@query("stop_go_ratio")
+def _(spark, sf_dir):
+    df = extras.motion_features(kept_trips(spark, sf_dir))
+    return rounded(df.select(*KEY, "stop_go_ratio"))
+
+
+@query("bearing_change_rate")
+def _(spark, sf_dir):
+    df = extras.motion_features(kept_trips(spark, sf_dir))
+    return rounded(df.select(*KEY, "bearing_change_rate"), digits=4)
+
+
+@query("trip_duration_estimate")
+def _(spark, sf_dir):
+    df = extras.duration_estimate(kept_trips(spark, sf_dir))
+    return rounded(df.select(*KEY, "trip_duration_estimate_min"), digits=4)
+
+
+@query("eta_smoothing")
+def _(spark, sf_dir):
+    """Moving average of the naive estimate over each trip."""
+    scanned = kept_scan(spark, sf_dir).withColumn(
+        "naive",
+        eta.naive_eta_min(haversine_km("Latitude", "Longitude", "_dest_lat", "_dest_lon"), F.col("Speed")),
+    )
+    return rounded(extras.smooth_eta(scanned, "naive").select(*KEY, "eta_smoothed"))
+
+
+@query("eta_drift")
+def _(spark, sf_dir):
+    scanned = kept_scan(spark, sf_dir).withColumn(
+        "naive",
+        eta.naive_eta_min(haversine_km("Latitude", "Longitude", "_dest_lat", "_dest_lon"), F.col("Speed")),
+    )
+    return rounded(extras.eta_drift(scanned, "naive").select(*KEY, "drift_min"), digits=4)
+
+
+@query("trip_category")
+def _(spark, sf_dir):
+    """Distance and duration category of every trip."""
+    summary = motion.trip_summary(kept_trips(spark, sf_dir))
+    return summary.select(
+        "VIN",
+        "trip_local",
+        extras.distance_category(F.col("path_km")).alias("by_distance"),
+        extras.duration_category(F.col("hours")).alias("by_duration"),
+    )
+
+
+@query("live_category")
+def _(spark, sf_dir):
+    return extras.live_category(kept_trips(spark, sf_dir)).select(*KEY, "trip_category")
+
+
+@query("metrics_by_category")
+def _(spark, sf_dir):
+    """Error report per live trip category."""
+    rows = features.add_features(
+        extras.live_category(trips(spark, sf_dir)), ["dist_remaining_km"], min_pings=MIN_TRIP_PINGS, label=True
+    )
+    naive = eta.naive_eta_min(F.col("dist_remaining_km"), F.col("Speed"))
+    rows = rows.select("trip_category", F.col("eta_remaining_min").alias("y"), naive.alias("p50"))
+    return rounded(extras.metrics_by_category(rows))
+
+
+@query("one_hot")
+def _(spark, sf_dir):
+    """Rows per one-hot position of device and source."""
+    p = event_pings(spark, sf_dir)
+    coded = extras.one_hot_pipeline().fit(p).transform(p)
+    hot = lambda c: F.array_position(vector_to_array(c), 1.0).cast("int")
+    return coded.groupBy(
+        "Device_Type", "Source", hot("Device_Type_vec").alias("device_slot"), hot("Source_vec").alias("source_slot")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("frequency_encoding")
+def _(spark, sf_dir):
+    return rounded(extras.frequency_encoding(event_pings(spark, sf_dir), "Source").select("event_seq", "Source_freq"))
+
+
+@query("target_encoding")
+def _(spark, sf_dir):
+    """Mean remaining minutes per source, by the encoder."""
+    rows = with_features(spark, sf_dir, label=True).select("Source", "Device_Type", F.col("eta_remaining_min").alias("y"))
+    indexed = extras.one_hot_pipeline().fit(rows).transform(rows)
+    encoded = extras.target_encoder(["Source"], "y").fit(indexed).transform(indexed)
+    return rounded(encoded.groupBy("Source").agg(F.max("Source_target").alias("mean_y")))
+
+
+@query("detection_lag")
+def _(spark, sf_dir):
+    """Pings from each load event to the next fixed change point."""
+    scanned = kept_scan(spark, sf_dir)
+    return extras.detection_lag(scanned, fixed_points(scanned))
+
+
+@query("median_detection_lag")
+def _(spark, sf_dir):
+    scanned = kept_scan(spark, sf_dir)
+    median = extras.median_lag(extras.detection_lag(scanned, fixed_points(scanned)))
+    return spark.range(1).select(F.lit(median).alias("median_lag"))
+
+
+@query("grid_density")
+def _(spark, sf_dir):
+    return rounded(extras.grid_density(event_pings(spark, sf_dir), 0.25))
+
+
+# --- streams ------------------------------------------------------------------------------
+
+
+def replayed(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    path = ping_source.scratch_path(spark, "replay")
+    rows = event_pings(spark, sf_dir) if rows is None else rows
+    replay.write_replay(rows, path)
+    return replay.read_replay(spark, path)
+
+
+def streamed(stream: DataFrame) -> DataFrame:
+    spark = stream.sparkSession
+    return replay.run_to_table(
+        stream, ping_source.scratch_path(spark, "stream"), ping_source.scratch_path(spark, "stream-state")
+    )
+
+
+@query("stream_features")
+def _(spark, sf_dir):
+    """State per vehicle over replayed pings."""
+    out = streamed(stream_features(replayed(spark, sf_dir)))
+    return rounded(out.drop("eta_min", "eta_smoothed_min"))
+
+
+@query("stream_eta")
+def _(spark, sf_dir):
+    """Estimate to the destination at every ping, smoothed in the vehicle's state."""
+    rows = features.trip_scan(trips(spark, sf_dir)).withColumnsRenamed(
+        {"_dest_lat": "dest_lat", "_dest_lon": "dest_lon"}
+    )
+    rows = rows.select("VIN", "event_seq", "Timestamp", "Speed", "Latitude", "Longitude", "dest_lat", "dest_lon")
+    out = streamed(stream_features(replayed(spark, sf_dir, cut_lineage(rows))))
+    return rounded(out.select("VIN", "event_seq", "eta_min", "eta_smoothed_min"))
+
+
+@query("stream_trips")
+def _(spark, sf_dir):
+    """Gap trips from session windows; a later ping of another vehicle closes the last ones."""
+    pings = event_pings(spark, sf_dir)
+    end = pings.agg(F.max("Timestamp").alias("t")).select(
+        F.lit("closing").alias("VIN"), (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("Timestamp")
+    )
+    rows = pings.unionByName(end, allowMissingColumns=True)
+    out = streamed(stream_trips(replayed(spark, sf_dir, rows)))
+    return out.where(F.col("VIN") != "closing").select(
+        "VIN",
+        "pings",
+        F.unix_micros("start_ts").alias("start_us"),
+        F.unix_micros("end_ts").alias("end_us"),
+        r6("top_mph").alias("top_mph"),
+        "standing_pings",
+    )
+
+
+@query("stream_dedupe")
+def _(spark, sf_dir):
+    """Every third ping sent twice; repeats are dropped within the watermark."""
+    pings = event_pings(spark, sf_dir)
+    sent = pings.unionByName(pings.where(F.col("event_seq") % 3 == 0))
+    return streamed(drop_repeats(replayed(spark, sf_dir, sent))).select("VIN", "event_seq")
+
+
+@query("stream_late")
+def _(spark, sf_dir):
+    """Every 23rd ping sent a quarter of the replay too late; late rows go to their own table."""
+    pings = event_pings(spark, sf_dir)
+    late = F.col("event_seq") % 23 == 0
+    sent = pings.withColumn(
+        "_sent", F.when(late, F.col("Timestamp") + F.expr("INTERVAL 5 HOURS")).otherwise(F.col("Timestamp"))
+    )
+    path = ping_source.scratch_path(spark, "replay")
+    replay.write_replay(sent, path, order="_sent")
+    on_time, late_rows = (ping_source.scratch_path(spark, n) for n in ("on-time", "late"))
+    split_late(
+        stream_features(replay.read_replay(spark, path)), on_time, late_rows, ping_source.scratch_path(spark, "late-state")
+    )
+    taken, passed = spark.read.parquet(on_time), spark.read.parquet(late_rows)
+    return (
+        taken.select("event_seq", F.lit(False).alias("late"))
+        .unionByName(passed.select("event_seq", F.lit(True).alias("late")))
+        .groupBy("late")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
