@@ -316,5 +316,12 @@ def build_features(trips: DataFrame, **options) -> DataFrame:
 
 
 def drop_incomplete(features: DataFrame) -> DataFrame:
-    """Drop rows with a missing feature or label."""
-    return features.dropna(subset=[*FEATURE_COLS, "eta_remaining_s"])
+    """Drop rows with a missing feature or label.
+
+    Only the times and the position can make a feature missing: speeds, weights and counts have
+    values for every ping. Testing those three columns instead of all thirteen keeps the other
+    feature expressions out of the filter.
+    """
+    distance = F.col("dist_remaining_km")
+    known = F.col("elapsed_s").isNotNull() & F.col("eta_remaining_s").isNotNull()
+    return features.where(known & distance.isNotNull() & ~F.isnan(distance))

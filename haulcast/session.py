@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable options the plans rely on.
@@ -22,7 +24,12 @@ RUNTIME_OPTIONS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime options to an existing session (idempotent)."""
+    """Apply the runtime options to an existing session (idempotent).
+
+    Functions of this package that run in Python workers are sent along with the tasks, so the
+    package need not be installed on the executors.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     for key, value in RUNTIME_OPTIONS.items():
         spark.conf.set(key, value)
     return spark

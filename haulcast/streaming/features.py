@@ -48,11 +48,12 @@ class TripState(StatefulProcessor):
     taken is passed on marked ``late`` and changes nothing.
     """
 
-    def __init__(self, smoothing: float = 0.3, ttl_days: int = 30):
+    def __init__(self, smoothing: float = 0.3, ttl_days: int | None = None):
         self.smoothing, self.ttl_days = smoothing, ttl_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("trip", STATE_SCHEMA, ttlDurationMs=self.ttl_days * DAY_MS)
+        ttl = None if self.ttl_days is None else self.ttl_days * DAY_MS
+        self.state = handle.getValueState("trip", STATE_SCHEMA, ttlDurationMs=ttl)
 
     def _step(self, s: dict | None, us: int, seq: int, speed: float, eta: float | None) -> dict:
         gap = s is not None and us - s["last_us"] > TRIP_GAP_MINUTES * 60_000_000
@@ -79,10 +80,10 @@ class TripState(StatefulProcessor):
         s = dict(zip(names, self.state.get())) if self.state.exists() else None
         if s is not None:
             s["recent"] = list(s["recent"])
-        batch = pd.concat(list(rows)).sort_values(["_us", "event_seq"])
+        batch = pd.concat(list(rows)).sort_values(["at_us", "event_seq"])
         out = []
         for us, seq, speed, lat, lon, dlat, dlon in batch[
-            ["_us", "event_seq", "_sp", "Latitude", "Longitude", "dest_lat", "dest_lon"]
+            ["at_us", "event_seq", "mph", "Latitude", "Longitude", "dest_lat", "dest_lon"]
         ].itertuples(index=False):
             if s is not None and (us, seq) < (s["last_us"], s["last_seq"]):
                 out.append((key[0], seq, us, True, *[None] * 10))
@@ -105,11 +106,12 @@ class TripState(StatefulProcessor):
         pass
 
 
-def stream_features(pings: DataFrame, smoothing: float = 0.3, ttl_days: int = 30) -> DataFrame:
+def stream_features(pings: DataFrame, smoothing: float = 0.3, ttl_days: int | None = None) -> DataFrame:
     """Features and arrival estimate at every ping of a stream of pings.
 
     The stream may carry the destination as ``dest_lat, dest_lon``; without one the estimates
-    stay null. Vehicles silent for ``ttl_days`` are forgotten. The state lives in RocksDB, so the
+    stay null. With ``ttl_days``, vehicles silent for that long are forgotten; expiry follows
+    the clock, so such a stream must run on a processing-time trigger. The state lives in RocksDB, so the
     number of vehicles is not bound by memory, and how much of a busy vehicle one step takes is
     set by the source's rate limit.
     """
@@ -124,8 +126,8 @@ def stream_features(pings: DataFrame, smoothing: float = 0.3, ttl_days: int = 30
     rows = pings.where(F.col("VIN").isNotNull() & F.col("Timestamp").isNotNull()).select(
         "VIN",
         "event_seq",
-        F.unix_micros("Timestamp").alias("_us"),
-        F.coalesce("Speed", F.lit(0.0)).alias("_sp"),
+        F.unix_micros("Timestamp").alias("at_us"),
+        F.coalesce("Speed", F.lit(0.0)).alias("mph"),
         "Latitude",
         "Longitude",
         "dest_lat",
@@ -135,7 +137,7 @@ def stream_features(pings: DataFrame, smoothing: float = 0.3, ttl_days: int = 30
         statefulProcessor=TripState(smoothing, ttl_days),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if ttl_days is None else "ProcessingTime",
     )
 
 
