@@ -445,3 +445,160 @@ add("calibration_report", BUCKETS + "," + SCALES.removeprefix(CALIBRATION + ",")
     f"""SELECT '{m}' AS method, {r(f'avg((y >= {lo} AND y <= {hi})::INT)')} AS coverage, {r(f'avg(({hi}) - ({lo}))')} AS mean_width,
     count_if(({lo}) > ({hi}))::BIGINT AS crossed, {'true' if m == 'target_805' else 'false'} AS is_posthoc
     FROM tested JOIN table_ USING (bucket), scales""" for m, (lo, hi) in METHODS_SQL.items()))
+
+# --- written trips ------------------------------------------------------------------------
+add("write_trips", TRIPS, "SELECT Timestamp::DATE AS trip_date, count(*) AS n FROM trips GROUP BY 1")
+
+# --- load state ---------------------------------------------------------------------------
+CONFUSION = """n_compared, tp, fp, fn, tn, {p} AS precision, {rc} AS recall, {f1} AS f1"""
+P_ = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END"
+R_ = "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END"
+F_ = f"CASE WHEN ({P_}) + ({R_}) > 0 THEN 2 * ({P_}) * ({R_}) / (({P_}) + ({R_})) ELSE 0.0 END"
+CONFUSION = CONFUSION.format(p=r(P_), rc=r(R_), f1=r(F_))
+
+
+def confusion(group: str) -> str:
+    by = f"GROUP BY {group}" if group else ""
+    lead = f"{group}, " if group else ""
+    return f"""SELECT {lead}{CONFUSION} FROM (SELECT {lead}count(*) AS n_compared,
+      count_if(load_state = 1 AND Weight_lbs > 10000)::BIGINT AS tp, count_if(load_state = 1 AND Weight_lbs <= 10000)::BIGINT AS fp,
+      count_if(load_state = 0 AND Weight_lbs > 10000)::BIGINT AS fn, count_if(load_state = 0 AND Weight_lbs <= 10000)::BIGINT AS tn
+      FROM features WHERE Weight_lbs IS NOT NULL {by}) WHERE n_compared >= 5"""
+
+
+add("load_confusion", FEATURES, confusion(""))
+add("load_confusion_by_trip", FEATURES, confusion("VIN, trip_local"))
+SEGMENTS = FEATURES + """,
+segments AS (SELECT VIN, trip_local, (i // 4)::BIGINT AS segment, count(*) AS pings, avg(sp) AS mean_speed,
+    (round(avg(sp), 9) < 10)::INT AS load_state FROM features GROUP BY VIN, trip_local, i // 4)"""
+add("segment_state", SEGMENTS, f"SELECT VIN, trip_local, segment, pings, {r('mean_speed')} AS mean_speed, load_state FROM segments")
+add("segment_changes", SEGMENTS, """SELECT VIN, trip_local, count(*) AS segments,
+    count_if(load_state <> prev)::BIGINT AS load_change_count FROM (SELECT *,
+      lag(load_state) OVER (PARTITION BY VIN, trip_local ORDER BY segment) AS prev FROM segments) GROUP BY VIN, trip_local""")
+add("state_changes", TRIPS + """, known AS (SELECT VIN, trip_local, Timestamp, event_seq, Weight_lbs > 10000 AS s FROM trips
+      WHERE Weight_lbs IS NOT NULL),
+    changes AS (SELECT VIN, trip_local, count_if(s <> p) AS c FROM (SELECT *,
+      lag(s) OVER (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq) AS p FROM known) GROUP BY VIN, trip_local)""",
+    """SELECT VIN, trip_local, coalesce(c, 0)::BIGINT AS load_change_count
+       FROM (SELECT DISTINCT VIN, trip_local FROM trips) LEFT JOIN changes USING (VIN, trip_local)""")
+add("binseg_first_split", FEATURES + """,
+  sums AS (SELECT VIN, trip_local, i + 1 AS cut, n, sum(sp) OVER w AS a1, sum(sp * sp) OVER w AS a2,
+      sum(sp) OVER t AS t1, sum(sp * sp) OVER t AS t2 FROM features
+    WINDOW w AS (PARTITION BY VIN, trip_local ORDER BY i), t AS (PARTITION BY VIN, trip_local)),
+  gains AS (SELECT VIN, trip_local, cut AS position,
+      round((t2 - t1 * t1 / n) - (a2 - a1 * a1 / cut) - ((t2 - a2) - (t1 - a1) * (t1 - a1) / (n - cut)), 6) AS gain
+    FROM sums WHERE cut >= 2 AND n - cut >= 2 AND n >= 5 AND (t2 - t1 * t1 / n) / n >= 1e-12)""",
+    f"""SELECT VIN, trip_local, position, {r('gain', 3)} AS gain FROM gains
+        QUALIFY row_number() OVER (PARTITION BY VIN, trip_local ORDER BY gain DESC, position DESC) = 1""")
+
+# --- requests -----------------------------------------------------------------------------
+REQUESTS = FEATURES + """,
+requests AS (SELECT *, event_seq % 67 = 0 AS broken, event_seq % 17 = 0 AS no_speed, event_seq % 19 = 0 AS no_number,
+    event_seq % 2 = 0 AS wants_route FROM features),
+routes AS (SELECT VIN, Timestamp AS route_ts, (300 + round((Latitude - floor(Latitude)) * 100)::INT * 10) / 60.0 AS minutes
+  FROM pings WHERE Source = 'view'),
+routed AS (SELECT q.*, CASE WHEN epoch_us(q.Timestamp) - epoch_us(o.route_ts) <= 900000000 THEN o.minutes::DOUBLE END AS route_min
+  FROM requests q ASOF LEFT JOIN routes o ON q.VIN = o.VIN AND q.Timestamp >= o.route_ts),
+scored AS (SELECT VIN AS vin, concat(VIN, '_', trip_local) AS trip_id, epoch_us(Timestamp)::BIGINT AS as_of,
+    dist_remaining_km AS km, dist_remaining_km / (greatest(sp, 1.0) * 1.60934) * 60.0 AS local_min,
+    CASE WHEN wants_route THEN route_min END AS route_min FROM routed WHERE NOT broken AND NOT no_speed AND NOT no_number)"""
+ERROR = """CASE WHEN broken THEN 'Invalid JSON' WHEN no_speed THEN 'Missing fields: speed_mph'
+    WHEN no_number THEN 'latitude/longitude/speed_mph must be numeric' END"""
+add("parse_requests", REQUESTS, f"""SELECT event_seq, CASE WHEN NOT broken THEN VIN END AS vin,
+    CASE WHEN NOT broken THEN concat(VIN, '_', trip_local) END AS trip_id,
+    CASE WHEN NOT broken AND NOT no_number THEN {r('Latitude')} END AS latitude,
+    CASE WHEN NOT broken AND NOT no_speed THEN {r('sp')} END AS speed_mph,
+    NOT broken AND wants_route AS use_route, {ERROR} AS error FROM requests""")
+BLEND = "CASE WHEN route_min IS NULL THEN local_min ELSE 0.7 * local_min + 0.3 * route_min END"
+METHOD = "CASE WHEN route_min IS NULL THEN 'physics_speed_haversine' ELSE 'local_plus_google_blend' END"
+add("route_blend", REQUESTS, f"SELECT vin, as_of, {r(BLEND, 3)} AS blended_eta_min, {METHOD} AS method FROM scored")
+add("eta_response", REQUESTS, f"""SELECT vin, trip_id, {r('km', 3)} AS distance_remaining_km, {r('local_min', 3)} AS eta_remaining_min,
+    {r('route_min', 3)} AS google_route_eta_min, {r(BLEND, 3)} AS blended_eta_min, {METHOD} AS method, as_of FROM scored""")
+add("batch_predict", REQUESTS, f"""SELECT {METHOD} AS outcome, count(*) AS n FROM scored GROUP BY 1
+    UNION ALL SELECT {ERROR} AS outcome, count(*) AS n FROM requests WHERE broken OR no_speed OR no_number GROUP BY 1""")
+
+# --- near-arrival candidates --------------------------------------------------------------
+CANDIDATES = CALIBRATION + """,
+near AS (SELECT y, naive, naive * 1.2 AS p50, p10 AS special FROM val WHERE y <= 60),
+blends AS (SELECT (3 + th_i * 10 + w_i * 2 + o_i)::INT AS trial, CASE o_i WHEN 0 THEN 'blend_naive' ELSE 'blend_specialist' END AS mode,
+    th, w, o_i FROM (SELECT unnest([60.0, 90.0, 120.0, 150.0, 180.0, 240.0]) AS th, generate_subscripts([1, 2, 3, 4, 5, 6], 1) - 1 AS th_i),
+    (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS w, generate_subscripts([1, 2, 3, 4, 5], 1) - 1 AS w_i), (VALUES (0), (1)) o(o_i)),
+tried AS (
+  SELECT 0 AS trial, 'global' AS mode, 60.0 AS th, 0.0 AS w, avg(abs(y - p50)) AS e, avg((abs(y - p50) <= 10)::INT) AS k FROM near
+  UNION ALL SELECT 1, 'naive', 60.0, 0.0, avg(abs(y - naive)), avg((abs(y - naive) <= 10)::INT) FROM near
+  UNION ALL SELECT 2, 'specialist', 60.0, 0.0, avg(abs(y - special)), avg((abs(y - special) <= 10)::INT) FROM near
+  UNION ALL SELECT trial, mode, th, w, avg(abs(y - b)), avg((abs(y - b) <= 10)::INT) FROM (
+    SELECT trial, mode, th, w, y, CASE WHEN naive <= th THEN (1 - w::DOUBLE) * p50 + w::DOUBLE * CASE o_i WHEN 0 THEN naive ELSE special END
+      ELSE p50 END AS b FROM near, blends) GROUP BY trial, mode, th, w)"""
+add("near_opt_candidates", CANDIDATES, f"""SELECT trial::INT AS trial, mode, th::DOUBLE AS threshold, w::DOUBLE AS weight,
+    {r('e')} AS near_mae, {r('k')} AS within_tolerance FROM tried""")
+add("near_opt_select", CANDIDATES, f"""SELECT mode, th::DOUBLE AS threshold, w::DOUBLE AS weight, {r('e')} AS near_mae,
+    {r('k')} AS within_tolerance FROM tried ORDER BY round(e, 9), trial LIMIT 1""")
+
+# --- further features ---------------------------------------------------------------------
+MOTION = TRIPS + STEPS.format(h=H, source="trips") + """,
+moving AS (SELECT *, (epoch_us(Timestamp) - epoch_us(lag(Timestamp) OVER w)) / 1e6 AS dt, sp - lag(sp) OVER w AS dv,
+    sum((sp < 2)::INT) OVER w AS slow,
+    degrees(atan2(sin(radians(Longitude) - radians(plon)) * cos(radians(Latitude)),
+      cos(radians(plat)) * sin(radians(Latitude)) - sin(radians(plat)) * cos(radians(Latitude)) * cos(radians(Longitude) - radians(plon)))) AS head,
+    lag(km, 4) OVER w AS km4, (epoch_us(Timestamp) - epoch_us(lag(Timestamp, 4) OVER w)) / 6e7 AS min4
+  FROM paths WINDOW w AS (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq)),
+turning AS (SELECT *, head - lag(head) OVER (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq) AS dh FROM moving)"""
+add("acceleration", MOTION, f"SELECT {KEY}, {r('dv / nullif(dt, 0)')} AS acceleration_mphps FROM moving")
+add("stop_go_ratio", MOTION, f"SELECT {KEY}, {r('slow / (i + 1)')} AS stop_go_ratio FROM moving")
+add("bearing_change_rate", MOTION, f"""SELECT {KEY}, {r('CASE WHEN dh > 180 THEN dh - 360 WHEN dh <= -180 THEN dh + 360 ELSE dh END / nullif(dt, 0)', 4)}
+    AS bearing_change_rate FROM turning""")
+add("trip_duration_estimate", MOTION, f"""SELECT {KEY}, CASE WHEN km - km4 > 0 AND min4 > 0 THEN
+    {r('greatest(total - km, 0) / ((km - km4) / min4)', 4)} END AS trip_duration_estimate_min FROM moving""")
+add("eta_smoothing", FEATURES + f""",
+  ordered AS (SELECT *, {NAIVE} AS v FROM features),
+  listed AS (SELECT {KEY}, list(v) OVER (PARTITION BY VIN, trip_local ORDER BY i) AS vs FROM ordered)""",
+    f"SELECT {KEY}, {r('list_reduce(vs, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a)')} AS eta_smoothed FROM listed")
+add("eta_drift", FEATURES + f", timed AS (SELECT *, epoch_us(Timestamp) / 6e7 + {NAIVE} AS arrival FROM features)",
+    f"""SELECT {KEY}, {r('arrival - lag(arrival) OVER (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq)', 4)} AS drift_min
+    FROM timed""")
+add("trip_category", TRIPS + STEPS.format(h=H, source="trips"), """SELECT VIN, trip_local,
+    CASE WHEN max(km) <= 150 THEN 'short' WHEN max(km) <= 500 THEN 'medium' ELSE 'long' END AS by_distance,
+    CASE WHEN max(hours) < 2 THEN 'short' WHEN max(hours) <= 8 THEN 'medium' ELSE 'long' END AS by_duration
+    FROM paths GROUP BY VIN, trip_local""")
+LIVE = FEATURES + "," + STEPS.format(h=H, source="trips").removeprefix(",") + f""",
+clear AS (SELECT f.*, CASE WHEN (f.i + 1) % 5 <> 0 THEN NULL WHEN km + dist_remaining_km <= 150 * 0.9 THEN 'short'
+    WHEN km + dist_remaining_km > 150 * 1.1 AND km + dist_remaining_km <= 500 * 0.9 THEN 'medium'
+    WHEN km + dist_remaining_km > 500 * 1.1 THEN 'long' END AS c
+  FROM features f JOIN (SELECT event_seq, km FROM paths) USING (event_seq)),
+live AS (SELECT *, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS trip_category,
+    eta_remaining_s / 60.0 AS y, {NAIVE} AS p50 FROM clear)"""
+add("live_category", LIVE, f"SELECT {KEY}, trip_category FROM live")
+add("metrics_by_category", LIVE, f"SELECT trip_category, {metric_select(interval=False)} FROM live GROUP BY trip_category")
+add("one_hot", PINGS, """SELECT Device_Type, Source, count(*) AS n,
+    list_position((SELECT list_sort(list(DISTINCT Device_Type)) FROM pings), Device_Type)::INT AS device_slot,
+    list_position((SELECT list_sort(list(DISTINCT Source)) FROM pings), Source)::INT AS source_slot
+    FROM pings GROUP BY Device_Type, Source""")
+add("frequency_encoding", PINGS, f"SELECT event_seq, {r('count(*) OVER (PARTITION BY Source) / count(*) OVER ()')} AS Source_freq FROM pings")
+add("target_encoding", FEATURES, f"SELECT Source, {r('avg(eta_remaining_s / 60.0)')} AS mean_y FROM features GROUP BY Source")
+LAGS = FEATURES + """,
+events_ AS (SELECT VIN, trip_local, i, n FROM (SELECT *, lag(Weight_lbs > 10000) OVER (PARTITION BY VIN, trip_local ORDER BY i) AS before
+    FROM features WHERE Weight_lbs IS NOT NULL) WHERE before <> (Weight_lbs > 10000)),
+lags AS (SELECT VIN, trip_local, i AS event_position, CASE WHEN greatest(ceil(i / 4.0), 1) * 4 <= n - 1
+    THEN (greatest(ceil(i / 4.0), 1) * 4 - i)::BIGINT END AS lag_pings FROM events_)"""
+add("detection_lag", LAGS, "SELECT * FROM lags")
+add("median_detection_lag", LAGS, "SELECT quantile_cont(lag_pings, 0.5)::DOUBLE AS median_lag FROM lags")
+add("grid_density", PINGS, f"""SELECT floor(Latitude / 0.25)::BIGINT AS cell_lat, floor(Longitude / 0.25)::BIGINT AS cell_lon, count(*) AS pings,
+    {r('avg(coalesce(Speed, 0.0))')} AS mean_speed, {r('avg((coalesce(Speed, 0.0) < 2)::INT)')} AS standing_share FROM pings GROUP BY 1, 2""")
+
+# --- streams ------------------------------------------------------------------------------
+STREAM = ALL_TRIPS + "," + features("all_trips") + """,
+trail AS (SELECT *, (round(avg(sp) OVER (PARTITION BY VIN, trip_local ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) < 10)::INT
+    AS state FROM features),
+causal AS (SELECT *, (state <> lag(state) OVER (PARTITION BY VIN, trip_local ORDER BY i))::INT AS turned_now FROM trail)"""
+add("stream_features", STREAM, f"""SELECT VIN, event_seq, epoch_us(Timestamp)::BIGINT AS ts_us, false AS late, trip_local,
+    i + 1 AS pings_so_far, {r('elapsed_s')} AS elapsed_s, {r('mean5')} AS speed_rolling_mean, {r('std5')} AS speed_rolling_std,
+    {r('top')} AS speed_cummax, state AS load_state_trailing,
+    (coalesce(sum(turned_now) OVER (PARTITION BY VIN, trip_local ORDER BY i), 0))::BIGINT AS load_changes_so_far FROM causal""")
+add("stream_eta", STREAM + f", listed AS (SELECT *, {NAIVE} AS v, list({NAIVE}) OVER (PARTITION BY VIN, trip_local ORDER BY i) AS vs FROM features)",
+    f"SELECT VIN, event_seq, {r('v')} AS eta_min, {r('list_reduce(vs, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a)')} AS eta_smoothed_min FROM listed")
+add("stream_trips", GAP_TRIPS, f"""SELECT VIN, count(*) AS pings, epoch_us(min(Timestamp))::BIGINT AS start_us,
+    epoch_us(max(Timestamp))::BIGINT AS end_us, {r('max(coalesce(Speed, 0.0))')} AS top_mph,
+    count_if(coalesce(Speed, 0.0) < 2)::BIGINT AS standing_pings FROM gap_trips GROUP BY VIN, trip_local""")
+add("stream_dedupe", PINGS, "SELECT VIN, event_seq FROM pings")
