@@ -81,6 +81,14 @@ def random_pings(seed=3, vins=3, n=400):
     return df
 
 
+def table_rows(df):
+    def value(v):
+        return v.to_pydatetime() if isinstance(v, pd.Timestamp) else None if v != v else v
+
+    names = ["VIN", "event_seq", "Timestamp", "Latitude", "Longitude", "Speed", "Weight_lbs"]
+    return [tuple(value(v) for v in row) for row in df[names].itertuples(index=False, name=None)]
+
+
 def brute(df):
     """Row-at-a-time statement of segmentation and features."""
     out = []
@@ -126,11 +134,7 @@ def brute(df):
 def test_any_chunk_length_gives_the_row_by_row_result(spark, chunk):
     df = random_pings()
     want = brute(df)
-    clean = df.astype(object).where(df.notna(), None)
-    source = spark.createDataFrame(
-        list(clean[["VIN", "event_seq", "Timestamp", "Latitude", "Longitude", "Speed", "Weight_lbs"]].itertuples(index=False, name=None)),
-        SCHEMA,
-    )
+    source = spark.createDataFrame(table_rows(df), SCHEMA)
     got = (
         build_features(segment_trips(source, chunk_seconds=chunk), label=True, chunk_seconds=chunk)
         .orderBy("event_seq")
