@@ -35,39 +35,41 @@ class PrunedSearch:
         self.penalty, self.min_size = penalty, min_size
         self.n = 0
         self.sum = self.squares = 0.0
-        # positions not old enough to end a segment before: (position, best cost, sums)
-        self.waiting: list[tuple[int, float, float, float]] = [(0, 0.0, 0.0, 0.0)]
-        self.at = np.empty(0, dtype=np.int64)
-        self.best = np.empty(0)
-        self.s1 = np.empty(0)
-        self.s2 = np.empty(0)
+        # positions not old enough to end a segment before: (position, best cost, sum, squares)
+        self.waiting: list[tuple[float, float, float, float]] = [(0, 0.0, 0.0, 0.0)]
+        # live candidates, one column each, same four values
+        self.table = np.empty((4, 64))
+        self.live = 0
         self.parent: dict[int, int] = {}
         self.root = 0
 
+    def _admit(self) -> None:
+        while self.waiting and self.waiting[0][0] <= self.n - self.min_size:
+            if self.live == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.empty_like(self.table)], axis=1)
+            self.table[:, self.live] = self.waiting.pop(0)
+            self.live += 1
+
     def push(self, values: np.ndarray) -> None:
-        for x in values:
+        for x in values.tolist():
             self.n += 1
             self.sum += x
             self.squares += x * x
             if self.n < self.min_size:
                 continue
-            while self.waiting and self.waiting[0][0] <= self.n - self.min_size:
-                t, cost, s1, s2 = self.waiting.pop(0)
-                self.at = np.append(self.at, t)
-                self.best = np.append(self.best, cost)
-                self.s1 = np.append(self.s1, s1)
-                self.s2 = np.append(self.s2, s2)
-            diff = self.sum - self.s1
-            spread = self.squares - self.s2 - diff * diff / (self.n - self.at)
-            total = self.best + np.maximum(spread, 0.0)
+            self._admit()
+            at, best, s1, s2 = self.table[:, : self.live]
+            diff = self.sum - s1
+            total = best + np.maximum(self.squares - s2 - diff * diff / (self.n - at), 0.0)
             k = int(total.argmin())
             optimum = float(total[k]) + self.penalty
-            self.parent[self.n] = int(self.at[k])
+            self.parent[self.n] = int(at[k])
             self.waiting.append((self.n, optimum, self.sum, self.squares))
             keep = total <= optimum
-            if not keep.all():
-                self.at, self.best = self.at[keep], self.best[keep]
-                self.s1, self.s2 = self.s1[keep], self.s2[keep]
+            kept = int(np.count_nonzero(keep))
+            if kept < self.live:
+                self.table[:, :kept] = self.table[:, : self.live][:, keep]
+                self.live = kept
 
     def _path(self, position: int) -> list[int]:
         path = []
@@ -78,7 +80,7 @@ class PrunedSearch:
 
     def settled(self) -> list[int]:
         """Change points shared by all live candidates; forgets everything before them."""
-        live = [int(t) for t in self.at] + [w[0] for w in self.waiting]
+        live = [int(t) for t in self.table[0, : self.live]] + [int(w[0]) for w in self.waiting]
         if self.root in live:
             return []
         paths = [self._path(t) for t in live]
@@ -218,6 +220,8 @@ def change_points(
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
+    # a fixed number of partitions: the search costs time, not bytes, so small ones stay apart
+    partitions = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         trips.select(
             "VIN",
@@ -226,7 +230,7 @@ def change_points(
             "event_seq",
             effective_speed().alias("_sp"),
         )
-        .repartition("VIN", "trip_local")
+        .repartition(partitions, "VIN", "trip_local")
         .sortWithinPartitions("VIN", "trip_local", "_t", "event_seq")
         .select("VIN", "trip_local", "_sp")
     )

@@ -106,12 +106,11 @@ def add_load_state(
     # written once: the means, the changes and the result all read the segmented rows
     segmented = cut_lineage(with_segments(scanned, change_points(trips, method, **search)))
     states = segment_states(segmented)
-    changes = segment_changes(states)
-    return (
-        segmented.join(states.select(*TRIP, "segment", "load_state"), [*TRIP, "segment"])
-        .join(changes.select(*TRIP, "load_change_count"), TRIP)
-        .select(*trips.columns, "load_state", "load_change_count")
-    )
+    # trip totals are attached to the segments, so the pings are joined once
+    described = states.join(segment_changes(states).select(*TRIP, "load_change_count"), TRIP)
+    return segmented.join(
+        described.select(*TRIP, "segment", "load_state", "load_change_count"), [*TRIP, "segment"]
+    ).select(*trips.columns, "load_state", "load_change_count")
 
 
 def load_confusion(

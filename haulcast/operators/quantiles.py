@@ -4,7 +4,8 @@
 Here an approximate quantile sketch brackets each wanted rank, one counting pass checks the
 brackets, and only the few values inside them are sorted. Brackets that are still too full are
 narrowed again, so the result is exact for any amount of data. Only counts, bracket ends and the
-results reach the driver.
+results reach the driver. Every step is a pass over the input, so an expensive input should be
+written once first (``session.cut_lineage``).
 """
 
 from __future__ import annotations

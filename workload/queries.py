@@ -588,8 +588,8 @@ def _(spark, sf_dir):
 
 
 def split_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all, validation, test) stand-in predictions."""
-    df = trip_split(derived.predictions(spark, sf_dir))
+    """(all, validation, test) stand-in predictions, written once for the passes of the fits."""
+    df = cut_lineage(trip_split(derived.predictions(spark, sf_dir)))
     return df, df.where(F.col("split") == "validation"), df.where(F.col("split") == "test")
 
 
@@ -601,7 +601,7 @@ def _(spark, sf_dir):
 @query("quantile_higher")
 def _(spark, sf_dir):
     """An exact order statistic found through narrowing brackets (small sort limit)."""
-    df = derived.predictions(spark, sf_dir)
+    df = cut_lineage(derived.predictions(spark, sf_dir).select("p50"))
     value = quantiles.quantile_higher(df, "p50", 0.8, sort_limit=200)
     return spark.range(1).select(r6(F.lit(value)).alias("value"))
 
