@@ -101,38 +101,52 @@ def trip_summary(
 ) -> DataFrame:
     """One row per trip: times, pings, path length, mean speed, stops and mean weight.
 
-    The path is the sum of steps, so it is an aggregate with map-side combining. Summaries and
-    stops meet on the trip key at one row per trip.
+    One scan and two aggregations with map-side combining: first per trip and standing period
+    (all moving pings of a trip together), then per trip.
     """
-    base = (
+    standing = F.when(F.col("_x0") < STOP_SPEED_MPH, F.col("_mv"))
+    periods = (
         trip_scan(trips, key)
+        .withColumn("_period", standing)
         .withColumn("_km_step", step_km())
-        .groupBy(*key)
+        .groupBy(*key, "_period")
         .agg(
-            F.min("_us").alias("start_us"),
-            F.max("_us").alias("end_us"),
-            F.count(F.lit(1)).alias("pings"),
-            F.coalesce(F.sum("_km_step"), F.lit(0.0)).alias("path_km"),
-            F.avg("Weight_lbs").alias("avg_weight_lbs"),
+            F.min("_us").alias("a"),
+            F.max("_us").alias("b"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("_km_step").alias("km"),
+            F.sum("Weight_lbs").alias("weight"),
+            F.count("Weight_lbs").alias("weighed"),
+            F.max("_mv_total").alias("moving"),
         )
     )
-    stops = (
-        detect_stops(trips, min_duration_min=min_duration_min, key=key)
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("stops"), F.sum("duration_min").alias("stop_min"))
-    )
+    minutes = (F.col("b") - F.col("a")) / F.lit(6e7)
+    # the period after the last moving ping is still open; moving pings have no period
+    is_stop = (F.col("_period") < F.col("moving")) & (minutes >= min_duration_min)
     hours = (F.col("end_us") - F.col("start_us")) / F.lit(3.6e9)
-    return base.join(stops, list(key), "left").select(
-        *key,
-        "start_us",
-        "end_us",
-        hours.alias("hours"),
-        "pings",
-        "path_km",
-        (F.col("path_km") / F.nullif(hours, F.lit(0.0))).alias("km_per_h"),
-        F.coalesce("stops", F.lit(0)).alias("stops"),
-        F.coalesce("stop_min", F.lit(0.0)).alias("stop_min"),
-        "avg_weight_lbs",
+    return (
+        periods.groupBy(*key)
+        .agg(
+            F.min("a").alias("start_us"),
+            F.max("b").alias("end_us"),
+            F.sum("n").alias("pings"),
+            F.coalesce(F.sum("km"), F.lit(0.0)).alias("path_km"),
+            F.count_if(is_stop).alias("stops"),
+            F.coalesce(F.sum(F.when(is_stop, minutes)), F.lit(0.0)).alias("stop_min"),
+            (F.sum("weight") / F.nullif(F.sum("weighed"), F.lit(0))).alias("avg_weight_lbs"),
+        )
+        .select(
+            *key,
+            "start_us",
+            "end_us",
+            hours.alias("hours"),
+            "pings",
+            "path_km",
+            (F.col("path_km") / F.nullif(hours, F.lit(0.0))).alias("km_per_h"),
+            "stops",
+            "stop_min",
+            "avg_weight_lbs",
+        )
     )
 
 

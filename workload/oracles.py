@@ -281,6 +281,8 @@ add("coverage_extremes", COVER, """(SELECT *, 'lowest' AS side FROM cover ORDER
 
 # --- trips and features -------------------------------------------------------------------
 add("trip_segment", ALL_TRIPS, f"SELECT {KEY} FROM all_trips")
+add("ping_order", ALL_TRIPS, f"""SELECT {KEY}, row_number() OVER (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq) - 1
+    AS position FROM all_trips""")
 add("trip_segment_gap", GAP_TRIPS, f"SELECT {KEY} FROM gap_trips")
 add("trip_number_global", ALL_TRIPS + """,
     totals AS (SELECT VIN, max(trip_local) AS m FROM all_trips GROUP BY VIN),

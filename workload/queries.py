@@ -472,6 +472,13 @@ def _(spark, sf_dir):
     return trips(spark, sf_dir).select(*KEY)
 
 
+@query("ping_order")
+def _(spark, sf_dir):
+    """Position of every ping in the time order of its trip; no global sort."""
+    scanned = features.trip_scan(trips(spark, sf_dir))
+    return scanned.select(*KEY, F.col("_i").alias("position"))
+
+
 @query("trip_segment_gap")
 def _(spark, sf_dir):
     return trips(spark, sf_dir, split_on_stop=False).select(*KEY)
