@@ -151,8 +151,11 @@ def test_row_windows_never_span_a_whole_vehicle(spark):
     """The pings are exchanged on (VIN, chunk) only; summaries are what moves by VIN."""
     source = pings(spark, [("A", m, 50.0) for m in range(10)])
     plan = segment_trips(source)._jdf.queryExecution().executedPlan().toString()
-    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(VIN" in line]
-    assert wide and all("chunk" in w or "hashpartitioning(VIN#" in w for w in wide)
+    over_pings = [line for line in plan.splitlines() if "Window [" in line and ("lag(_t#" in line or "sum(_open#" in line)]
+    assert over_pings
+    for line in over_pings:
+        spec = line.split("windowspecdefinition(")[1]
+        assert spec.split(",")[1].strip().startswith("chunk#")
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
