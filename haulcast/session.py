@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 
@@ -45,6 +47,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "haulcast")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", own_checkpoint_folder())
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .getOrCreate()
@@ -54,18 +57,28 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "haulcast")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a private one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", ""
-    )
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+
+    A session on one machine that names none gets a folder of its own, removed when it ends; on a
+    cluster the setting is required, since executors do not see each other's local folders.
+    """
     context = spark.sparkContext
-    if root:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(root)
-        return root
+    root = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    root = root or context.getCheckpointDir() or ""
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = own_checkpoint_folder()
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="haulcast-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(root)
+    return root
+
+
+def own_checkpoint_folder() -> str:
+    """A folder for the checkpoints of a single-machine session, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="haulcast-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
