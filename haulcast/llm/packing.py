@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulcast.llm.common import stage
-from haulcast.llm.texthash import BLOCK_BYTES, WordHasher, blocks, mix, text_bytes
+from haulcast.llm.texthash import WordHasher, blocks, mix, text_bytes
 
 CAPACITY = 2048
 SMALLEST = 64  # rests are cut at capacity/2, capacity/4, ... down to this length
 END = 1  # id that closes every document
 NEWLINE = "\n"
+BLOCK = 1 << 19  # bytes of text encoded together
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -169,7 +170,7 @@ def _piece_rows(path: str, capacity: int, smallest: int, keep_ids: bool):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
-            for i, j in blocks(offsets, BLOCK_BYTES):
+            for i, j in blocks(offsets, BLOCK):
                 ids, counts = encoder.block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out, at = [], 0
                 for k, n in enumerate(counts):

@@ -36,7 +36,7 @@ class WordHasher:
     def _tables(self, n: int) -> None:
         if len(self.power) < n:
             base = 0xD6E8FEB86659FD93
-            size = max(n, BLOCK_BYTES)
+            size = max(n, 1 << 19)
             for name, b in (("power", base), ("inverse", pow(base, -1, 2**64))):
                 steps = np.full(size, _U(b))
                 steps[0] = 1
