@@ -20,6 +20,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # batches for Python are bounded by size as well as by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # recording the call site of every column expression dominates plan building
     "spark.sql.dataFrameQueryContext.enabled": "false",
 }
