@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulcast.llm.common import worker_cache
 from haulcast.llm.packing import tokenizer_path
 
 # The marks of the template.
@@ -98,7 +99,10 @@ FORMATTED = "conv_id long, formatted string, ids array<int>, token_start array<i
 
 def _format(path: str):
     def run(batches):
-        tokenizer = chat_tokenizer(path)
+        cache = worker_cache()
+        if ("chat", path) not in cache:
+            cache["chat", path] = chat_tokenizer(path)
+        tokenizer = cache["chat", path]
         for batch in batches:
             rows = []
             for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()):

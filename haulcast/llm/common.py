@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -38,6 +40,14 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def worker_cache() -> dict:
+    """Objects that a Python worker keeps from task to task, such as loaded tokenizers.
+
+    Functions of this package travel by value, so their modules' globals do not outlive a task.
+    """
+    return sys.modules.setdefault("haulcast_worker_cache", types.ModuleType("haulcast_worker_cache")).__dict__
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+`` in a text; null and blank texts have none."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulcast.llm.texthash import blocks, text_bytes
+from haulcast.llm.texthash import BLOCK_BYTES, blocks, text_bytes
 
 ROWS = 1 << 16  # embedding rows
 DIMENSIONS = 16
@@ -148,9 +148,9 @@ def _scores(model: LanguageModel, batch: pa.RecordBatch) -> tuple[np.ndarray, np
     data, offsets = text_bytes(batch.column("text"))
     logits = np.zeros((batch.num_rows, len(model.labels)))
     for i, j in blocks(offsets):
-        for at in range(offsets[i], offsets[j], 1 << 21) if j == i + 1 else [offsets[i]]:
+        for at in range(offsets[i], offsets[j], BLOCK_BYTES) if j == i + 1 else [offsets[i]]:
             # one long text is read in overlapping pieces
-            to = min(offsets[j], at + (1 << 21) + 3) if j == i + 1 else offsets[j]
+            to = min(offsets[j], at + BLOCK_BYTES + 3) if j == i + 1 else offsets[j]
             edges = offsets[i : j + 1] - at if j > i + 1 else np.array([0, to - at])
             rows, owner = subwords(data[at:to], edges)
             weight = np.zeros((j - i, len(model.labels) + 1))

@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulcast.llm.common import stage
+from haulcast.llm.common import stage, worker_cache
 from haulcast.llm.texthash import WordHasher, blocks, mix, text_bytes
 
 CAPACITY = 2048
 SMALLEST = 64  # rests are cut at capacity/2, capacity/4, ... down to this length
 END = 1  # id that closes every document
 NEWLINE = "\n"
+MOST_PIECES = 600_000  # distinct pieces whose ids a worker keeps; beyond, it starts anew
 BLOCK = 1 << 19  # bytes of text encoded together
 
 
@@ -61,6 +62,21 @@ class PieceEncoder:
         kind[0x27] = 5
         self.kind = kind
         self.newline = self.tokenizer.encode(NEWLINE, add_special_tokens=False).ids
+        self.forget()
+
+    @classmethod
+    def of_worker(cls, path: str) -> PieceEncoder:
+        """The worker's encoder: one tokenizer and one table of pieces for all of its tasks."""
+        cache = worker_cache()
+        if (cls.__name__, path) not in cache:
+            cache[cls.__name__, path] = cls(path)
+        found = cache[cls.__name__, path]
+        if len(found.hash) > MOST_PIECES:
+            found.forget()
+        return found
+
+    def forget(self) -> None:
+        """Drop the pieces learned so far."""
         self.hash = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -124,6 +140,8 @@ class PieceEncoder:
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], dtype=np.int64)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, dtype=np.int64)
+        if len(edges) == 2 and len(data) > 2 * BLOCK:
+            return self._long(data)
         begin = self._cuts(data)
         begin[edges[:-1][edges[:-1] < len(data)]] = True
         start = np.flatnonzero(begin)
@@ -145,6 +163,25 @@ class PieceEncoder:
         counts = np.diff(before[np.searchsorted(start, edges)])
         return self.ids[index], counts
 
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One long text, worked in runs of pieces."""
+        found, at = [], 0
+        while at < len(data):
+            to, size = len(data), BLOCK
+            while at + size < len(data):
+                cuts = np.flatnonzero(self._cuts(data[at : at + size]))
+                if len(cuts):
+                    to = at + int(cuts[-1])
+                    break
+                size *= 2
+            if to - at > 2 * BLOCK:  # no cut in sight
+                found.append(self._whole(data[at:to].tobytes()))
+            else:
+                found.append(self.block(data[at:to], np.array([0, to - at]))[0])
+            at = to
+        ids = np.concatenate(found)
+        return ids, np.array([len(ids)], dtype=np.int64)
+
     def _piece_hashes(self, data, start, end):
         h = self.hasher
         h._tables(len(data))
@@ -166,11 +203,13 @@ def cut_lengths(tokens: int, capacity: int, smallest: int) -> list[int]:
 
 def _piece_rows(path: str, capacity: int, smallest: int, keep_ids: bool):
     def run(batches):
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder.of_worker(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
             for i, j in blocks(offsets, BLOCK):
+                if len(encoder.hash) > MOST_PIECES:
+                    encoder.forget()
                 ids, counts = encoder.block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out, at = [], 0
                 for k, n in enumerate(counts):

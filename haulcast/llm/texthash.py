@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21  # texts hashed together; longer texts are hashed piece by piece
+BLOCK_BYTES = 1 << 19  # texts hashed together; longer texts are hashed piece by piece
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
