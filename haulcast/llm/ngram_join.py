@@ -10,9 +10,10 @@
 4. Representatives meet on prefix n-grams. Length and positional filters apply to every meeting; a pair
    is then kept once, tested by the suffix filter (a 32-part profile of both sets bounds their
    intersection) and verified once on the whole sets.
-5. Lists of n-grams with many members do not emit all pairs: hubs are compared with the whole list,
-   what links is one component, and pairs inside a component need no test. Rounds go on, with more
-   hubs each, until every list has one component or has compared all its members outside the largest.
+5. Lists of n-grams with many members do not emit all pairs: what links is one component, and pairs
+   inside a component need no test. In the first rounds each member meets one hub, which links
+   groups of near copies; then hubs are compared with their whole lists, more in every round, until
+   each list has one component or has compared all its members outside the largest.
 
 Defined results: null and blank texts have the empty set and link with nothing; shorter texts than an
 n-gram are one n-gram; a row without doc_id links with nothing and has no component; rows that repeat
@@ -33,6 +34,7 @@ from haulcast.llm.texthash import WordHasher, mix, text_bytes, texts_words
 CHUNK_HASHES = 1 << 20  # n-grams whose documents travel together
 CHUNK_DOCS = 1 << 15
 PROFILE = 32
+LINKING_ROUNDS = 3  # rounds in which a member meets one hub, before lists are compared exhaustively
 NO_ID = -(2**63)
 LOW48 = (1 << 48) - 1
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -202,7 +204,7 @@ def _meetings(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataF
     met = met.filter(den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))
     most = F.least("pos", "hub_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) - 1
     met = met.filter((num + den) * most >= num * (F.col("n") + F.col("hub_n")))
-    return met.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
+    return met.select("row", "hub")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -224,13 +226,13 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     one = F.min(F.struct("doc_id", "row"))["row"]
     same = ["n", "sig_a", "sig_b"]
     classes = sets.filter("n > 0 and doc_id is not null").groupBy(*same).agg(one.alias("rep"))
-    members = stage(sets.select("row", "doc_id", *same).join(classes, same, "left").select("row", "doc_id", "n", F.coalesce("rep", "row").alias("rep")))
+    members = stage(sets.select("row", "doc_id", *same).join(classes, same, "left").select("row", "doc_id", "n", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "row").alias("rep")))
     candidates = stage(sets.filter("keys is not null").join(members.filter("row = rep").select("row"), "row", "left_semi").drop("doc_id", "sig_a", "sig_b"))
     prefix = F.expr(f"slice(keys, 1, cast(n - ceil({num} * n / {den}) + 1 - alone as int))")
     postings = candidates.select("row", "n", "alone", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"))
     postings = stage(postings.join(postings.groupBy("h").count().filter("count > 1").select("h"), "h"))
     edges = roots = used = None
-    few, slots = 4, 1
+    few, slots, turn = 4, 1, 0
     while True:
         if roots is None:
             current = postings.withColumn("c", F.col("row"))
@@ -239,27 +241,36 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
         parts = current.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c"))["c"].alias("largest"), F.count("*").alias("parts"))
         open_lists = parts.filter("parts > 1").select("h", "largest")
         current = stage(current.join(open_lists, "h"))
-        rest = current.filter("c <> largest")
-        if used is not None:
-            rest = rest.join(used, ["h", "row"], "left_anti")
-        # hubs: all open members of a short list, else the smallest of each of some slots
-        key = F.xxhash64("row")
+        key = F.xxhash64(F.lit(turn), "row")
         member = F.struct(key.alias("k"), "row", "c", "n", "pos")
-        # lists of a few open members give all of them (a slot each cannot be promised by hashing)
-        size = rest.groupBy("h").agg(F.count("*").alias("members"))
-        rest = rest.join(size, "h")
-        short = rest.filter(F.col("members") <= few).select("h", "row", "c", "n", "pos")
-        long = rest.filter(F.col("members") > few).groupBy("h", F.pmod(key, F.lit(slots)).alias("slot")).agg(F.min(member).alias("m"))
-        hubs = stage(short.unionByName(long.select("h", "m.row", "m.c", "m.n", "m.pos")))
-        if hubs.isEmpty():
-            break
-        found = stage(_verified(_meetings(current, hubs, num, den), candidates, num, den))
+        if turn < LINKING_ROUNDS:
+            # every member meets one hub only: the first, in this round's order, of those its lists name
+            hubs = current.groupBy("h").agg(F.min(member).alias("m")).select("h", "m.row", "m.c", "m.n", "m.pos")
+            met = _meetings(current, hubs, num, den)
+            first = F.min(F.struct(F.xxhash64(F.lit(turn), "hub"), "hub"))["hub"].alias("hub")
+            pairs = met.groupBy("row").agg(first)
+        else:
+            rest = current.filter("c <> largest")
+            if used is not None:
+                rest = rest.join(used, ["h", "row"], "left_anti")
+            # hubs: all open members of a short list, else the first of each of some slots
+            size = rest.groupBy("h").agg(F.count("*").alias("members"))
+            rest = rest.join(size, "h")
+            short = rest.filter(F.col("members") <= few).select("h", "row", "c", "n", "pos")
+            long = rest.filter(F.col("members") > few).groupBy("h", F.pmod(key, F.lit(slots)).alias("slot")).agg(F.min(member).alias("m"))
+            hubs = stage(short.unionByName(long.select("h", "m.row", "m.c", "m.n", "m.pos")))
+            if hubs.isEmpty():
+                break
+            pairs = _meetings(current, hubs, num, den)
+            now = hubs.select("h", "row")
+            used = now if used is None else used.unionByName(now)
+            few, slots = min(4096, 8 * few), min(1024, 8 * slots)
+        pairs = stage(pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct())
+        found = stage(_verified(pairs, candidates, num, den))
         edges = found if edges is None else edges.unionByName(found)
-        now = hubs.select("h", "row")
-        used = now if used is None else used.unionByName(now)
         roots = components(edges)
-        drop_staged(docs.sparkSession, current)
-        few, slots = min(4096, 16 * few), min(1024, 16 * slots)
+        drop_staged(docs.sparkSession, current, pairs)
+        turn += 1
     if roots is None:
         joined = members.withColumn("root", F.col("rep"))
     else:
