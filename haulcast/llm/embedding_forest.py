@@ -130,10 +130,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = TREES,
     rows = vectors.select(F.col("vec_id").cast("long"), F.when(~bad & (F.size(value) > 0), value).alias("v"))
     # scaled by the largest component first, so squares neither overflow nor vanish
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    rows = rows.withColumn("top", top).withColumn("scaled", F.transform("v", lambda x: x / F.col("top")))
+    rows = rows.withColumn("top", top).withColumn("scaled", F.transform("v", lambda x: F.try_divide(x, F.col("top"))))
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     rows = rows.withColumn("norm", norm)
-    unit = F.when((F.col("top") > 0) & F.col("vec_id").isNotNull(), F.transform("scaled", lambda x: x / F.col("norm")))
+    unit = F.when((F.col("top") > 0) & F.col("vec_id").isNotNull(), F.transform("scaled", lambda x: F.try_divide(x, F.col("norm"))))
     rows = stage(rows.select("vec_id", F.monotonically_increasing_id().alias("row"), unit.alias("unit")))
     classes = stage(rows.filter("unit is not null").groupBy("unit").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
     members = rows.join(classes, "unit", "left").select("vec_id", "row", "copies", F.coalesce("rep", "row").alias("rep"))
