@@ -38,15 +38,19 @@ def conformal_qhat(validation: DataFrame, alpha: float = 1 - TARGET_COVERAGE) ->
     return quantile_higher(validation, overshoot(), round(1.0 - alpha, 12))
 
 
-def interval_scale(rows: DataFrame, target: float = TARGET_COVERAGE) -> float:
-    """Smallest common widening factor, at least 1, that covers ``target`` of the rows."""
-    return max(1.0, quantile_higher(rows, required_scale(), target))
+def _at_least_one(factor: float | None) -> float | None:
+    return None if factor is None else max(1.0, factor)
+
+
+def interval_scale(rows: DataFrame, target: float = TARGET_COVERAGE) -> float | None:
+    """Smallest common widening factor, at least 1, that covers ``target`` of the rows; None without rows."""
+    return _at_least_one(quantile_higher(rows, required_scale(), target))
 
 
 def interval_scales(rows: DataFrame, targets: list[float]) -> dict[float, float]:
     """``interval_scale`` for several targets in the same passes."""
     found = quantiles_higher(rows, {str(t): (required_scale(), t) for t in targets})
-    return {t: max(1.0, found[str(t)]) for t in targets}
+    return {t: _at_least_one(found[str(t)]) for t in targets}
 
 
 @dataclass(frozen=True)
@@ -135,7 +139,7 @@ def calibration_report(test: DataFrame, fitted: Calibration) -> DataFrame:
             "scaled_90": scaled_interval(p10, p90, fitted.scale_90),
             "target_805": scaled_interval(p10, p90, fitted.scale_posthoc),
             "bucketed_85": scaled_interval(p10, p90, F.col("scale")),
-            "conformal_80": (p10 - fitted.qhat, p90 + fitted.qhat),
+            "conformal_80": (p10 - F.lit(fitted.qhat).cast("double"), p90 + F.lit(fitted.qhat).cast("double")),
         },
     )
     return report.withColumn("is_posthoc", F.col("method") == "target_805")

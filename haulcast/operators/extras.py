@@ -114,7 +114,8 @@ def smooth_eta(
 ) -> DataFrame:
     """Add ``eta_smoothed``: the exponential moving average of successive estimates of a trip.
 
-    ``order`` counts all pings of the trip from 0. The average is linear in the estimates, so
+    ``order`` counts all pings of the trip from 0. The first known estimate starts the average and a
+    missing one holds it, so known estimates are numbered first. The average is linear in the estimates, so
     blocks of 128 pings are averaged on their own, with a running sum scaled by powers of
     1 - alpha, and joined up exactly: the end of a block adds to the blocks after it with a weight
     falling by (1 - alpha) ** 128 per block, until that is below double precision.
@@ -126,6 +127,21 @@ def smooth_eta(
     while keep ** (block * reach) > 1e-18:
         reach += 1
     group = [*key, "_block"]
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_known", F.count(value).over(upto))
+    sums = blocked.groupBy(*group).agg(F.count(value).alias("_n_known"))
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, F.coalesce(F.sum("_n_known").over(earlier), F.lit(0)).alias("_base"))
+    numbered = blocked.join(sums.hint("merge"), group).withColumn("_pos", F.col("_base") + F.col("_known") - 1)
+    numbered = numbered.drop("_block", "_known", "_base")
+    known = _smooth_known(numbered.where(F.col(value).isNotNull()), value, alpha, key, "_pos", block, reach)
+    missing = numbered.where(F.col(value).isNull()).join(known.select(*key, "_pos", "eta_smoothed"), [*key, "_pos"], "left")
+    return known.unionByName(missing).drop("_pos")
+
+
+def _smooth_known(rows, value: str, alpha: float, key: Sequence[str], order: str, block: int, reach: int) -> DataFrame:
+    """The moving average over estimates numbered without gaps."""
+    keep, group = 1.0 - alpha, [*key, "_block"]
     decay = F.pow(F.lit(keep), F.col("_p"))
     # the first estimate starts the average, later ones enter with weight alpha
     share = F.when(F.col(order) == 0, F.col(value)).otherwise(F.col(value) * alpha)

@@ -268,7 +268,9 @@ def load_state() -> Column:
 
 def weight_flag(df: DataFrame) -> Column:
     """1 where a weight was reported; 0 for all rows when the column is absent."""
-    return F.col("Weight_lbs").isNotNull().cast("int") if "Weight_lbs" in df.columns else F.lit(0)
+    if "Weight_lbs" not in df.columns:
+        return F.lit(0)
+    return F.nanvl(F.col("Weight_lbs").cast("double"), F.lit(None)).isNotNull().cast("int")
 
 
 FEATURE_EXPRESSIONS: dict[str, Callable[[DataFrame], Column]] = {

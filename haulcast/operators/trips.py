@@ -12,8 +12,8 @@ ORDER = ("_t", "event_seq")
 
 
 def effective_speed(c: str = "Speed") -> Column:
-    """Speed with a missing reading taken as standing still."""
-    return F.coalesce(F.col(c), F.lit(0.0))
+    """Speed with a missing (null or NaN) reading taken as standing still."""
+    return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def starts_trip(

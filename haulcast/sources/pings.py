@@ -62,6 +62,12 @@ def read_raw_strings(spark: SparkSession, path: str) -> DataFrame:
     return strip_names(placed.select(*[F.trim(F.col(f"`{n}`")).alias(n) for n in names], "event_seq"))
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN readings as missing ones, in the declared numeric columns."""
+    doubles = [f.name for f in PING_SCHEMA if isinstance(f.dataType, T.DoubleType) and f.name in df.columns]
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in doubles})
+
+
 def read_pings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Typed ping table from CSV (or parquet, orc, json). Undeclared columns stay text.
 
@@ -71,7 +77,7 @@ def read_pings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     if fmt != "csv":
         df = strip_names(spark.read.format(fmt).load(path))
         typed = [F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
-        df = df.select(*typed)
+        df = without_nan(df.select(*typed))
         return df if "event_seq" in df.columns else df.withColumn(
             "event_seq", F.monotonically_increasing_id()
         )
@@ -88,9 +94,9 @@ def read_pings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         .csv(path)
     )
     if "event_seq" in {n.strip() for n in names}:
-        df = strip_names(df)
+        df = without_nan(strip_names(df))
         return df.withColumn("event_seq", F.col("event_seq").cast("long"))
-    return strip_names(_with_arrival_order(df))
+    return without_nan(strip_names(_with_arrival_order(df)))
 
 
 def write_trips(trips: DataFrame, path: str) -> None:

@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_replay(rows: DataFrame, path: str, slices: int = 4, order: str = "Timestamp") -> None:
-    """Write ``rows`` as ``slices`` batches of files in time order, equally wide in time.
+def replay(rows: DataFrame, path: str, run: Callable[[DataFrame], object], slices: int = 4, order: str = "Timestamp") -> None:
+    """Replay ``rows`` as ``slices`` steps in time order, equally wide in time.
 
-    A file stream takes files by modification time, so the batches are written one after the
-    other; inside a batch the rows keep their partitions.
+    ``run`` gets the stream and works off what is there; it is called once per slice, with the same
+    checkpoint. A slice is one micro-batch however many files it has, so none of its files is late
+    against another. Rows without a time come with the first slice.
     """
-    span = rows.agg(
-        F.min(F.unix_micros(order)).alias("lo"), F.max(F.unix_micros(order)).alias("hi")
-    ).first()
-    width = (span["hi"] - span["lo"]) // slices + 1
-    place = F.least(
-        F.floor((F.unix_micros(order) - F.lit(span["lo"])) / F.lit(width)), F.lit(slices - 1)
-    )
+    spark = rows.sparkSession
+    at = F.unix_micros(order)
+    span = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    place = F.least(F.floor((at - F.lit(lo)) / F.lit((hi - lo) // slices + 1)), F.lit(slices - 1))
+    held = f"{path}-held"
+    rows.withColumn("_slice", F.coalesce(place, F.lit(0)).cast("int")).write.partitionBy("_slice").parquet(held)
+    held = spark.read.parquet(held)
     for i in range(slices):
-        rows.where(place == i).write.mode("append").parquet(f"{path}/slice={i}")
-
-
-def read_replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The stored batches as a stream of at most ``files_per_trigger`` files per step."""
-    schema = spark.read.parquet(path).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
-        .drop("slice")
-    )
+        held.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
 
 
 def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -1038,24 +1038,17 @@ def _(spark, sf_dir):
 # --- streams ------------------------------------------------------------------------------
 
 
-def replayed(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    path = ping_source.scratch_path(spark, "replay")
-    rows = event_pings(spark, sf_dir) if rows is None else rows
-    replay.write_replay(rows, path)
-    return replay.read_replay(spark, path)
-
-
-def streamed(stream: DataFrame) -> DataFrame:
-    spark = stream.sparkSession
-    return replay.run_to_table(
-        stream, ping_source.scratch_path(spark, "stream"), ping_source.scratch_path(spark, "stream-state")
-    )
+def streamed(spark: SparkSession, rows: DataFrame, build) -> DataFrame:
+    """Result of the stream that ``build`` makes of the replayed rows."""
+    path, target, state = (ping_source.scratch_path(spark, n) for n in ("replay", "stream", "stream-state"))
+    replay.replay(rows, path, lambda stream: replay.run_to_table(build(stream), target, state))
+    return spark.read.parquet(target)
 
 
 @query("stream_features")
 def _(spark, sf_dir):
     """State per vehicle over replayed pings."""
-    out = streamed(stream_features(replayed(spark, sf_dir)))
+    out = streamed(spark, event_pings(spark, sf_dir), stream_features)
     return rounded(out.drop("eta_min", "eta_smoothed_min"))
 
 
@@ -1066,7 +1059,7 @@ def _(spark, sf_dir):
         {"_dest_lat": "dest_lat", "_dest_lon": "dest_lon"}
     )
     rows = rows.select("VIN", "event_seq", "Timestamp", "Speed", "Latitude", "Longitude", "dest_lat", "dest_lon")
-    out = streamed(stream_features(replayed(spark, sf_dir, cut_lineage(rows))))
+    out = streamed(spark, cut_lineage(rows), stream_features)
     return rounded(out.select("VIN", "event_seq", "eta_min", "eta_smoothed_min"))
 
 
@@ -1078,7 +1071,7 @@ def _(spark, sf_dir):
         F.lit("closing").alias("VIN"), (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("Timestamp")
     )
     rows = pings.unionByName(end, allowMissingColumns=True)
-    out = streamed(stream_trips(replayed(spark, sf_dir, rows)))
+    out = streamed(spark, rows, stream_trips)
     return out.where(F.col("VIN") != "closing").select(
         "VIN",
         "pings",
@@ -1094,7 +1087,7 @@ def _(spark, sf_dir):
     """Every third ping sent twice; repeats are dropped within the watermark."""
     pings = event_pings(spark, sf_dir)
     sent = pings.unionByName(pings.where(F.col("event_seq") % 3 == 0))
-    return streamed(drop_repeats(replayed(spark, sf_dir, sent))).select("VIN", "event_seq")
+    return streamed(spark, sent, drop_repeats).select("VIN", "event_seq")
 
 
 @query("stream_late")
@@ -1105,12 +1098,8 @@ def _(spark, sf_dir):
     sent = pings.withColumn(
         "_sent", F.when(late, F.col("Timestamp") + F.expr("INTERVAL 5 HOURS")).otherwise(F.col("Timestamp"))
     )
-    path = ping_source.scratch_path(spark, "replay")
-    replay.write_replay(sent, path, order="_sent")
-    on_time, late_rows = (ping_source.scratch_path(spark, n) for n in ("on-time", "late"))
-    split_late(
-        stream_features(replay.read_replay(spark, path)), on_time, late_rows, ping_source.scratch_path(spark, "late-state")
-    )
+    path, on_time, late_rows, state = (ping_source.scratch_path(spark, n) for n in ("replay", "on-time", "late", "late-state"))
+    replay.replay(sent, path, lambda stream: split_late(stream_features(stream), on_time, late_rows, state), order="_sent")
     taken, passed = spark.read.parquet(on_time), spark.read.parquet(late_rows)
     return (
         taken.select("event_seq", F.lit(False).alias("late"))
