@@ -129,8 +129,8 @@ def format_conversations(turns: DataFrame, path: str | None = None) -> DataFrame
 
 
 def _digest(batches):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     for batch in batches:
         rows = []
         columns = [batch.column(c).to_pylist() for c in ("conv_id", "formatted")]
@@ -141,11 +141,11 @@ def _digest(batches):
             learned = masked_text(formatted, start, end, mask.astype(bool))
             text = "".join(f"{role}\n{text}\n" for role, text in turns)
             digests = [hashlib.sha256(x.encode()).hexdigest() for x in (text, learned)]
-            rows.append((conv, len(turns), digests[0], len(learned), digests[1], len(formatted), len(start)))
+            rows.append((conv, len(turns), digests[0], len(learned), digests[1], len(formatted)))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives, in numbers and digests."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return formatted.mapInArrow(_digest, schema)

@@ -80,9 +80,73 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2#\3', 'g'))"
+_REACH = """
+    both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+    reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+    least_of AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+
+
+def _secret_sql() -> str:
+    """Matches and the texts between them, by rule, give every span's place."""
+    parts = []
+    for order, rule in enumerate(secret_scan.RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, {rule.least} AS least, regexp_extract_all(x, {pattern}) AS m, "
+            f"regexp_extract_all(x, {pattern}, {rule.group}) AS c, string_split_regex(x, {pattern}) AS g FROM t"
+        )
+    joined = "coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord){}, '')"
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    own = " FILTER (WHERE kind IN (" + ", ".join(f"'{k}'" for k in base) + "))"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        found AS ({" UNION ALL ".join(parts)}),
+        each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+        placed AS (SELECT doc_id, kind, ord, length(m[i]) AS w,
+            list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS a
+            FROM each WHERE length(c[i]) >= least),
+        spans AS (SELECT doc_id, kind, ord, a::BIGINT AS a, (a + w)::BIGINT AS z FROM placed)
+        SELECT doc_id, {counts}, sha256({joined.format(own)}) AS base_sha256, {joined.format("")} AS spans
+        FROM t LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+    """
+
 
 SQL = {
+    "op1_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+            coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+            sum(22 + {_ESCAPED.format("r")} + {_ESCAPED.format("x")})::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+    "op2_ngram_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        grams AS (SELECT doc_id, unnest(CASE
+            WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        met AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM grams p JOIN grams q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY ALL),
+        edges AS (SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+        nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM documents JOIN least_of ON id = doc_id LEFT JOIN sizes USING (doc_id)
+    """,
+    "op4_secret_scan": _secret_sql(),
+    "op5_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        edges AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.9),
+        nodes AS (SELECT vec_id AS id FROM v), {_REACH}, linked AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+        SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+        FROM least_of LEFT JOIN linked USING (id)
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
