@@ -7,7 +7,7 @@
    Two sets reach the threshold t only if they share an n-gram among the first n - ceil(t*n) + 1 of
    both. Documents whose prefix holds unshared n-grams only are done.
 3. Equal sets are one class; one representative of each goes on.
-4. Representatives meet on prefix n-grams. Length and positional filters apply to every meeting; a pair
+4. Representatives meet on prefix n-grams, of which those of equal lists count once. Length and positional filters apply to every meeting; a pair
    is then kept once, tested by the suffix filter (a 32-part profile of both sets bounds their
    intersection) and verified once on the whole sets.
 5. Lists of n-grams with many members do not emit all pairs: what links is one component, and pairs
@@ -197,6 +197,16 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return counted.groupBy("chunk").applyInArrow(_regroup(num, den), SETS)
 
 
+def _distinct_lists(postings: DataFrame) -> DataFrame:
+    """One n-gram (h) of all those whose lists of two members or more are equal.
+
+    Pairs meet in all of such lists or in none, and the positional bound holds at any shared n-gram.
+    """
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"members_{k}") for k in range(2)]
+    lists = postings.groupBy("h").agg(F.count("*").alias("size"), *members).filter("size > 1")
+    return lists.groupBy("size", "members_0", "members_1").agg(F.min("h").alias("h")).select("h")
+
+
 def _meetings(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (hub, member) that share a prefix n-gram and pass the length and positional filters."""
     hubs = hubs.select("h", F.col("row").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
@@ -230,7 +240,7 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     candidates = stage(sets.filter("keys is not null").join(members.filter("row = rep").select("row"), "row", "left_semi").drop("doc_id", "sig_a", "sig_b"))
     prefix = F.expr(f"slice(keys, 1, cast(n - ceil({num} * n / {den}) + 1 - alone as int))")
     postings = candidates.select("row", "n", "alone", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"))
-    postings = stage(postings.join(postings.groupBy("h").count().filter("count > 1").select("h"), "h"))
+    postings = stage(postings.join(_distinct_lists(postings), "h"))
     edges = roots = used = None
     few, slots, turn = 4, 1, 0
     while True:
