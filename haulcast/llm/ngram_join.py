@@ -7,9 +7,9 @@
    Two sets reach the threshold t only if they share an n-gram among the first n - ceil(t*n) + 1 of
    both. Documents whose prefix holds unshared n-grams only are done.
 3. Equal sets are one class; one representative of each goes on.
-4. Representatives meet on prefix n-grams, of which those of equal lists count once. Length and positional filters apply to every meeting; a pair
-   is then kept once, tested by the suffix filter (a 32-part profile of both sets bounds their
-   intersection) and verified once on the whole sets.
+4. Representatives meet on prefix n-grams, of which those of equal lists count once. Length,
+   positional and suffix filters (a 32-part profile of both sets bounds their intersection) apply
+   inside the meeting join; a pair is then kept once and verified once on the whole sets.
 5. Lists of n-grams with many members do not emit all pairs: what links is one component, and pairs
    inside a component need no test. In the first rounds each member meets one hub, which links
    groups of near copies; then hubs are compared with their whole lists, more in every round, until
@@ -208,25 +208,23 @@ def _distinct_lists(postings: DataFrame) -> DataFrame:
 
 
 def _meetings(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (hub, member) that share a prefix n-gram and pass the length and positional filters."""
-    hubs = hubs.select("h", F.col("row").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    """Pairs (hub, member) that share a prefix n-gram and pass the length, positional and suffix filters."""
+    hubs = hubs.select("h", F.col("row").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("profile").alias("hub_profile"))
     met = postings.join(hubs, "h").filter("c <> hub_c")
     met = met.filter(den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))
+    needed = num * (F.col("n") + F.col("hub_n"))
     most = F.least("pos", "hub_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) - 1
-    met = met.filter((num + den) * most >= num * (F.col("n") + F.col("hub_n")))
-    return met.select("row", "hub")
+    met = met.filter((num + den) * most >= needed)
+    # the suffix filter stands in the join too, so pairs that it rules out are never written
+    both = F.aggregate(F.zip_with("profile", "hub_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return met.filter((num + den) * both >= needed).select("row", "hub")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold; the suffix filter comes first."""
-    profile = sets.select("row", "n", "profile")
+    """Pairs whose whole sets reach the threshold."""
     for side in "ab":
-        pairs = pairs.join(profile.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("profile").alias(f"p_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("keys").alias(f"k_{side}")), side)
     needed = num * (F.col("n_a") + F.col("n_b"))
-    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.filter((num + den) * most >= needed).select("a", "b", "n_a", "n_b")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("keys").alias(f"k_{side}")), side)
     return pairs.filter((num + den) * F.size(F.array_intersect("k_a", "k_b")) >= needed).select("a", "b")
 
 
@@ -239,7 +237,7 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     members = stage(sets.select("row", "doc_id", *same).join(classes, same, "left").select("row", "doc_id", "n", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "row").alias("rep")))
     candidates = stage(sets.filter("keys is not null").join(members.filter("row = rep").select("row"), "row", "left_semi").drop("doc_id", "sig_a", "sig_b"))
     prefix = F.expr(f"slice(keys, 1, cast(n - ceil({num} * n / {den}) + 1 - alone as int))")
-    postings = candidates.select("row", "n", "alone", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"))
+    postings = candidates.select("row", "n", "alone", "profile", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"), "profile")
     postings = stage(postings.join(_distinct_lists(postings), "h"))
     edges = roots = used = None
     few, slots, turn = 4, 1, 0
@@ -252,10 +250,10 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
         open_lists = parts.filter("parts > 1").select("h", "largest")
         current = stage(current.join(open_lists, "h"))
         key = F.xxhash64(F.lit(turn), "row")
-        member = F.struct(key.alias("k"), "row", "c", "n", "pos")
+        member = F.struct(key.alias("k"), "row", "c", "n", "pos", "profile")
         if turn < LINKING_ROUNDS:
             # every member meets one hub only: the first, in this round's order, of those its lists name
-            hubs = current.groupBy("h").agg(F.min(member).alias("m")).select("h", "m.row", "m.c", "m.n", "m.pos")
+            hubs = current.groupBy("h").agg(F.min(member).alias("m")).select("h", "m.row", "m.c", "m.n", "m.pos", "m.profile")
             met = _meetings(current, hubs, num, den)
             first = F.min(F.struct(F.xxhash64(F.lit(turn), "hub"), "hub"))["hub"].alias("hub")
             pairs = met.groupBy("row").agg(first)
@@ -266,9 +264,9 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
             # hubs: all open members of a short list, else the first of each of some slots
             size = rest.groupBy("h").agg(F.count("*").alias("members"))
             rest = rest.join(size, "h")
-            short = rest.filter(F.col("members") <= few).select("h", "row", "c", "n", "pos")
+            short = rest.filter(F.col("members") <= few).select("h", "row", "c", "n", "pos", "profile")
             long = rest.filter(F.col("members") > few).groupBy("h", F.pmod(key, F.lit(slots)).alias("slot")).agg(F.min(member).alias("m"))
-            hubs = stage(short.unionByName(long.select("h", "m.row", "m.c", "m.n", "m.pos")))
+            hubs = stage(short.unionByName(long.select("h", "m.row", "m.c", "m.n", "m.pos", "m.profile")))
             if hubs.isEmpty():
                 break
             pairs = _meetings(current, hubs, num, den)
