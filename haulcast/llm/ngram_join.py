@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulcast.llm.common import components, drop_staged, stage
+from haulcast.llm.common import components, stage
 from haulcast.llm.texthash import WordHasher, mix, text_bytes, texts_words
 
 CHUNK_HASHES = 1 << 20  # n-grams whose documents travel together
 CHUNK_DOCS = 1 << 15
 PROFILE = 32
-LINKING_ROUNDS = 3  # rounds in which a member meets one hub, before lists are compared exhaustively
+LINKING_ROUNDS = 2  # rounds in which a member meets one hub, before lists are compared exhaustively
 NO_ID = -(2**63)
 LOW48 = (1 << 48) - 1
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -217,7 +217,7 @@ def _meetings(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataF
     met = met.filter((num + den) * most >= needed)
     # the suffix filter stands in the join too, so pairs that it rules out are never written
     both = F.aggregate(F.zip_with("profile", "hub_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return met.filter((num + den) * both >= needed).select("row", "hub")
+    return met.filter((num + den) * both >= needed).select("row", "hub", "c", "hub_c")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("keys").alias(f"k_{side}")), side)
     needed = num * (F.col("n_a") + F.col("n_b"))
-    return pairs.filter((num + den) * F.size(F.array_intersect("k_a", "k_b")) >= needed).select("a", "b")
+    return pairs.filter((num + den) * F.size(F.array_intersect("k_a", "k_b")) >= needed)
 
 
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -239,24 +239,21 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     prefix = F.expr(f"slice(keys, 1, cast(n - ceil({num} * n / {den}) + 1 - alone as int))")
     postings = candidates.select("row", "n", "alone", "profile", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"), "profile")
     postings = stage(postings.join(_distinct_lists(postings), "h"))
-    edges = roots = used = None
-    few, slots, turn = 4, 1, 0
+    current, used, merged = postings.withColumn("c", F.col("row")), None, []
+    few, slots, turn = 256, 64, 0
     while True:
-        if roots is None:
-            current = postings.withColumn("c", F.col("row"))
-        else:
-            current = postings.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("c", F.coalesce("root", "row")).drop("root")
+        # lists of one component are closed for good, so what is open only shrinks
         parts = current.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c"))["c"].alias("largest"), F.count("*").alias("parts"))
         open_lists = parts.filter("parts > 1").select("h", "largest")
-        current = stage(current.join(open_lists, "h"))
+        current = stage(current.drop("largest").join(open_lists, "h"))
         key = F.xxhash64(F.lit(turn), "row")
         member = F.struct(key.alias("k"), "row", "c", "n", "pos", "profile")
         if turn < LINKING_ROUNDS:
             # every member meets one hub only: the first, in this round's order, of those its lists name
             hubs = current.groupBy("h").agg(F.min(member).alias("m")).select("h", "m.row", "m.c", "m.n", "m.pos", "m.profile")
             met = _meetings(current, hubs, num, den)
-            first = F.min(F.struct(F.xxhash64(F.lit(turn), "hub"), "hub"))["hub"].alias("hub")
-            pairs = met.groupBy("row").agg(first)
+            first = F.min(F.struct(F.xxhash64(F.lit(turn), "hub"), "hub", "c", "hub_c")).alias("m")
+            pairs = met.groupBy("row").agg(first).select("row", "m.hub", "m.c", "m.hub_c")
         else:
             rest = current.filter("c <> largest")
             if used is not None:
@@ -272,17 +269,21 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
             pairs = _meetings(current, hubs, num, den)
             now = hubs.select("h", "row")
             used = now if used is None else used.unionByName(now)
-            few, slots = min(4096, 8 * few), min(1024, 8 * slots)
-        pairs = stage(pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct())
-        found = stage(_verified(pairs, candidates, num, den))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        drop_staged(docs.sparkSession, current, pairs)
+            few, slots = min(4096, 16 * few), min(1024, 16 * slots)
+        turned = F.col("row") > F.col("hub")
+        ends = [F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")]
+        pairs = stage(pairs.select(*ends, F.when(turned, F.col("hub_c")).otherwise(F.col("c")).alias("ca"), F.when(turned, F.col("c")).otherwise(F.col("hub_c")).alias("cb")).distinct())
+        found = _verified(pairs, candidates, num, den)
+        # an edge joins the components that its ends are in by now
+        roots = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if not roots.isEmpty():
+            merged.append(roots)
+            current = current.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
         turn += 1
-    if roots is None:
-        joined = members.withColumn("root", F.col("rep"))
-    else:
-        joined = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    joined = members.withColumn("root", F.col("rep"))
+    for roots in merged:
+        step = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        joined = joined.join(step, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next")
     smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return joined.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
