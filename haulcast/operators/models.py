@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import ceil, isnan
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
@@ -126,6 +130,36 @@ def feature_importance(model, columns: Sequence[str] = tuple(FEATURE_COLS)) -> D
 
 # --- quantile boosting --------------------------------------------------------------------
 
+_NODE = re.compile(r"\s*(?:If \(feature (\d+) <= ([^)]+)\)|(Else) |(Predict): )")
+
+
+def _tree_nodes(tree: DecisionTreeRegressionModel) -> np.ndarray:
+    """A tree as rows (feature, threshold, left, right, leaf) of its nodes, from its description.
+
+    Nodes and leaves are numbered as the description lists them, left before right; a leaf's
+    children are the leaf itself.
+    """
+    nodes, open_nodes, leaves, parent = [], [], 0, None
+    for line in tree.toDebugString.splitlines()[1:]:
+        found = _NODE.match(line)
+        if not found:
+            raise ValueError(f"not a split of a continuous feature: {line.strip()}")
+        feature, threshold, other, leaf = found.groups()
+        if other:
+            parent = (open_nodes.pop(), 3)
+            continue
+        at = len(nodes)
+        if parent:
+            nodes[parent[0]][parent[1]] = at
+        if leaf:
+            nodes.append([0, 0.0, at, at, leaves])
+            leaves, parent = leaves + 1, None
+        else:
+            nodes.append([int(feature), float(threshold), None, None, -1])
+            open_nodes.append(at)
+            parent = (at, 2)
+    return np.array(nodes, dtype=np.float64)
+
 
 @dataclass
 class QuantileBoost:
@@ -149,10 +183,35 @@ class QuantileBoost:
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         """Add the prediction. ``df`` carries the vector column ``features``."""
-        df = df.withColumn(out, F.lit(float(self.start)))
-        for i in range(len(self.trees)):
-            df = self._add(df, out, i)
-        return df
+        return df.withColumn(out, self._score()(vector_to_array("features")))
+
+    def _score(self):
+        """All trees in one pass over Arrow batches, so the plan does not grow with their number."""
+        start, step = float(self.start), self.step
+        parts = []
+        for tree, leaves in zip(self.trees, self.leaves):
+            nodes = _tree_nodes(tree)
+            left, right, leaf = nodes[:, 2].astype(int), nodes[:, 3].astype(int), nodes[:, 4].astype(int)
+            # leaves that no training row reached have no value, as in _add
+            values = np.array([leaves[k] if 0 <= k < len(leaves) else np.nan for k in leaf])
+            parts.append((nodes[:, 0].astype(int), nodes[:, 1], left, right, values))
+
+        @F.pandas_udf("double")
+        def score(features: pd.Series) -> pd.Series:
+            out = np.full(len(features), start)
+            if len(features):
+                rows, every = np.stack(features.to_numpy()), np.arange(len(features))
+                for feature, threshold, left, right, values in parts:
+                    at = np.zeros(len(rows), dtype=int)
+                    while True:
+                        to = np.where(rows[every, feature[at]] <= threshold[at], left[at], right[at])
+                        if np.array_equal(to, at):
+                            break
+                        at = to
+                    out += step * values[at]
+            return pd.Series(out)
+
+        return score
 
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()

@@ -9,7 +9,6 @@ from ..functions.eta import duration_text_min
 from ..schema import CHUNK_SECONDS
 
 ROUTE_TTL_MINUTES = 15
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def route_asof(
@@ -62,10 +61,7 @@ def route_asof(
 def join_destinations(requests: DataFrame, destinations: DataFrame) -> DataFrame:
     """Add the destination of each request's trip; requests without one keep nulls.
 
-    Destinations (one row per trip) grow with the fleet, so they are broadcast only when Spark's
-    size estimate says they fit; otherwise the join is left to the adaptive planner.
+    Destinations (one row per trip) grow with the fleet, so the join's form is left to the planner,
+    which broadcasts only what it finds to be small.
     """
-    size = destinations._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(str(size)) <= BROADCAST_BYTES
-    side = F.broadcast(destinations) if small else destinations
-    return requests.join(side, ["VIN", "trip_local"], "left")
+    return requests.join(destinations, ["VIN", "trip_local"], "left")

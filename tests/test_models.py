@@ -41,6 +41,10 @@ def test_quantile_boost_learns_and_survives_saving(spark, tmp_path):
     )
     data = models.assemble(rows, ["x"]).select("features", "y")
     model = models.train_quantile_boost(data, data, 0.9, rounds=6, depth=3, step=0.5, cut_every=2)
+    chain = data.withColumn("p", F.lit(model.start))
+    for i in range(len(model.trees)):
+        chain = model._add(chain, "p", i)
+    assert [r["p"] for r in chain.collect()] == [r["p"] for r in model.predict(data, "p").collect()]
     scored = model.predict(data, "p90")
     share = scored.agg(F.avg((F.col("y") <= F.col("p90")).cast("double"))).first()[0]
     assert share == pytest.approx(0.9, abs=0.06)
