@@ -6,9 +6,14 @@ whole vocabulary and the same smoothing: ``p(w | v) = (c(v, w) + k) / (c(v) + k
 is its background loss minus its target loss, a document's the mean over its tokens: positive where
 the text looks like the target. A document's own counts are left out of both models when it is scored.
 
-Counts cover every document. The bigrams of a chunk of documents travel to their bucket in one packed
-row; a bucket holds all occurrences of its contexts, works out every token's loss difference and
-returns their sums per document, so no table of counts is ever broadcast or collected.
+Counts cover every document. A chunk of about half a million tokens counts its own keys first, bigrams and
+contexts alike, so however often a word occurs it travels once per chunk: a bucket of hashed keys adds
+up what the chunks counted and answers each of them with the totals, and the chunk, which holds how
+often each of its documents has each key, works out the scores. The number of buckets follows the
+number of tokens. No table of counts is ever broadcast or collected.
+
+Words, contexts and bigrams are told apart by 64 bits of hash (keys by 63, the last bit is their kind);
+among a billion distinct bigrams about one pair in twenty such corpora is expected to fall together.
 
 Defined results: null and blank texts have no tokens and score 0; the first word of a text has the
 text's beginning as its context; without target documents every score is 0; rows that repeat a doc_id
@@ -24,24 +29,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.llm.common import stage, word_count
-from haulcast.llm.texthash import WordHasher, text_bytes, texts_words
+from haulcast.llm.texthash import WordHasher, mix, text_bytes, texts_words
 
 SMOOTHING = 0.05  # count added to every bigram
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 CHUNK_DOCS = 1 << 15
 START = np.uint64(0x5DEECE66D1234567)  # context of a text's first word
-EXCHANGE = "bucket int, chunk long, head binary, docs binary, context binary, word binary, sums binary"
-NAMES = ["bucket", "chunk", "head", "docs", "context", "word", "sums"]
+BUCKET_TOKENS = 1 << 19
+SCORED_KEYS = 1 << 16
+EXCHANGE = "bucket int, chunk long, head binary, grams binary, slots binary, docs binary, times binary, keys binary, counts binary"
+NAMES = ["bucket", "chunk", "head", "grams", "slots", "docs", "times", "keys", "counts"]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers in little room: bytes of equal weight side by side, compressed."""
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
+    used = max((b + 1 for b in range(8) if planes[b].any()), default=1)
+    return len(values).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n, used = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = np.zeros((8, n), np.uint8)
+    planes[:used] = np.frombuffer(pa.decompress(blob[9:], n * used, codec="zstd"), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    columns = list(zip(*rows)) if rows else [[]] * 7
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    columns = list(zip(*rows)) if rows else [[]] * 9
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types)], names=NAMES)
 
 
 def _chunks(batches):
-    """(chunk number, doc_ids, marks, word hashes per document) of about a million tokens each."""
+    """(chunk number, doc_ids, marks, word hashes per document) of about half a million tokens each."""
     hasher = WordHasher()
     chunk = TaskContext.get().partitionId() << 32
     ids, marks, words, held = [], [], [], 0
@@ -73,84 +94,83 @@ def _vocabulary(batches):
         )
 
 
+def token_keys(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed keys of every token's bigram (odd) and of its context (even)."""
+    return mix(mix(context, 1) + word, 2) | np.uint64(1), mix(context, 3) & ~np.uint64(1)
+
+
 def _send(buckets: int):
-    """Bigram occurrences of a chunk, one packed row per bucket of the context, and its head row."""
+    """Of a chunk one row with its documents' own counts, and one row per bucket with its counted keys."""
 
     def run(batches):
         for chunk, ids, marks, words in _chunks(batches):
-            sizes = np.array([len(w) for w in words])
-            word = np.concatenate(words)
+            sizes, flag = np.array([len(w) for w in words]), np.array(marks, dtype=bool)
             context = np.concatenate([np.append(START, w[:-1]) if len(w) else w for w in words])
+            keys, key = np.unique(np.concatenate(token_keys(context, np.concatenate(words))), return_inverse=True)
             doc = np.repeat(np.arange(len(words)), sizes)
+            own, times = np.unique(key * len(words) + np.concatenate([doc, doc]), return_counts=True)
+            key, doc = own // len(words), own % len(words)
+            counts = np.stack([np.bincount(key, weights=w, minlength=len(keys)) for w in (times, times * flag[doc])]).astype(np.uint64)
             known = np.array([i is not None for i in ids])
-            head = np.stack([np.array([i or 0 for i in ids]), known, sizes, np.array(marks, dtype=bool)]).astype("<i8").tobytes()
-            rows = [(chunk % buckets, chunk, head, None, None, None, None)]
-            flag = np.array(marks, dtype=bool)[doc]
-            bucket = ((context >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, context, word, doc, flag = (x[order] for x in (bucket, context, word, doc, flag))
+            head = np.stack([np.array([i or 0 for i in ids]), known, sizes, flag]).astype("<i8").tobytes()
+            slots = pack(np.bincount(key, minlength=len(keys)))
+            grams = np.packbits((keys & np.uint64(1)).astype(bool)).tobytes()
+            rows = [(int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets)), chunk, head, grams, slots, pack(doc), pack(times), None, None)]
+            # keys are in order, and so are their buckets
+            bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(edges, [*edges[1:], len(bucket)]):
-                step = np.diff(doc[a:b], prepend=0).astype("<u2").tobytes() + np.packbits(flag[a:b]).tobytes()
-                low = [(x[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for x in (context, word)]
-                rows.append((int(bucket[a]), chunk, None, step, *low, None))
+                rows.append((int(bucket[a]), chunk, *[None] * 5, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[:, a:b].ravel())))
             yield _batch(rows)
 
     return run
 
 
-def own_and_all(keys: np.ndarray, docs: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per occurrence: how often its key occurs in all, in target documents, and in its own document."""
-    _, key = np.unique(keys, return_inverse=True)
-    total = np.bincount(key)[key]
-    inside = np.bincount(key, weights=flags)[key]
-    _, pair, count = np.unique(docs * (key.max() + 1) + key, return_inverse=True, return_counts=True)
-    return total, inside, count[pair]
-
-
-def loss_differences(context, word, docs, flags, scale: float, vocabulary: int, k: float) -> np.ndarray:
-    """Background loss minus target loss of every bigram occurrence, without its own document."""
-    both = (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-    gram, gram_in, gram_own = own_and_all(both, docs, flags)
-    base, base_in, base_own = own_and_all(context, docs, flags)
-    target = np.log(gram_in - gram_own * flags + k) - np.log(base_in - base_own * flags + k * vocabulary)
-    background = np.log(scale * (gram - gram_own) + k) - np.log(scale * (base - base_own) + k * vocabulary)
-    return target - background
-
-
-def _judge(scale: float, vocabulary: int, k: float):
+def _add_up(table: pa.Table) -> pa.Table:
+    """Every chunk's keys of a bucket get their counts over all chunks."""
+    rows = table.to_pylist()
+    out = [tuple(r[c] for c in NAMES) for r in rows if r["head"] is not None]
+    asked = [r for r in rows if r["head"] is None]
+    if asked:
+        keys = [np.cumsum(unpack(r["keys"])) for r in asked]
+        _, key = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([unpack(r["counts"]).reshape(2, -1) for r in asked], axis=1)
+        totals = np.stack([np.bincount(key, weights=c).astype(np.uint64)[key] for c in counts])
+        at = 0
+        for r, k in zip(asked, keys):
+            out.append((r["bucket"], r["chunk"], *[None] * 6, pack(totals[:, at : at + len(k)].ravel())))
+            at += len(k)
+    return pa.Table.from_batches([_batch(out)])
+
+
+def loss_differences(total, inside, own, flags, scale: float, add) -> np.ndarray:
+    """Log count in the target minus log count in the background of keys, smoothed by ``add``, without the own document."""
+    return np.log(inside - own * flags + add) - np.log(scale * (total - own) + add)
+
+
+def _score(scale: float, vocabulary: int, k: float):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [tuple(r[c] for c in NAMES) for r in rows if r["head"] is not None]
-        blobs = [r for r in rows if r["head"] is None]
-        if blobs:
-            context = np.concatenate([np.frombuffer(r["context"], "<u4") for r in blobs])
-            word = np.concatenate([np.frombuffer(r["word"], "<u4") for r in blobs])
-            sizes = [len(r["context"]) // 4 for r in blobs]
-            own = [np.cumsum(np.frombuffer(r["docs"], "<u2", n).astype(np.int64)) for r, n in zip(blobs, sizes)]
-            flags = np.concatenate([np.unpackbits(np.frombuffer(r["docs"], np.uint8, offset=2 * n), count=n) for r, n in zip(blobs, sizes)]).astype(np.float64)
-            docs = np.concatenate([d + (n << 15) for n, d in enumerate(own)])
-            values = loss_differences(context, word, docs, flags, scale, vocabulary, k)
-            at = 0
-            for r, d in zip(blobs, own):
-                first = np.flatnonzero(np.diff(d, prepend=-1))
-                sums = np.add.reduceat(values[at : at + len(d)], first)
-                at += len(d)
-                out.append((r["bucket"], r["chunk"], None, np.diff(d[first], prepend=0).astype("<u2").tobytes(), None, None, sums.astype("<f4").tobytes()))
-        return pa.Table.from_batches([_batch(out)])
+        head = next(r for r in rows if r["head"] is not None)
+        ids, known, sizes, flags = np.frombuffer(head["head"], "<i8").reshape(4, -1)
+        answers = sorted((r for r in rows if r["head"] is None), key=lambda r: r["bucket"])
+        total, inside = np.concatenate([np.zeros((2, 0)), *[unpack(r["counts"]).reshape(2, -1) for r in answers]], axis=1)
+        slots, docs, own = (unpack(head[c]).astype(np.int64) for c in ("slots", "docs", "times"))
+        grams = np.unpackbits(np.frombuffer(head["grams"], np.uint8), count=len(slots)).astype(bool)
+        first = np.append(0, np.cumsum(slots))
+        score = np.zeros(len(ids))
+        for a in range(0, len(slots), SCORED_KEYS):
+            b = min(a + SCORED_KEYS, len(slots))
+            part = slice(first[a], first[b])
+            key = np.repeat(np.arange(a, b), slots[a:b])
+            values = loss_differences(total[key], inside[key], own[part], flags[docs[part]], scale, np.where(grams[key], k, k * vocabulary))
+            score += np.bincount(docs[part], weights=np.where(grams[key], own[part], -own[part]) * values, minlength=len(ids))
+        score /= np.maximum(1, sizes)
+        return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_tokens": sizes, "score": score})
 
     return run
 
 
-def _total(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    ids, known, sizes, _ = np.frombuffer(next(r["head"] for r in rows if r["head"] is not None), "<i8").reshape(4, -1)
-    total = np.zeros(len(ids))
-    for r in sorted((r for r in rows if r["head"] is None), key=lambda r: r["bucket"]):
-        total[np.cumsum(np.frombuffer(r["docs"], "<u2").astype(np.int64))] += np.frombuffer(r["sums"], "<f4")
-    return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_tokens": sizes, "score": total / np.maximum(1, sizes)})
-
-
 def score_documents(docs: DataFrame, target: Column, k: float = SMOOTHING) -> DataFrame:
     """Per row: doc_id, n_tokens, score. ``target`` marks the documents that the target model counts."""
     spark = docs.sparkSession
@@ -160,7 +180,7 @@ def score_documents(docs: DataFrame, target: Column, k: float = SMOOTHING) -> Da
     vocabulary = words.select("word").distinct().filter("word is not null").count()
     if not inside:
         return rows.select("doc_id", word_count(F.col("text")).alias("n_tokens"), F.lit(0.0).alias("score"))
-    buckets = min(65536, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(1 << 24, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS)))
     sent = rows.mapInArrow(_send(buckets), EXCHANGE)
-    judged = sent.groupBy("bucket").applyInArrow(_judge(inside / tokens, vocabulary, k), EXCHANGE)
-    return judged.groupBy("chunk").applyInArrow(_total, "doc_id long, n_tokens long, score double")
+    totals = sent.groupBy("bucket").applyInArrow(_add_up, EXCHANGE)
+    return totals.groupBy("chunk").applyInArrow(_score(inside / tokens, vocabulary, k), "doc_id long, n_tokens long, score double")

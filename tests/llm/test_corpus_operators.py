@@ -355,3 +355,10 @@ def test_bigram_scores(spark, docs, empty):
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)
     assert lm_score.score_documents(docs, F.lit(False)).filter("score <> 0").count() == 0
     assert lm_score.score_documents(empty, F.lit(True)).count() == 0
+
+
+def test_frequent_words_reach_a_bucket_once_per_chunk(spark):
+    rows = spark.range(3000).coalesce(2).select(F.col("id").alias("doc_id"), F.lit("the end of the end").alias("text"), F.lit(True).alias("target"))
+    sent = rows.mapInArrow(lm_score._send(4), lm_score.EXCHANGE).filter("head is null")
+    # two chunks of 1,500 documents with 4 bigrams and 4 contexts: the, end, of, and the beginning of each text
+    assert max(sum(len(r[c] or b"") for c in lm_score.NAMES[2:]) for r in sent.collect()) <= 8 * 24
