@@ -292,6 +292,33 @@ def test_embedding_forest(spark):
     assert embedding_forest.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_crowded_leaves_count_each_link_once(spark):
+    rng = np.random.default_rng(8)
+    copies = rng.normal(size=16) + rng.normal(size=(600, 16)) * np.linspace(0.002, 0.12, 600)[:, None]
+    vectors = np.concatenate([copies, rng.normal(size=(900, 16)), copies[:40]])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.9) & ~np.eye(len(unit), dtype=bool)
+    want = roots(zip(*np.nonzero(close)), range(len(unit)))
+    got = {r["vec_id"]: r for r in embedding_forest.near_duplicates(table, trees=4, leaf=64, max_sample=256, node_rows=500, block=250).collect()}
+    assert [got[k]["n_links"] for k in range(len(unit))] == close.sum(axis=1).tolist()
+    assert {k: r["component_id"] for k, r in got.items()} == want
+
+
+def test_over_full_nodes_are_fitted_further(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(3000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[:700] = vectors[0] + rng.normal(size=(700, 16)) * 1e-4
+    own = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "rep long, unit array<double>")
+    forest = [embedding_forest.fit_tree(vectors[-128:], t, 11) for t in range(2)]
+    closed = embedding_forest.grow(own, forest, 16, 11, 0.04, 400)
+    for tree, cuts in enumerate(forest):
+        for node, reached in embedding_forest.descend(vectors, cuts, tree, 11, 0.04):
+            assert len(reached) <= 400 or ((tree, node) in closed and (reached < 700).sum() >= 400)
+    assert closed
+
+
 def test_quality_rules(spark, docs, empty):
     rng = random.Random(5)
     rows, labels = [], []
