@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from haulcast.operators import models
 from haulcast.operators.models import NearChoice, choose_near
 from haulcast.operators.routes import route_asof
+from haulcast.plans import training
 from haulcast.plans.scoring import batch_predict, response_json
 from haulcast.sources.requests import parse_requests
 
@@ -76,3 +77,50 @@ def test_route_lifetime(spark, chunk):
     routes = routes.select("VIN", F.timestamp_seconds("s").alias("route_ts"), "duration")
     got = {(r["VIN"], r["s"]): r["route_eta_min"] for r in route_asof(pings, routes, chunk_seconds=chunk).collect()}
     assert got == {("A", 0): None, ("A", 600): 2.0, ("A", 1500): 2.0, ("A", 1501): None, ("B", 600): None}
+
+
+class _Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    "name, where, sizes",
+    [
+        ("gbt_baseline", "haulcast.operators.models.train_baseline", {"rounds": 200, "depth": 6}),
+        ("near_specialist", "haulcast.operators.models.train_near_specialist", {"rounds": 300, "depth": 6}),
+        ("quantile_gbt", "haulcast.operators.models.train_quantile_boost", {"rounds": 300, "depth": 5, "patience": 20}),
+        ("predict_quantiles", "haulcast.operators.models.train_quantile_boost", {"rounds": 300, "depth": 5, "patience": 20}),
+        ("train_pipeline", "haulcast.plans.training.fit", {"options": training.TrainingOptions()}),
+        ("model_save_load", "haulcast.plans.training.fit", {"options": training.TrainingOptions()}),
+        ("feature_importance", "haulcast.operators.models.train_baseline", {"rounds": 200, "depth": 6}),
+        ("ablation", "haulcast.operators.models.train_baseline", {"rounds": 200, "depth": 6}),
+        ("model_variants", "haulcast.operators.extras.train_forest", {"trees": 20, "depth": 6}),
+        ("model_variants", "haulcast.operators.extras.tune_by_trip", {"folds": 3}),
+    ],
+)
+def test_registered_queries_train_full_sizes(spark, monkeypatch, name, where, sizes):
+    import inspect
+    from importlib import import_module
+    from unittest.mock import MagicMock
+
+    from workload import queries
+
+    module, function = where.rsplit(".", 1)
+    signature = inspect.signature(getattr(import_module(module), function))
+
+    def asked(*args, **options):
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        assert {k: call.arguments[k] for k in sizes} == sizes
+        raise _Asked
+
+    for target in ("trips", "model_rows"):
+        monkeypatch.setattr(queries, target, MagicMock())
+    monkeypatch.setattr(queries, "model_parts", lambda *_: (MagicMock(), MagicMock(), MagicMock()))
+    for other in ("train_linear", "train_forest", "tune_by_trip"):
+        monkeypatch.setattr(queries.extras, other, MagicMock())
+    monkeypatch.setattr(queries.training, "training_rows", MagicMock())
+    monkeypatch.setattr(queries.models, "assemble", MagicMock())
+    monkeypatch.setattr(where, asked)
+    with pytest.raises(_Asked):
+        queries.QUERIES[name](spark, "")

@@ -792,11 +792,6 @@ def _(spark, sf_dir):
 
 # --- models -------------------------------------------------------------------------------
 
-SMALL = training.TrainingOptions(
-    baseline_rounds=3, specialist_rounds=3, quantile_rounds=3, quantile_step=0.3, depth=3, quantile_depth=3
-)
-
-
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS))
 
@@ -809,7 +804,7 @@ def model_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 @query("gbt_baseline")
 def _(spark, sf_dir):
     train, _, test = model_parts(spark, sf_dir)
-    model = models.train_baseline(train, rounds=5, depth=4)
+    model = models.train_baseline(train)
     return rounded(metrics.evaluate(models.predict_with(model, test, "p50")))
 
 
@@ -817,16 +812,16 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     columns = [*features.FEATURE_COLS, "naive"]
-    model = models.train_near_specialist(rows.where("split = 'train'"), columns, rounds=5, depth=4)
+    model = models.train_near_specialist(rows.where("split = 'train'"), columns)
     test = models.assemble(rows.where("split = 'test'"), columns)
     return rounded(metrics.evaluate(models.predict_with(model, test, "p50")))
 
 
 @query("quantile_gbt")
 def _(spark, sf_dir):
-    """The 0.9 quantile, three boosting rounds."""
+    """The 0.9 quantile."""
     train, validation, test = model_parts(spark, sf_dir)
-    model = models.train_quantile_boost(train, validation, 0.9, rounds=3, depth=4, step=0.3)
+    model = models.train_quantile_boost(train, validation, 0.9)
     scored = model.predict(test, "p90")
     return rounded(
         scored.agg(
@@ -839,7 +834,7 @@ def _(spark, sf_dir):
 @query("predict_quantiles")
 def _(spark, sf_dir):
     train, validation, test = model_parts(spark, sf_dir)
-    fitted = models.train_quantiles(train, validation, rounds=2, depth=3, step=0.3)
+    fitted = models.train_quantiles(train, validation)
     return rounded(models.predict_quantiles(fitted, test).select(*KEY, *fitted))
 
 
@@ -862,15 +857,15 @@ def _(spark, sf_dir):
 
 @query("train_pipeline")
 def _(spark, sf_dir):
-    """Train everything small, then compare the models on the test rows."""
-    trained, test = training.fit(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS), SMALL)
+    """Train everything, then compare the models on the test rows."""
+    trained, test = training.fit(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS))
     return rounded(training.reports(trained, test)["comparison"])
 
 
 @query("model_save_load")
 def _(spark, sf_dir):
     """Predictions of a saved and reloaded training run equal those of the original."""
-    trained, test = training.fit(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS), SMALL)
+    trained, test = training.fit(training.training_rows(trips(spark, sf_dir), MIN_TRIP_PINGS))
     path = ping_source.scratch_path(spark, "models")
     trained.save(path)
     names = ["baseline", "specialist", "p10", "p50", "p90", "near_opt"]
@@ -885,16 +880,14 @@ def _(spark, sf_dir):
 @query("feature_importance")
 def _(spark, sf_dir):
     train, _, _ = model_parts(spark, sf_dir)
-    return rounded(models.feature_importance(models.train_baseline(train, rounds=3, depth=3)))
+    return rounded(models.feature_importance(models.train_baseline(train)))
 
 
 @query("ablation")
 def _(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     return rounded(
-        extras.ablation(
-            rows.where("split = 'train'"), rows.where("split = 'test'"), features.FEATURE_COLS, rounds=2, depth=3
-        )
+        extras.ablation(rows.where("split = 'train'"), rows.where("split = 'test'"), features.FEATURE_COLS)
     )
 
 
@@ -903,11 +896,11 @@ def _(spark, sf_dir):
     """Linear model, forest, and a tuned tree depth, on the test rows."""
     train, _, test = model_parts(spark, sf_dir)
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", seed=models.SEED)
-    grid = extras.parameter_grid(depth=(tree.maxDepth, [2, 4]))
+    grid = extras.parameter_grid(depth=(tree.maxDepth, [2, 4, 6, 8]))
     fitted = {
         "linear": extras.train_linear(train),
-        "forest": extras.train_forest(train, trees=5, depth=4),
-        "tuned_tree": extras.tune_by_trip(tree, grid, train, folds=2).bestModel,
+        "forest": extras.train_forest(train),
+        "tuned_tree": extras.tune_by_trip(tree, grid, train).bestModel,
     }
     out = None
     for name, model in fitted.items():
