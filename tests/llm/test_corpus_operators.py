@@ -292,6 +292,16 @@ def test_embedding_forest(spark):
     assert embedding_forest.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_words_with_equal_low_bits_stay_apart():
+    low = np.full(4, 0xDEADBEEF, np.uint64)
+    high = np.arange(4, dtype=np.uint64) << np.uint64(32)
+    one = np.zeros(4, np.uint64)
+    for context, word, grams, contexts in ((low | high, one, 4, 4), (one, low | high, 4, 1)):
+        gram, base = lm_score.token_keys(context, word)
+        assert (len(set(gram.tolist())), len(set(base.tolist()))) == (grams, contexts)
+        assert not set(gram.tolist()) & set(base.tolist())
+
+
 def test_crowded_leaves_count_each_link_once(spark):
     rng = np.random.default_rng(8)
     copies = rng.normal(size=16) + rng.normal(size=(600, 16)) * np.linspace(0.002, 0.12, 600)[:, None]
