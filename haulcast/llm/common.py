@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulcast.session import checkpoint_root
@@ -116,3 +116,21 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels
+
+
+def positions(rows: DataFrame, group: list[str], order: list[Column | str], task_rows: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``pos``: the 0-based place of a row in its group by ``order``; group columns hold no nulls.
+
+    Rows are range-partitioned, so a group of any size spreads over tasks; ties are ordered by their
+    place in the input. Only one row per (task, group) takes part in the running sum of counts.
+    """
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    keys = [*group, *order, "_row"]
+    parts = max(1, -(-rows.count() // task_rows))
+    placed = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_row")
+    placed = stage(placed.withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33).alias("_task")
+    runs = placed.groupBy(*group, task).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    runs = stage(runs.select(*group, "_task", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")))
+    return placed.withColumn("_task", task).join(runs, [*group, "_task"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")

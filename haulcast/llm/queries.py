@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import chat, embedding_forest, exact_dedup, language_id, lm_score, mixing, ngram_join, packing, quality_rules, secret_scan
+from haulcast.llm import chat, embedding_forest, exact_dedup, kmeans_tree, language_id, lm_score, merkle, mixing, ngram_join, packing, phrases, quality_rules, secret_scan
 from haulcast.llm.common import crc_fold, stage
 from haulcast.session import configure
 
@@ -67,6 +67,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_kmeans_tree": op11_kmeans_tree,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrases": op13_phrases,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,7 +130,77 @@ def _secret_sql() -> str:
     """
 
 
+def _merkle_sql(levels: int = 12) -> str:
+    """Every level of all trees by sorted runs of eight; ``levels`` of them reach 8**12 documents."""
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    own = " || ".join(field.format(c) for c in merkle.FIELDS)
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = "list_reduce(list_prepend(xor(c, y), range(8)::BIGINT[]), lambda x, z: " + bit + ")"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)), lambda c, y: {byte}), 4294967295)"
+
+    def tree(name: str, base: str) -> list[str]:
+        parts = [f"{name}0 AS MATERIALIZED ({base})"]
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT tree, pos // 8 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h, (n + 7) // 8 AS n "
+                f"FROM {name}{k} GROUP BY tree, pos // 8, n)"
+            )
+        return parts
+
+    def fold(name: str, nodes: str, base: str) -> list[str]:
+        """(id, tree, pos, cur, proof) of the items of ``base``, level by level."""
+        parts = [f"{name}0 AS MATERIALIZED ({base})"]
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT id, f.tree, f.pos // 8 AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(CASE WHEN s.pos = f.pos THEN cur ELSE h END, '' ORDER BY s.pos)) ELSE cur END AS cur, "
+                f"proof || coalesce(string_agg(h, '' ORDER BY s.pos) FILTER (WHERE s.pos <> f.pos), '') AS proof "
+                f"FROM {name}{k} f JOIN {nodes}{k} s ON s.tree = f.tree AND s.pos // 8 = f.pos // 8 GROUP BY id, f.tree, f.pos, cur, proof)"
+            )
+        return parts
+
+    parts = [
+        f"""docs AS MATERIALIZED (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS tree, sha256({own}) AS leaf,
+            CASE WHEN {crc} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents)""",
+        f"""leaves AS MATERIALIZED (SELECT doc_id, tree, leaf, sha256({own.replace("text", "other")}) AS changed, row_number() OVER () AS id,
+            row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM docs)""",
+        *tree("a", "SELECT tree, pos, leaf AS h, n FROM leaves"),
+        f"subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM a{levels})",
+        *tree("b", "SELECT '' AS tree, pos, subroot AS h, n FROM subroots"),
+        *fold("f", "a", "SELECT id, tree, pos, changed AS cur, '' AS proof FROM leaves"),
+        *fold("g", "b", f"SELECT id, '' AS tree, s.pos, cur, proof FROM f{levels} JOIN subroots s USING (tree)"),
+    ]
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = r.h AS verified
+        FROM leaves JOIN subroots USING (tree) JOIN g{levels} g USING (id) CROSS JOIN b{levels} r"""
+
+
+def _phrases_sql(least: int = 30, top: int = 2000) -> str:
+    """Counts of all phrases of one to four words, cut and compared by their words."""
+    nexts = ", ".join(f"lead(word, {k}) OVER place AS w{k}" for k in range(1, 4))
+    grams = " UNION ALL ".join(f"SELECT lang, {m} AS m, {' || chr(32) || '.join(['word', *(f'w{k}' for k in range(1, m))])} AS phrase FROM w WHERE {f'w{m - 1} IS NOT NULL' if m > 1 else 'true'}" for m in range(1, 5))
+    return rf"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+        each AS (SELECT lang, id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM p),
+        w AS MATERIALIZED (SELECT lang, word, {nexts} FROM each WINDOW place AS (PARTITION BY id ORDER BY i)),
+        grams AS ({grams}),
+        f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {least}),
+        totals AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+        scored AS (SELECT c.lang, c.m, c.phrase, c.a, k, p.a AS l, s.a AS r, ({phrases.SCALE}::HUGEINT * c.a // (p.a + s.a))::BIGINT AS score FROM cuts c
+            JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:k], ' ') JOIN f s ON s.lang = c.lang AND s.phrase = array_to_string(c.ws[k + 1:], ' ')),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda j: list_transform(range(1, m - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))))) AS phrase FROM c),
+        absorbed AS (SELECT DISTINCT i.lang, i.phrase FROM inside i JOIN c USING (lang, phrase) WHERE 100::HUGEINT * i.a >= 80::HUGEINT * c.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM lowest JOIN totals USING (lang) ANTI JOIN absorbed USING (lang, phrase) QUALIFY rank <= {top}
+    """
+
+
 SQL = {
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_phrases": _phrases_sql(),
     "op1_chat_format": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
