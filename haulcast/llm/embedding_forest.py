@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
-Equal vectors are one class first, so a vector of any multiplicity is compared once. A tree splits
-recursively: a node projects its vectors on a random direction and cuts at their median; vectors close
-to the cut go to both sides (spill). The upper levels of every tree are fitted on a bounded sample
-(``max_sample`` vectors) and are plain thresholds; every vector of the table goes down all trees. Nodes
-that get more than ``node_rows`` vectors are fitted further, each on a sample of its own, so a task
-holds a bounded number; it goes on splitting by the same rule on the vectors themselves. Inside leaves
-of up to ``leaf`` vectors all pairs are compared in double precision; pairs of several trees are kept
-once, and linked classes are joined to components.
+Equal vectors are one class first (told apart by 128 hash bits), so a vector of any multiplicity is
+compared once. A tree splits recursively: a node projects its vectors on a random direction and cuts at
+their median; vectors close to the cut go to both sides (spill). The upper levels of every tree are
+fitted on a bounded sample (``max_sample`` vectors), only as far down as nodes hold more than
+``node_rows`` vectors, and are plain thresholds; every vector of the table goes down all trees. Nodes that
+still get more are fitted further, each on a sample of its own, so a task holds a bounded number; it goes
+on splitting by the same rule on the vectors themselves. Spill at the upper levels copies vectors through
+the shuffle and is narrow (``spill``); inside a task it is wider (``local_spill``). Vectors travel as they
+are stored, a few trees per round. Inside leaves of up to ``leaf`` vectors all pairs are compared in
+double precision; pairs of several trees are kept once, and linked classes are joined to components.
 
 A group of near copies lies inside the spill and does not split. Such a crowded leaf is dealt out as
 pairs of row blocks, one task each. Of two vectors that share crowded leaves the first such leaf alone
@@ -31,13 +33,15 @@ from pyspark.sql import functions as F
 from haulcast.llm.common import components, local_roots, stage
 from haulcast.llm.texthash import mix
 
-TREES = 12
+TREES = 8
+ROUND_TREES = 4  # trees whose nodes are shuffled together
 LEAF = 128
-SPILL = 0.04  # cosine-scale distance from the cut inside which a vector goes to both sides
+SPILL = 0.01  # cosine-scale distance from the cut inside which a vector goes to both sides
+LOCAL_SPILL = 0.03  # the same at the levels below, which a task splits itself
 MAX_SAMPLE = 16384
 SAMPLE_LEAF = 32  # sample vectors of a node under which the fitted levels end
 MAX_DEPTH = 40
-NODE_ROWS = 16384  # vectors that a task gathers before it splits them itself
+NODE_ROWS = 8192  # vectors that a task gathers before it splits them itself
 FIT_ROWS = 1024  # vectors on which an over-full node is fitted further
 LAST_NODE = 1 << 60
 SPLITS = 0.95  # share of a node's vectors that reach its larger side, from which it counts as not split
@@ -98,8 +102,13 @@ def leaf_id(tree: int, node: int, dim: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{dim}/{tree}/{node}".encode(), digest_size=8).digest(), "big") >> 1
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as stored to unit vectors in double precision."""
+    rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+    if len(rows):
+        rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+        rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows
 
 
 def _counter(forest, dim, seed, spill):
@@ -107,7 +116,7 @@ def _counter(forest, dim, seed, spill):
 
     def run(batches):
         for batch in batches:
-            rows = _matrix(batch.column("unit"), dim)
+            rows = _units(batch.column("v"), dim)
             found = [(tree, node, len(own)) for tree, cuts in enumerate(forest) for node, own in descend(rows, cuts, tree, seed, spill)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.int64()))], names=["tree", "node", "n"])
@@ -115,24 +124,24 @@ def _counter(forest, dim, seed, spill):
     return run
 
 
-def _descender(forest, dim, seed, spill, shares=None, closed=frozenset()):
+def _descender(forest, dim, seed, spill, shares=None, closed=frozenset(), trees=None):
     """Vectors at the nodes they reach: at all that are not closed, or the given share at the nodes of ``shares``."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _matrix(batch.column("unit"), dim)
+            rows = _units(batch.column("v"), dim)
             draw = mix(batch.column("rep").to_numpy().astype(np.uint64), seed) / 2.0**64
-            for tree, cuts in enumerate(forest):
-                for node, own in descend(rows, cuts, tree, seed, spill):
+            for tree in range(len(forest)) if trees is None else trees:
+                for node, own in descend(rows, forest[tree], tree, seed, spill):
                     if shares is not None:
                         own = own[draw[own] < shares.get((tree, node), 0)]
                     if (tree, node) in closed or not len(own):
                         continue
                     at = pa.array(own)
-                    columns = [pa.array(np.full(len(own), tree, np.int32)), pa.array(np.full(len(own), node)), batch.column("rep").take(at), batch.column("unit").take(at)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "rep", "unit"])
+                    columns = [pa.array(np.full(len(own), tree, np.int32)), pa.array(np.full(len(own), node)), batch.column("rep").take(at), batch.column("v").take(at)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "rep", "v"])
 
     return run
 
@@ -140,12 +149,16 @@ def _descender(forest, dim, seed, spill, shares=None, closed=frozenset()):
 def _fitter(dim, seed, spill):
     def run(table: pa.Table) -> pa.Table:
         tree, node = int(table["tree"][0].as_py()), int(table["node"][0].as_py())
-        cuts = fit_tree(_matrix(table["unit"].combine_chunks(), dim), tree, seed, spill=spill, node=node) or {node: float("nan")}
+        cuts = fit_tree(_units(table["v"].combine_chunks(), dim), tree, seed, spill=spill, node=node) or {node: float("nan")}
         return pa.table({"tree": pa.array([tree] * len(cuts), pa.int32()), "node": list(cuts), "cut": list(cuts.values())})
 
     return run
 
 
+def _at_node(own: DataFrame) -> str:
+    return f"tree int, node long, rep long, v {own.schema['v'].dataType.simpleString()}"
+
+
 def grow(own: DataFrame, forest: list[dict[int, float]], dim: int, seed: int, spill: float, node_rows: int) -> set[tuple[int, int]]:
     """Fits over-full nodes further, in place, until each holds ``node_rows`` vectors; returns those that do not split."""
     closed, rounds = set(), 0
@@ -157,7 +170,7 @@ def grow(own: DataFrame, forest: list[dict[int, float]], dim: int, seed: int, sp
         if not full or rounds > MAX_DEPTH:
             return closed
         shares = {key: FIT_ROWS / n for key, n in full.items()}
-        drawn = own.mapInArrow(_descender(forest, dim, seed, spill, shares), "tree int, node long, rep long, unit array<double>")
+        drawn = own.mapInArrow(_descender(forest, dim, seed, spill, shares), _at_node(own))
         for tree, node, cut in drawn.groupBy("tree", "node").applyInArrow(_fitter(dim, seed, spill), "tree int, node long, cut double").collect():
             if cut == cut:
                 forest[tree][node] = cut
@@ -169,7 +182,7 @@ def _leaf(dim, seed, cosine, leaf, spill):
     """Linked pairs (a, b) of a node's small leaves, and the vectors (a) of its crowded ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = _matrix(table["unit"].combine_chunks(), dim)
+        rows = _units(table["v"].combine_chunks(), dim)
         ids = table["rep"].to_numpy()
         node, tree = int(table["node"][0].as_py()), int(table["tree"][0].as_py())
         found, crowded = [np.zeros((2, 0), dtype=np.int64)], [np.zeros((2, 0), dtype=np.int64)]
@@ -201,8 +214,8 @@ def _block_links(cosine):
             for own in lists:
                 for x in own:
                     earlier.setdefault(x, len(earlier))
-            unit = part["unit"].combine_chunks()
-            rows = _matrix(unit, len(unit[0]) if len(unit) else 1)
+            unit = part["v"].combine_chunks()
+            rows = _units(unit, len(unit[0]) if len(unit) else 1)
             parts.append((rows, part["rep"].to_numpy(), part["copies"].to_numpy(), lists))
         same = table["i"][0].as_py() == table["j"][0].as_py()
         if same:
@@ -257,40 +270,65 @@ def crowded_links(crowded: DataFrame, lists: DataFrame, classes: DataFrame, cosi
     name = F.struct("part", "block")
     left, right = (blocks.select("leaf", name.alias(side)) for side in "ij")
     met = stage(left.join(right, "leaf").filter("i <= j and (i.part <> j.part or i.part = leaf or i.part = -1)"))
-    sides = [placed.withColumn(s, name).join(met if s == "i" else met.filter("i <> j"), ["leaf", s]).select("leaf", "i", "j", F.lit(k).alias("side"), "rep", "copies", "leaves", "unit") for k, s in enumerate("ij")]
+    sides = [placed.withColumn(s, name).join(met if s == "i" else met.filter("i <> j"), ["leaf", s]).select("leaf", "i", "j", F.lit(k).alias("side"), "rep", "copies", "leaves", "v") for k, s in enumerate("ij")]
     return sides[0].unionByName(sides[1]).groupBy("leaf", "i", "j").applyInArrow(_block_links(cosine), "a long, b long, links long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, max_sample: int = MAX_SAMPLE, seed: int = 11, node_rows: int = NODE_ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame,
+    cosine: float = 0.9,
+    trees: int = TREES,
+    leaf: int = LEAF,
+    spill: float = SPILL,
+    local_spill: float = LOCAL_SPILL,
+    max_sample: int = MAX_SAMPLE,
+    seed: int = 11,
+    node_rows: int = NODE_ROWS,
+    block: int = BLOCK,
+    round_trees: int = ROUND_TREES,
+) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept (vec_id = component_id)."""
     spark = vectors.sparkSession
     value = F.col("embedding").cast("array<double>")
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(~bad & (F.size(value) > 0), value).alias("v"))
+    good = ~bad & (F.size(value) > 0)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"), F.when(good, value).alias("d"))
     # scaled by the largest component first, so squares neither overflow nor vanish
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    rows = rows.withColumn("top", top).withColumn("scaled", F.transform("v", lambda x: F.try_divide(x, F.col("top"))))
+    top = F.array_max(F.transform("d", lambda x: F.abs(x)))
+    rows = rows.withColumn("top", top).withColumn("scaled", F.transform("d", lambda x: F.try_divide(x, F.col("top"))))
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     rows = rows.withColumn("norm", norm)
     unit = F.when((F.col("top") > 0) & F.col("vec_id").isNotNull(), F.transform("scaled", lambda x: F.try_divide(x, F.col("norm"))))
-    rows = stage(rows.select("vec_id", F.monotonically_increasing_id().alias("row"), unit.alias("unit")))
-    classes = stage(rows.filter("unit is not null").groupBy("unit").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
-    members = rows.join(classes, "unit", "left").select("vec_id", "row", "copies", F.coalesce("rep", "row").alias("rep"))
+    rows = rows.select("vec_id", F.monotonically_increasing_id().alias("row"), unit.alias("unit"), "v")
+    keys = [F.when(F.col("unit").isNotNull(), F.xxhash64(F.lit(k), "unit")).alias(f"u{k}") for k in (1, 2)]
+    rows = stage(rows.select("vec_id", "row", *keys, F.when(F.col("unit").isNotNull(), F.col("v")).alias("v")))
+    equal = rows.filter("v is not null").groupBy("u1", "u2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
+    equal = stage(equal)
+    classes = rows.join(equal.select(F.col("rep").alias("row"), "rep", "copies"), "row").select("rep", "copies", "v")
+    classes = stage(classes)
+    members = rows.select("vec_id", "row", "u1", "u2").join(equal, ["u1", "u2"], "left").select("vec_id", "row", "copies", F.coalesce("rep", "row").alias("rep"))
     found = spark.createDataFrame([], "a long, b long, leaf long")
-    for (dim,) in classes.select(F.size("unit")).distinct().collect():
-        own = classes.filter(F.size("unit") == dim)
+    for (dim,) in classes.select(F.size("v")).distinct().collect():
+        own = classes.filter(F.size("v") == dim)
         n = own.count()
-        draw = F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_sample / n))
-        sample = np.array([r[0] for r in own.filter(draw).select("unit").collect()], dtype=np.float64).reshape(-1, dim)
-        forest = [fit_tree(sample, t, seed, spill=spill) for t in range(trees)]
-        dealt = own.select("rep", "unit").repartition("rep")
+        draw = F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_sample / n))
+        sample = own.filter(draw).select("v").orderBy("v").collect()
+        sample = _units(pa.array([r[0] for r in sample], pa.list_(pa.float64())), dim)
+        # a node is split where it is to hold more than three quarters of what a task may gather
+        least = max(SAMPLE_LEAF, -(-3 * node_rows * len(sample) // (8 * n)))
+        forest = [fit_tree(sample, t, seed, least, spill) for t in range(trees)]
+        dealt = own.select("rep", "v").repartition("rep")
         closed = grow(own, forest, dim, seed, spill, node_rows) if n > node_rows else set()
         if closed:
-            inside = dealt.mapInArrow(_descender(forest, dim, seed, spill, dict.fromkeys(closed, 2.0)), "tree int, node long, rep long, unit array<double>")
-            named = F.create_map(*[F.lit(x) for t, k in closed for x in (f"{t}/{k}", leaf_id(t, k, dim))])[F.concat_ws("/", "tree", "node")]
-            found = found.unionByName(inside.select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), named.alias("leaf")))
-        spread = dealt.mapInArrow(_descender(forest, dim, seed, spill, closed=closed), "tree int, node long, rep long, unit array<double>")
-        found = found.unionByName(spread.groupBy("tree", "node").applyInArrow(_leaf(dim, seed, cosine, leaf, spill), "a long, b long, leaf long"))
+            inside = dealt.mapInArrow(_descender(forest, dim, seed, spill, dict.fromkeys(closed, 2.0)), _at_node(own))
+            named = spark.createDataFrame([(t, k, leaf_id(t, k, dim)) for t, k in sorted(closed)], "tree int, node long, leaf long")
+            inside = inside.drop("v").join(named, ["tree", "node"])
+            found = found.unionByName(stage(inside.select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "leaf")))
+        for first in range(0, trees, round_trees):
+            own_trees = range(first, min(trees, first + round_trees))
+            spread = dealt.mapInArrow(_descender(forest, dim, seed, spill, closed=closed, trees=own_trees), _at_node(own))
+            met = spread.groupBy("tree", "node").applyInArrow(_leaf(dim, seed, cosine, leaf, local_spill), "a long, b long, leaf long")
+            found = found.unionByName(stage(met.distinct()))
     found = stage(found.distinct())
     pairs, crowded = found.filter("leaf is null").select("a", "b"), found.filter("leaf is not null").select(F.col("a").alias("rep"), "leaf")
     counted = spark.createDataFrame([], "a long, b long, links long")
