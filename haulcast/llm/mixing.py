@@ -3,10 +3,12 @@
 Each source's documents, in a fixed pseudorandom order, form one stream of words, which is cut into
 blocks of equal length. A source's target in words is its weight's share of all words, at most
 ``most`` times its own words; what it cannot take is shared among the others by weight. The mix is a
-row of slots, each taking one block. Output shards are runs of slots; a pseudorandom permutation of
-the slots deals them out, so a shard's source counts are a multinomial draw under the condition that
-every source gets its own total. A source's n-th slot takes block n of a pseudorandom permutation of
-that source's blocks, a new one for every pass over the source. Slots and blocks meet by block index.
+row of slots, each taking one block; output shards are runs of slots. Every slot of a shard draws its
+source by the sources' shares of all slots, so a shard's source counts are a multinomial draw. A
+source's slots are numbered over the shards; slots beyond its own total, which come late, go to the
+sources that were drawn too seldom, so that every source gets exactly its total. A source's n-th slot
+takes block n of a pseudorandom permutation of that source's blocks, a new one for every pass over
+the source. Slots and blocks meet by block index, and what a document gives is summed over its slots.
 
 Defined results: a null text has no words; a null source is a source of its own and comes last;
 sources without words get no target; rows that repeat a doc_id count as documents of their own
@@ -24,6 +26,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3  # times its own words that a source gives at most
 BLOCK = 128  # words
 SHARD = 1024  # slots of an output shard
+CELLS = 4096  # parts of the slots' share line in which a draw is looked up
+TASK_SLOTS = 1 << 18  # slots that one task places
+SHARD_RUN = 1024  # shards whose running counts one task computes
 GROUP_DOCS = 50_000  # documents whose running sums one task computes
 ROUNDS = 14
 ROW = ["u", "v", "nth"]
@@ -93,40 +98,75 @@ def _streams(rows: DataFrame, seed: int) -> DataFrame:
     return joined.select(*ROW, "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("begin"))
 
 
-def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 17) -> DataFrame:
-    """(shard, slot, source, pass, index, words): every slot of the mix and the block it takes.
-
-    A slot takes ``words`` words of its block; only a source's last slot takes less than the block.
-    """
-    spark = targets.sparkSession
+def _source_slots(targets: DataFrame, block: int) -> DataFrame:
+    """Per source: number, blocks, whole passes, words of the last pass (rest), slots it takes, and those of the sources up to it."""
     named = targets.withColumn("blocks", F.ceil(F.col("source_size") / block))
     # whole passes over the source, then blocks up to the rest of the target
     named = named.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     named = named.withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
     named = named.withColumn("takes", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    named = named.withColumn("upto", F.sum("takes").over(order)).withColumn("number", F.row_number().over(order))
-    named = stage(named)
-    total = named.agg(F.max("upto")).first()[0] or 0
-    # every source's draws are spread from one row by runs of runs
-    run = 4096
-    first = F.col("upto") - F.col("takes")
-    bounds = named.filter("takes > 0").select(first.alias("from"), "upto", "number", "source", "blocks", "passes", "rest")
-    runs = bounds.withColumn("at", F.explode(F.expr(f"sequence(`from`, upto - 1, {run * run}L)")))
-    runs = runs.withColumn("at", F.explode(F.expr(f"sequence(at, least(at + {run * run}, upto) - 1, {run}L)"))).repartition("number", "at")
-    placed = runs.withColumn("draw", F.explode(F.expr(f"sequence(at, least(at + {run}, upto) - 1)")))
-    nth = F.col("draw") - F.col("from")
-    placed = placed.withColumn("pass", F.expr("(draw - `from`) div blocks")).withColumn("in_pass", nth % F.col("blocks"))
-    index = permuted(F.col("in_pass"), F.col("blocks"), F.xxhash64(F.lit(seed), "number", "pass"))
-    words = F.when(F.col("pass") < F.col("passes"), block).otherwise(F.least(F.lit(block), F.col("rest") - F.col("in_pass") * block))
-    slot = permuted(F.col("draw"), F.lit(total).cast("long"), F.lit(seed + 2))
-    out = placed.select(slot.alias("slot"), "source", "pass", index.alias("index"), words.cast("long").alias("words"))
-    return out.select(F.expr(f"slot div {shard}").alias("shard"), "*")
+    return stage(named.withColumn("upto", F.sum("takes").over(order)).withColumn("number", F.row_number().over(order)))
+
 
+def shard_counts(sources: DataFrame, total: int, shard: int = SHARD, seed: int = 17) -> DataFrame:
+    """(shard, number, n): the sources that the slots of every output shard draw, counted.
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """(shard, source, slots): the drawn source counts of every output shard."""
-    return drawn.groupBy("shard", "source").agg(F.count("*").alias("slots"))
+    A slot draws a place on a line on which every source has a stretch as long as the slots it takes;
+    the line's cells name the sources that reach into them.
+    """
+    spark = sources.sparkSession
+    cell = max(1, -(-total // CELLS))
+    stretch = sources.filter("takes > 0").select("number", (F.col("upto") - F.col("takes")).alias("from"), "upto")
+    stretch = stretch.withColumn("cell", F.explode(F.expr(f"sequence(`from` div {cell}, (upto - 1) div {cell})")))
+    tasks = max(1, -(-total // TASK_SLOTS))
+    drawn = spark.range(0, total, 1, tasks).select(F.expr(f"id div {shard}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(max(1, total)).cast("long")).alias("at"))
+    drawn = drawn.withColumn("cell", F.expr(f"at div {cell}")).join(stage(stretch), "cell").filter("at >= `from` and at < upto")
+    return stage(drawn.groupBy("shard", "number").agg(F.count("*").alias("n")))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``base``: the slots of the same source in earlier shards, by runs of shards."""
+    run = F.expr(f"shard div {SHARD_RUN}").alias("run")
+    sums = counts.groupBy("number", run).agg(F.sum("n").alias("in_run"))
+    before = Window.partitionBy("number").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("number", "run", F.coalesce(F.sum("in_run").over(before), F.lit(0)).alias("runs_before"))
+    inside = Window.partitionBy("number", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("run", run).withColumn("shards_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return rows.join(sums, ["number", "run"]).select("shard", "number", "n", (F.col("runs_before") + F.col("shards_before")).alias("base"))
+
+
+def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 17) -> DataFrame:
+    """(shard, slot, source, pass, index, words): every slot of the mix and the block it takes, as a written table.
+
+    A slot takes ``words`` words of its block; only a source's last slot takes less than the block.
+    """
+    sources = _source_slots(targets, block)
+    total = sources.agg(F.max("upto")).first()[0] or 0
+    counts = stage(_numbered(shard_counts(sources, total, shard, seed)).join(sources.select("number", "takes"), "number"))
+    own = counts.withColumn("own", F.greatest(F.lit(0), F.least("n", F.col("takes") - F.col("base"))))
+    # slots beyond a source's total: in the order of a draw's spread, few against all slots
+    late = own.filter("n > own").select("shard", F.expr("n - own").alias("n"), F.col("number").alias("drew"))
+    order = Window.orderBy("shard", "drew")
+    late = late.withColumn("upto", F.sum("n").over(order)).select("shard", F.explode(F.expr("sequence(upto - n, upto - 1)")).alias("at"))
+    drawn = counts.groupBy("number").agg(F.sum("n").alias("drawn"))
+    short = sources.join(drawn, "number", "left").withColumn("first", F.coalesce("drawn", F.lit(0))).withColumn("n", F.col("takes") - F.col("first")).filter("n > 0")
+    short = short.withColumn("upto", F.sum("n").over(Window.orderBy("number")))
+    short = short.select("number", F.expr("posexplode(sequence(upto - n, upto - 1))").alias("k", "at"), "first").select("number", "at", (F.col("first") + F.col("k")).alias("nth"))
+    moved = late.join(short, "at").select("shard", "number", F.lit(1).cast("long").alias("n"), F.col("nth").cast("long").alias("base"))
+    placed = stage(own.filter("own > 0").select("shard", "number", F.col("own").alias("n"), "base").unionByName(moved))
+    # a shard's slots: its sources' runs one after another, dealt out by a permutation
+    before = Window.partitionBy("shard").orderBy("number", "base")
+    placed = placed.withColumn("upto", F.sum("n").over(before)).withColumn("size", F.sum("n").over(Window.partitionBy("shard")))
+    tasks = max(1, -(-total // TASK_SLOTS))
+    each = placed.repartition(tasks, "shard").select("*", F.posexplode(F.expr("sequence(upto - n, upto - 1)")).alias("k", "inside"))
+    each = each.withColumn("nth", F.col("base") + F.col("k")).join(sources.select("number", "source", "blocks", "passes", "rest"), "number")
+    each = each.withColumn("pass", F.expr("nth div blocks")).withColumn("in_pass", F.col("nth") % F.col("blocks"))
+    index = permuted(F.col("in_pass"), F.col("blocks"), F.xxhash64(F.lit(seed), "number", "pass"))
+    words = F.when(F.col("pass") < F.col("passes"), block).otherwise(F.least(F.lit(block), F.col("rest") - F.col("in_pass") * block))
+    slot = F.col("shard") * shard + permuted(F.col("inside"), F.col("size"), F.xxhash64(F.lit(seed + 2), "shard"))
+    # written, so that the planner knows its size when the blocks are joined
+    return stage(each.select("shard", slot.alias("slot"), "source", "pass", index.alias("index"), words.cast("long").alias("words")))
 
 
 def _pieces(streams: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
@@ -140,14 +180,16 @@ def _pieces(streams: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, first_shard.
+
+    ``taken`` and ``first_shard`` come from the slots that the document's blocks went to.
+    """
     rows = _prepared(docs)
     targets = stage(source_targets(rows, weights, most))
-    drawn = slots(targets, block, seed=seed).groupBy("source", "index", "words").agg(F.count("*").alias("times"))
-    pieces = _pieces(_streams(rows, seed), drawn, block)
-    taken = pieces.groupBy(*ROW).agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
+    pieces = _pieces(_streams(rows, seed), slots(targets, block, seed=seed), block)
+    taken = pieces.groupBy(*ROW).agg(F.sum(F.col("high") - F.col("low")).alias("taken"), F.min("shard").alias("first_shard"))
     out = rows.join(taken, ROW, "left").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 17) -> DataFrame:
@@ -170,9 +212,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: i
     else:
         nth = F.row_number().over(Window.partitionBy("u", "v").orderBy("u"))
         met = row.withColumn("nth", nth).join(takes, ROW)
-    copies = met.filter("copies > 0").withColumn("n", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
-    parts = met.filter(F.size("ranges") > 0).withColumn("words", F.filter(F.split("row.text", f"{SPACE}+"), lambda w: w != ""))
-    taken = F.transform("ranges", lambda r: F.slice(F.col("words"), (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))
-    parts = parts.withColumn("part", F.concat_ws(" ", F.flatten(taken)))
-    new = {"text": F.col("part"), "n_chars": F.length("part").cast("long")}
-    return copies.unionByName(parts.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
+    # the row meets its takes once; its copies and the row of its parts come from there
+    met = met.withColumn("n", F.explode(F.expr("sequence(1, copies + cast(size(ranges) > 0 as int))")))
+    words = F.filter(F.split("row.text", f"{SPACE}+"), lambda w: w != "")
+    taken = F.transform("ranges", lambda r: F.slice(words, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))
+    part = F.when(F.col("n") > F.col("copies"), F.concat_ws(" ", F.flatten(taken)))
+    met = met.withColumn("part", part)
+    new = {"text": F.coalesce("part", "row.text"), "n_chars": F.when(F.col("part").isNotNull(), F.length("part").cast("long")).otherwise(F.col("row.n_chars"))}
+    return met.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
