@@ -40,6 +40,29 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FILTER_BITS = 1 << 27  # most bits of a key filter: two million words of 64
+KEY_BITS = 16  # bits per key up to that size
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, column: Column, key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that surely have none).
+
+    ``column`` names a row's key, ``key`` that of ``keys``, both of one type. A bit per hashed key decides. The
+    filter's words are broadcast; there are at most ``FILTER_BITS / 64`` of them at any number of keys, and with
+    more keys than it has room for more rows count as possible ones. So whole rows need no shuffle where
+    only few of them are affected; the possible ones are to be joined with the keys themselves.
+    """
+    bits = min(FILTER_BITS, 1 << max(10, (KEY_BITS * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    words = stage(keys.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    rows = rows.withColumn("_place", F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))).withColumn("_word", F.shiftright("_place", 6))
+    marked = rows.join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.expr("getbit(_bits, cast(_place % 64 as int)) = 1"), F.lit(False))
+    extra = ["_word", "_place", "_bits"]
+    return marked.filter(hit).drop(*extra), marked.filter(~hit).drop(*extra)
+
+
 def worker_cache() -> dict:
     """Objects that a Python worker keeps from task to task, such as loaded tokenizers.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulcast.llm.common import stage
+from haulcast.llm.common import split_by_keys, stage
 from haulcast.llm.texthash import blocks, text_bytes
 
 PRIMES = ((2147483647, 1103515245), (2147483629, 69069069))  # (modulus, base)
@@ -135,13 +135,18 @@ def exact_groups(docs: DataFrame, primes=PRIMES, huge: int = HUGE, chunk: int =
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every group of equal texts."""
+    """``docs`` with one row of every group of equal texts.
+
+    Only rows whose doc_id may be among the affected ones are shuffled; the others pass as they are read.
+    """
     found = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     found = stage(found.filter("not kept or times > 1"))
     once = found.filter("kept")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("s"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"))
+    rows, others = split_by_keys(rows, found, F.col("d"), F.col("doc_id"))
+    rows = rows.withColumn("s", F.sha2(F.coalesce("row.text", F.lit("")), 256))
     same = rows.d.eqNullSafe(found.doc_id) & (rows.s == found.text_sha256)
-    out = rows.join(found, same, "left_anti").select("row.*")
+    out = others.select("row.*").unionByName(rows.join(found, same, "left_anti").select("row.*"))
     if not once.isEmpty():
         repeated = rows.join(once, rows.d.eqNullSafe(once.doc_id) & (rows.s == once.text_sha256), "left_semi")
         out = out.unionByName(repeated.dropDuplicates(["d", "s"]).select("row.*"))
