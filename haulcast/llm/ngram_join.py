@@ -12,7 +12,8 @@
    inside the meeting join; a pair is then kept once and verified once on the whole sets.
 5. Lists of n-grams with many members do not emit all pairs: what links is one component, and pairs
    inside a component need no test. In the first rounds each member meets one hub, which links
-   groups of near copies; then hubs are compared with their whole lists, more in every round, until
+   groups of near copies; such rounds go on while the lists would still take more comparisons than a
+   few times their entries. Then hubs are compared with their whole lists, more in every round, until
    each list has one component or has compared all its members outside the largest.
 
 Defined results: null and blank texts have the empty set and link with nothing; shorter texts than an
@@ -28,13 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulcast.llm.common import components, stage
+from haulcast.llm.common import components, split_by_keys, stage
 from haulcast.llm.texthash import WordHasher, mix, text_bytes, texts_words
 
 CHUNK_HASHES = 1 << 20  # n-grams whose documents travel together
 CHUNK_DOCS = 1 << 15
+CHUNK_BITS = 20  # chunks are numbered by task and place; with 15 bits for the document, 2**28 tasks fit in a long
+BUCKET_GRAMS = 1 << 21  # n-grams that a task counts at once, about
+GRAM_BYTES = 6  # of text, at least, that an n-gram stands for on average
 PROFILE = 32
-LINKING_ROUNDS = 2  # rounds in which a member meets one hub, before lists are compared exhaustively
+LINKING_ROUNDS = 2  # rounds, at least, in which a member meets one hub, before lists are compared exhaustively
+MOST_LINKING = 8  # and at most
+OPEN_PAIRS = 2  # comparisons per list entry above which another such round comes first
 NO_ID = -(2**63)
 LOW48 = (1 << 48) - 1
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -95,7 +101,7 @@ def _scatter(n: int, buckets: int):
                 sums[k, filled] = np.add.reduceat(mix(flat, 200 + k), start)
         head = np.stack([np.array(ids, dtype=np.int64), sizes, sums[0].view(np.int64), sums[1].view(np.int64)])
         yield (chunk % buckets, chunk, head.astype("<i8").tobytes(), None, None, None)
-        bucket = ((flat >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        bucket = (flat >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(flat), np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, flat = bucket[order], flat[order]
         doc = np.repeat(np.arange(len(sets)), sizes)[order]
@@ -105,7 +111,7 @@ def _scatter(n: int, buckets: int):
 
     def run(batches):
         hasher = WordHasher()
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << CHUNK_BITS
         ids, sets, held = [], [], 0
         for batch in batches:
             keys = batch.column("doc_id").fill_null(NO_ID).to_pylist()
@@ -147,7 +153,13 @@ def _count(table: pa.Table) -> pa.Table:
 SETS = "row long, doc_id long, n long, sig_a long, sig_b long, alone long, profile array<int>, keys array<long>"
 
 
-def _regroup(num: int, den: int):
+def gram_keys(bucket: int, low: np.ndarray, buckets: int) -> np.ndarray:
+    """N-grams of a bucket as whole numbers: the bucket's bits, then the low bits that it leaves room for."""
+    room = min(48, 65 - buckets.bit_length())
+    return (low & np.uint64((1 << room) - 1) | np.uint64(bucket << room)).view(np.int64)
+
+
+def _regroup(num: int, den: int, buckets: int):
     """One chunk: its documents, with shared n-grams in rare-first order where their prefix has any."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -158,7 +170,7 @@ def _regroup(num: int, den: int):
         for r in rows:
             if r["head"] is None:
                 docs.append(np.cumsum(np.frombuffer(r["docs"], dtype="<u2").astype(np.int64)))
-                keys.append(_unpack(r["hashes"]).astype(np.int64) | (r["bucket"] << 48))
+                keys.append(gram_keys(r["bucket"], _unpack(r["hashes"]), buckets))
                 freq.append(np.frombuffer(r["freq"], dtype="<u2").astype(np.int64))
         docs, keys, freq = np.concatenate(docs), np.concatenate(keys), np.concatenate(freq)
         shared = np.bincount(docs, minlength=len(ids))
@@ -190,11 +202,14 @@ def _regroup(num: int, den: int):
 
 def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Per row: its set's size, two sums of its hashes, and its shared n-grams where they can link."""
-    buckets = min(65536, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a power of two, so that a bucket is the leading bits of its n-grams
+    buckets = 1 << min(30, (max(least, size // (GRAM_BYTES * BUCKET_GRAMS)) - 1).bit_length())
     sent = rows.mapInArrow(_scatter(n, buckets), EXCHANGE)
     counted = sent.groupBy("bucket").applyInArrow(_count, EXCHANGE)
-    return counted.groupBy("chunk").applyInArrow(_regroup(num, den), SETS)
+    return counted.groupBy("chunk").applyInArrow(_regroup(num, den, buckets), SETS)
 
 
 def _distinct_lists(postings: DataFrame) -> DataFrame:
@@ -221,11 +236,12 @@ def _meetings(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataF
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
+    """The pairs with ``linked``: whether their whole sets reach the threshold."""
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("keys").alias(f"k_{side}")), side)
     needed = num * (F.col("n_a") + F.col("n_b"))
-    return pairs.filter((num + den) * F.size(F.array_intersect("k_a", "k_b")) >= needed)
+    linked = (num + den) * F.size(F.array_intersect("k_a", "k_b")) >= needed
+    return pairs.select("a", "b", "ca", "cb", linked.alias("linked"))
 
 
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -239,16 +255,17 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     prefix = F.expr(f"slice(keys, 1, cast(n - ceil({num} * n / {den}) + 1 - alone as int))")
     postings = candidates.select("row", "n", "alone", "profile", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"), "profile")
     postings = stage(postings.join(_distinct_lists(postings), "h"))
-    current, used, merged = postings.withColumn("c", F.col("row")), None, []
-    few, slots, turn = 256, 64, 0
+    current, used, merged, failed = postings.withColumn("c", F.col("row")), None, [], None
+    few, slots, turn, entries = 256, 64, 0, postings.count()
     while True:
         # lists of one component are closed for good, so what is open only shrinks
-        parts = current.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c"))["c"].alias("largest"), F.count("*").alias("parts"))
-        open_lists = parts.filter("parts > 1").select("h", "largest")
-        current = stage(current.drop("largest").join(open_lists, "h"))
+        parts = current.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("parts"), F.sum("count").alias("all"))
+        open_lists = stage(parts.filter("parts > 1").select("h", F.col("top.c").alias("largest"), (F.col("all") * (F.col("all") - F.col("top.count"))).alias("pairs")))
+        pairs_open = open_lists.agg(F.sum("pairs")).first()[0] or 0
+        current = stage(current.drop("largest").join(open_lists.drop("pairs"), "h"))
         key = F.xxhash64(F.lit(turn), "row")
         member = F.struct(key.alias("k"), "row", "c", "n", "pos", "profile")
-        if turn < LINKING_ROUNDS:
+        if turn < LINKING_ROUNDS or (used is None and turn < MOST_LINKING and pairs_open > OPEN_PAIRS * entries):
             # every member meets one hub only: the first, in this round's order, of those its lists name
             hubs = current.groupBy("h").agg(F.min(member).alias("m")).select("h", "m.row", "m.c", "m.n", "m.pos", "m.profile")
             met = _meetings(current, hubs, num, den)
@@ -273,7 +290,12 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
         turned = F.col("row") > F.col("hub")
         ends = [F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")]
         pairs = stage(pairs.select(*ends, F.when(turned, F.col("hub_c")).otherwise(F.col("c")).alias("ca"), F.when(turned, F.col("c")).otherwise(F.col("hub_c")).alias("cb")).distinct())
-        found = _verified(pairs, candidates, num, den)
+        if failed is not None:  # a pair that failed in an earlier round is not verified again
+            pairs = pairs.join(failed, ["a", "b"], "left_anti")
+        found = stage(_verified(pairs, candidates, num, den))
+        apart = found.filter("not linked").select("a", "b")
+        failed = apart if failed is None else failed.unionByName(apart)
+        found = found.filter("linked")
         # an edge joins the components that its ends are in by now
         roots = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         if not roots.isEmpty():
@@ -295,4 +317,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """
     gone = link_components(docs, n, num, den).groupBy(F.col("doc_id").alias("d")).agg(F.min(F.col("doc_id") > F.col("component_id")).alias("gone"))
     gone = stage(gone.filter("gone").select("d"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["d"], "left_anti")
+    # only rows whose doc_id may be among those that go are shuffled
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"))
+    rows, others = split_by_keys(rows, gone, F.col("k"), F.col("d"))
+    return others.select("row.*").unionByName(rows.join(gone, F.col("k") == F.col("d"), "left_anti").select("row.*"))
