@@ -2,8 +2,10 @@
 
 Subwords are byte 3- and 4-grams inside words, with the spaces around a word as its boundary marks.
 Each hashes to one of a fixed number of embedding rows; a text is the mean of its rows. Embeddings and
-softmax are fitted by stochastic gradient descent on a bounded sample of labelled rows (``max_rows``),
-part of which sets a temperature for the probabilities and the score below which a text is rejected.
+softmax are fitted by stochastic gradient descent on a bounded sample of labelled rows: ``max_rows`` in
+all, and ``least_rows`` of every language where it has so many, so that a rare language is learned at any
+size of the table. A part of them sets a temperature for the probabilities and the score below which a
+text is rejected.
 After fitting, embeddings and softmax fold into one table of logits per subword row, so predicting is
 a mean of table rows over the whole text, inside the tasks that read it.
 
@@ -27,6 +29,7 @@ from haulcast.llm.texthash import BLOCK_BYTES, blocks, text_bytes
 ROWS = 1 << 16  # embedding rows
 DIMENSIONS = 16
 MAX_ROWS = 4000  # labelled documents that the model is fitted on
+LEAST_ROWS = 200  # labelled documents of each language that are drawn besides
 LETTER = r"\p{L}"
 UNKNOWN = "und"
 
@@ -45,8 +48,8 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def subwords(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding rows of the subwords of consecutive texts and the text of each, text by text."""
+def subwords(data: np.ndarray, edges: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of the subwords of consecutive texts and the text of each, text by text; of those that begin in the first ``starts`` bytes."""
     n = len(data)
     fold = np.arange(256, dtype=np.uint32)
     fold[65:91] += 32
@@ -56,11 +59,11 @@ def subwords(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     rows, owners = [], []
     for size in (3, 4):
-        m = n - size + 1
+        m = n - size + 1 if starts is None else min(starts, n - size + 1)
         if m <= 0:
             continue
         code = np.zeros(m, dtype=np.uint32)
-        inside = text[:m] == text[size - 1 :]
+        inside = text[:m] == text[size - 1 : m + size - 1]
         for k in range(size):
             code = code * np.uint32(257) + byte[k : k + m]
             if 0 < k < size - 1:
@@ -109,15 +112,21 @@ def _softmax_sgd(samples, n_labels: int, epochs: int, rate: float, seed: int):
     return embed, weight, bias
 
 
-def fit(docs: DataFrame, train: Column, max_rows: int = MAX_ROWS, epochs: int = 8, rate: float = 2.0, rejected: float = 0.002, seed: int = 5) -> LanguageModel:
-    """Fit on rows where ``train`` holds and lang is known; at most about ``max_rows``, chosen by hash.
+def fit(
+    docs: DataFrame, train: Column, max_rows: int = MAX_ROWS, epochs: int = 8, rate: float = 2.0, rejected: float = 0.002, seed: int = 5, least_rows: int = LEAST_ROWS
+) -> LanguageModel:
+    """Fit on rows where ``train`` holds and lang is known; about ``max_rows`` in all and ``least_rows`` of each lang, chosen by hash.
 
-    ``rejected`` is the share of rightly labelled calibration texts that the rejection may cost.
+    Equal texts of one lang count once. ``rejected`` is the share of rightly labelled calibration texts
+    that the rejection may cost.
     """
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    rows = docs.filter(train & F.col("lang").isNotNull()).count()
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    sample = known.filter(draw < int((1 << 30) * min(1.0, max_rows / max(1, rows)))).select(F.col("lang").cast("string"), "text")
+    known = docs.filter(train & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string"), "text")
+    sizes = known.groupBy("lang").count().collect()  # one row per language, as the model has one column each
+    rows = sum(n for _, n in sizes)
+    cuts = [F.lit(x) for lang, n in sizes for x in (lang, int((1 << 30) * min(1.0, max_rows / rows + least_rows / n)))]
+    cut = F.create_map(*cuts)[F.col("lang")] if cuts else F.lit(0)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
+    sample = known.filter(draw < cut).filter(F.col("text").rlike(LETTER)).select("lang", "text").dropDuplicates()
     found = sample.mapInArrow(_counts, "lang string, rows binary, shares binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["rows"]), bytes(r["shares"])))
     labels = sorted({r["lang"] for r in found})
@@ -146,18 +155,18 @@ def fit(docs: DataFrame, train: Column, max_rows: int = MAX_ROWS, epochs: int =
 def _scores(model: LanguageModel, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Best label and its probability for every text of a batch."""
     data, offsets = text_bytes(batch.column("text"))
-    logits = np.zeros((batch.num_rows, len(model.labels)))
+    sums = np.zeros((batch.num_rows, len(model.labels) + 1))  # logits and, last, subwords
     for i, j in blocks(offsets):
-        for at in range(offsets[i], offsets[j], BLOCK_BYTES) if j == i + 1 else [offsets[i]]:
-            # one long text is read in overlapping pieces
-            to = min(offsets[j], at + BLOCK_BYTES + 3) if j == i + 1 else offsets[j]
-            edges = offsets[i : j + 1] - at if j > i + 1 else np.array([0, to - at])
-            rows, owner = subwords(data[at:to], edges)
-            weight = np.zeros((j - i, len(model.labels) + 1))
-            weight[:, -1] = np.bincount(owner, minlength=j - i)
+        alone = j == i + 1
+        for at in range(offsets[i], offsets[j], BLOCK_BYTES) if alone else [offsets[i]]:
+            # a long text is read in pieces; each gives the subwords that begin in it
+            to = min(offsets[j], at + BLOCK_BYTES + 3) if alone else offsets[j]
+            edges = np.array([0, to - at]) if alone else offsets[i : j + 1] - at
+            rows, owner = subwords(data[at:to], edges, BLOCK_BYTES if alone else None)
+            sums[i:j, -1] += np.bincount(owner, minlength=j - i)
             for c in range(len(model.labels)):
-                weight[:, c] = np.bincount(owner, weights=model.table[rows, c], minlength=j - i)
-            logits[i:j] += weight[:, :-1] / np.maximum(1, weight[:, -1:]) * ((to - at) / max(1, offsets[j] - offsets[i]) if j == i + 1 else 1)
+                sums[i:j, c] += np.bincount(owner, weights=model.table[rows, c], minlength=j - i)
+    logits = sums[:, :-1] / np.maximum(1, sums[:, -1:])
     p = model.probabilities(logits)
     return p.argmax(axis=1), p.max(axis=1)
 
