@@ -1,5 +1,6 @@
 """The corpus operators against brute force on hand-made tables, with every odd case in one fixture."""
 
+import collections
 import hashlib
 import random
 import re
@@ -167,8 +168,85 @@ def test_mixing_permutations_and_shards(spark):
     x = spark.range(1000).select(mixing.permuted(F.col("id"), F.lit(1000).cast("long"), F.lit(3)).alias("y"))
     assert sorted(r["y"] for r in x.collect()) == list(range(1000))
     targets = spark.createDataFrame([("a", 500, 700.0), ("b", 100, 100.0), (None, 0, 0.0)], "source string, source_size long, target double")
-    counts = mixing.shard_counts(mixing.slots(targets, block=5, shard=40)).collect()
-    assert sum(r["slots"] for r in counts) == 160 and {r["shard"] for r in counts} == {0, 1, 2, 3}
+    got = mixing.slots(targets, block=5, shard=40).collect()
+    assert sorted(r["slot"] for r in got) == list(range(160)) and all(r["shard"] == r["slot"] // 40 for r in got)
+    for source, blocks, slots in (("a", 100, 140), ("b", 20, 20)):
+        own = [r for r in got if r["source"] == source]
+        assert len(own) == slots and sum(r["words"] for r in own) == {"a": 700, "b": 100}[source]
+        whole = [r["index"] for r in own if r["pass"] == 0]
+        assert sorted(whole) == list(range(blocks))
+
+
+def test_mixing_draws_every_shard(spark):
+    targets = spark.createDataFrame([(s, 9000 * w, 9000.0 * w) for s, w in (("a", 6), ("b", 3), ("c", 1))], "source string, source_size long, target double")
+    sources = mixing._source_slots(targets, 10)
+    total = 9000
+    drawn = {(r["shard"], r["number"]): r["n"] for r in mixing.shard_counts(sources, total, shard=100).collect()}
+    assert sum(drawn.values()) == total and len({s for s, _ in drawn}) == 90
+    per = np.array([[drawn.get((s, k), 0) for k in (1, 2, 3)] for s in range(90)])
+    assert (per.sum(axis=1) == 100).all()
+    # the counts scatter as a multinomial's do, about 100 * p * (1 - p)
+    for k, p in enumerate((0.6, 0.3, 0.1)):
+        assert abs(per[:, k].mean() - 100 * p) < 2.5 and 0.5 < per[:, k].var() / (100 * p * (1 - p)) < 1.7
+    got = collections.Counter((r["shard"], r["source"]) for r in mixing.slots(targets, block=10, shard=100).collect())
+    totals = collections.Counter()
+    for (_, source), n in got.items():
+        totals[source] += n
+    assert totals == {"a": 5400, "b": 2700, "c": 900}
+    kept = sum(min(got[s, "abc"[k - 1]], n) for (s, k), n in drawn.items())
+    assert kept >= 0.95 * total  # only the late shards are corrected
+
+
+def test_mixing_takes_what_its_slots_name(spark, docs):
+    long = [(900, "w " * 30_000, "en", "big", 1, True, 1), (901, "a b", "en", "big", 1, True, 1), (902, " ".join(["z"] * 500), "en", "s2", 1, True, 1)]
+    table = docs.unionByName(spark.createDataFrame(long, SCHEMA))
+    rows = mixing._prepared(table)
+    streams = [r for r in mixing._streams(rows, 17).collect() if r["size"]]
+    owner = collections.defaultdict(dict)
+    for r in streams:
+        for k in range(r["size"]):
+            owner[r["source"]][r["begin"] + k] = (r["u"], r["v"], r["nth"])
+    taken, first = collections.Counter(), {}
+    for r in mixing.slots(mixing.source_targets(rows), block=16).collect():
+        for k in range(r["index"] * 16, r["index"] * 16 + r["words"]):
+            if k in owner[r["source"]]:
+                key = owner[r["source"]][k]
+                taken[key] += 1
+                first[key] = min(r["shard"], first.get(key, r["shard"]))
+    want = sorted(((r["doc_id"], taken[r["u"], r["v"], r["nth"]], first.get((r["u"], r["v"], r["nth"]))) for r in rows.collect()), key=str)
+    got = sorted(((r["doc_id"], r["taken"], r["first_shard"]) for r in mixing.mix_report(table, block=16).collect()), key=str)
+    assert got == want
+
+
+def test_mixing_is_planned_without_a_static_broadcast_of_blocks(docs):
+    drawn = mixing.slots(mixing.source_targets(mixing._prepared(docs)), block=16)
+    # the planner sees the written blocks' own size, not that of the few rows they were spread from
+    assert int(drawn._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 2000
+    assert "Generate" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_split_by_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("id"), F.lit("x").alias("_word2"))
+    keys = spark.createDataFrame([(k,) for k in range(1, 5000, 17)] + [(None,)], "k long")
+    maybe, never = common.split_by_keys(rows, keys, F.col("id"), F.col("k"))
+    assert maybe.columns == rows.columns == never.columns
+    maybe, never = [r["id"] for r in maybe.collect()], [r["id"] for r in never.collect()]
+    wanted = set(range(1, 5000, 17))
+    assert len(maybe) + len(never) == 5000 and not wanted & set(never) and None not in never
+    assert len(maybe) < len(wanted) + 100 + 1000
+    maybe, never = common.split_by_keys(rows, keys.limit(0), F.col("id"), F.col("k"))
+    assert maybe.count() == 0 and never.count() == 5000
+
+
+@pytest.mark.parametrize("bits", [0, 3, 15, 16, 20, 30])
+def test_gram_keys_tell_apart_what_the_hashes_do(bits):
+    hashes = np.unique(np.random.default_rng(bits).integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    buckets = 1 << bits
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    low = hashes & np.uint64((1 << 48) - 1)
+    keys = [int(ngram_join.gram_keys(int(b), low[k : k + 1], buckets)[0]) for k, b in enumerate(bucket)]
+    assert len(set(keys)) == len(hashes)
+    assert ((2**28 - 1 << ngram_join.CHUNK_BITS | 2**ngram_join.CHUNK_BITS - 1) << 15) + ngram_join.CHUNK_DOCS - 1 < 2**63
 
 
 @pytest.mark.parametrize("block", [packing.BLOCK, 1000])
@@ -226,6 +304,35 @@ def test_language_id(spark, docs, empty):
     assert language_id.predict(docs, none).filter("lang_pred <> 'und'").count() == 0 and language_id.predict(empty, none).count() == 0
 
 
+def plain_language(model, text):
+    rows, _ = language_id.subwords(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    return model.probabilities(model.table[rows].astype(float).mean(axis=0, keepdims=True) if len(rows) else np.zeros((1, len(model.labels))))[0]
+
+
+def test_language_of_long_texts_is_the_plain_mean(spark):
+    rng = np.random.default_rng(2)
+    model = language_id.LanguageModel(["a", "b", "c"], rng.normal(size=(language_id.ROWS, 3)).astype(np.float32), np.zeros(3), 0.3, 0.0)
+    start = "the first words of this text are in a language. " * 10
+    texts = [start, start + " " * 3_000_000, "\n".join(" ".join(map(str, rng.integers(0, 999, 90))) + " é" for _ in range(2500)), "é" * 700_001, "a"]
+    assert len(texts[2].encode()) > language_id.BLOCK_BYTES
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        p = plain_language(model, text)
+        assert got[k]["lang_pred"] == model.labels[int(p.argmax())] and abs(got[k]["score"] - p.max()) < 1e-9
+
+
+def test_languages_are_learned_whatever_their_share_and_ids(spark):
+    rng = random.Random(6)
+    words = {"en": "the of and to in is that".split(), "de": "der die und das nicht ist".split(), "eo": "kaj estas la tiu ĉiu plej".split()}
+    rows = [(None, " ".join(rng.choices(words[lang], k=20)) + f" {k}", lang) for lang, n in (("en", 1500), ("de", 400), ("eo", 6)) for k in range(n)]
+    rows += [(7, "the same text of all the rows", "en")] * 2000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(table, F.lit(True), max_rows=300, least_rows=20)
+    assert model.labels == ["de", "en", "eo"]
+    out = language_id.predict(table, model).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in out} == {"en": 3500, "de": 400, "eo": 6}
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST] <\\s> [\\\\INST] <s"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", None), (1, 3, "assistant", "é日 x\n"),
@@ -310,7 +417,7 @@ def test_crowded_leaves_count_each_link_once(spark):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     close = (unit @ unit.T >= 0.9) & ~np.eye(len(unit), dtype=bool)
     want = roots(zip(*np.nonzero(close)), range(len(unit)))
-    got = {r["vec_id"]: r for r in embedding_forest.near_duplicates(table, trees=4, leaf=64, max_sample=256, node_rows=500, block=250).collect()}
+    got = {r["vec_id"]: r for r in embedding_forest.near_duplicates(table, trees=4, leaf=64, spill=0.04, local_spill=0.04, max_sample=256, node_rows=500, block=250).collect()}
     assert [got[k]["n_links"] for k in range(len(unit))] == close.sum(axis=1).tolist()
     assert {k: r["component_id"] for k, r in got.items()} == want
 
@@ -320,7 +427,7 @@ def test_over_full_nodes_are_fitted_further(spark):
     vectors = rng.normal(size=(3000, 16))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors[:700] = vectors[0] + rng.normal(size=(700, 16)) * 1e-4
-    own = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "rep long, unit array<double>")
+    own = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "rep long, v array<double>")
     forest = [embedding_forest.fit_tree(vectors[-128:], t, 11) for t in range(2)]
     closed = embedding_forest.grow(own, forest, 16, 11, 0.04, 400)
     for tree, cuts in enumerate(forest):

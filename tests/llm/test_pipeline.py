@@ -40,8 +40,24 @@ def test_stages_in_order(spark):
     assert all(r["sum(length)"] <= 2048 for r in ends)
 
 
+def test_odd_rows_pass_all_stages(spark):
+    import corpus_pipeline
+    from haulcast.llm.common import stage
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(40).selectExpr("if(doc_id % 2 = 0, null, 7L) as doc_id", "if(doc_id % 5 = 0, null, text) as text", "if(doc_id % 3 = 0, null, lang) as lang", "source", "n_chars")
+    rows = docs.unionByName(odd).selectExpr("*", "1 as _word", "doc_id as row", "text as part", "source as d")
+    out = rows
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = stage(step(spark, out, SF))
+        assert out.columns == rows.columns and out.count() > 0
+    none = rows.limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, none, SF).count() == 0
+
+
 def test_registered_once_each():
     from __spark_entry__ import queries
 
     names = [n for n in queries() if n == "pipeline" or re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
