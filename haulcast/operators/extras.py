@@ -16,6 +16,7 @@ from ..functions.geo import bearing_deg, wrap_180
 from ..schema import LOADED_WEIGHT_LBS, STOP_SPEED_MPH
 from . import metrics, models
 from .features import TRIP_KEY, elapsed_s, trip_scan
+from .histboost import train_boosts
 from .quantiles import linear_quantiles
 from .scan import attach
 
@@ -322,12 +323,12 @@ def median_lag(lags: DataFrame) -> float | None:
 def ablation(
     train: DataFrame, test: DataFrame, columns: Sequence[str], groups: dict[str, list[str]] = FEATURE_GROUPS, **model
 ) -> DataFrame:
-    """Error report of the baseline without each feature group, and with all features."""
+    """Error report of the baseline without each feature group, and with all features; all are trained side by side."""
+    kept = {name: [c for c in columns if c not in dropped] for name, dropped in {"none": [], **groups}.items()}
+    fitted = train_boosts(train, None, [models.baseline_spec(name, own, **model) for name, own in kept.items()])
     out = None
-    for name, dropped in {"none": [], **groups}.items():
-        kept = [c for c in columns if c not in dropped]
-        fitted = models.train_baseline(models.assemble(train, kept), **model)
-        scored = models.predict_with(fitted, models.assemble(test, kept), "p50")
+    for name, own in kept.items():
+        scored = fitted[name].predict(test.dropna(subset=own), "p50")
         report = metrics.evaluate(scored).select(F.lit(name).alias("dropped"), "*")
         out = report if out is None else out.unionByName(report)
     return out

@@ -11,12 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
-    DecisionTreeRegressor,
-    GBTRegressionModel,
-    GBTRegressor,
-)
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +25,7 @@ from ..schema import (
     TOLERANCE_MIN,
 )
 from ..session import cut_lineage
+from .histboost import BoostSpec, HistBoost, train_boosts
 from .metrics import pinball
 from .quantiles import order_statistics
 
@@ -77,7 +73,7 @@ def trip_split(
     )
 
 
-# --- squared-error boosting ---------------------------------------------------------------
+# --- boosted trees ------------------------------------------------------------------------
 
 
 def assemble(df: DataFrame, columns: Sequence[str] = tuple(FEATURE_COLS)) -> DataFrame:
@@ -85,47 +81,66 @@ def assemble(df: DataFrame, columns: Sequence[str] = tuple(FEATURE_COLS)) -> Dat
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(df)
 
 
-def train_baseline(
-    train: DataFrame, label: str = "y", rounds: int = 200, depth: int = 6, step: float = 0.1
-) -> GBTRegressionModel:
-    """Boosted trees on squared error. ``train`` carries ``features`` and the label."""
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=rounds,
-        maxDepth=depth, stepSize=step, seed=SEED,
-    ).fit(train)
+def baseline_spec(name: str = "baseline", columns: Sequence[str] = tuple(FEATURE_COLS), rounds: int = 200, depth: int = 6, step: float = 0.1) -> BoostSpec:
+    return BoostSpec(name, None, rounds, step, tuple(columns), depth=depth)
+
+
+def specialist_spec(columns: Sequence[str], rounds: int = 300, depth: int = 6, step: float = 0.05) -> BoostSpec:
+    """Rows close to arrival weigh up to sixteenfold (column ``near_weight``)."""
+    return BoostSpec("specialist", None, rounds, step, tuple(columns), weight="near_weight", depth=depth)
+
+
+def quantile_spec(alpha: float, columns: Sequence[str] = tuple(FEATURE_COLS), rounds: int = 300, depth: int = 6, step: float = 0.05, patience: int = 20) -> BoostSpec:
+    return BoostSpec(quantile_name(alpha), alpha, rounds, step, tuple(columns), patience=patience, depth=depth)
+
+
+def with_near_weight(df: DataFrame, label: str = "y") -> DataFrame:
+    return df.withColumn("near_weight", near_arrival_weight(F.col(label)))
+
+
+def train_baseline(train: DataFrame, label: str = "y", rounds: int = 200, depth: int = 6, step: float = 0.1) -> HistBoost:
+    """Boosted trees on squared error. ``train`` carries the feature columns and the label."""
+    spec = baseline_spec(rounds=rounds, depth=depth, step=step)
+    return train_boosts(train, None, [spec], label)[spec.name]
 
 
 def train_near_specialist(
+    train: DataFrame, columns: Sequence[str], label: str = "y", rounds: int = 300, depth: int = 6, step: float = 0.05
+) -> HistBoost:
+    """Boosted trees that weigh rows close to arrival up to sixteenfold.
+
+    ``columns`` are the model features and the naive estimate.
+    """
+    spec = specialist_spec(columns, rounds, depth, step)
+    return train_boosts(with_near_weight(train, label), None, [spec], label)[spec.name]
+
+
+def train_quantiles(
     train: DataFrame,
-    columns: Sequence[str],
+    validation: DataFrame,
+    alphas: Sequence[float] = QUANTILES,
     label: str = "y",
     rounds: int = 300,
     depth: int = 6,
     step: float = 0.05,
-) -> GBTRegressionModel:
-    """Boosted trees that weigh rows close to arrival up to sixteenfold.
-
-    ``columns`` are the model features and the naive estimate.
-    """
-    rows = assemble(train.drop("features"), columns).withColumn(
-        "_weight", near_arrival_weight(F.col(label))
-    )
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, weightCol="_weight", maxIter=rounds,
-        maxDepth=depth, stepSize=step, seed=SEED,
-    ).fit(rows)
+    patience: int = 20,
+) -> dict[str, HistBoost]:
+    """One model per quantile, grown side by side, with early stopping on the validation rows."""
+    specs = [quantile_spec(a, rounds=rounds, depth=depth, step=step, patience=patience) for a in alphas]
+    return train_boosts(train, validation, specs, label)
 
 
 def predict_with(model, df: DataFrame, out: str) -> DataFrame:
     """Add a model's prediction as ``out``."""
+    if isinstance(model, HistBoost):
+        return model.predict(df, out)
     return model.transform(df).withColumnRenamed(model.getPredictionCol(), out)
 
 
-def feature_importance(model, columns: Sequence[str] = tuple(FEATURE_COLS)) -> DataFrame:
+def feature_importance(model: HistBoost) -> DataFrame:
     """One row per feature with its share of the model's gain."""
-    values = model.featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(columns, values)), "feature string, importance double")
+    return spark.createDataFrame(model.importances(), "feature string, importance double")
 
 
 # --- quantile boosting --------------------------------------------------------------------
@@ -291,13 +306,7 @@ def quantile_name(alpha: float) -> str:
     return f"p{round(alpha * 100):02d}"
 
 
-def train_quantiles(
-    train: DataFrame, validation: DataFrame, alphas: Sequence[float] = QUANTILES, **options
-) -> dict[str, QuantileBoost]:
-    return {quantile_name(a): train_quantile_boost(train, validation, a, **options) for a in alphas}
-
-
-def predict_quantiles(models: dict[str, QuantileBoost], df: DataFrame) -> DataFrame:
+def predict_quantiles(models: dict[str, HistBoost], df: DataFrame) -> DataFrame:
     """Add one prediction column per quantile model."""
     for name, model in models.items():
         df = model.predict(df, name)

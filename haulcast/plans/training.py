@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.eta import naive_eta_min
 from ..operators import calibrate, metrics, models
 from ..operators.features import build_features, drop_incomplete
-from ..schema import FEATURE_COLS
+from ..operators.histboost import HistBoost, train_boosts
+from ..schema import FEATURE_COLS, QUANTILES
 from ..session import cut_lineage
 
 
@@ -25,7 +25,7 @@ class TrainingOptions:
     quantile_rounds: int = 300
     quantile_step: float = 0.05
     depth: int = 6
-    quantile_depth: int = 5
+    quantile_depth: int = 6
     patience: int = 20
     columns: Sequence[str] = tuple(FEATURE_COLS)
 
@@ -34,9 +34,9 @@ class TrainingOptions:
 class Trained:
     """Models, calibration and near-arrival choice of one training run."""
 
-    quantiles: dict[str, models.QuantileBoost]
-    baseline: GBTRegressionModel
-    specialist: GBTRegressionModel
+    quantiles: dict[str, HistBoost]
+    baseline: HistBoost
+    specialist: HistBoost
     near: models.NearChoice
     calibration: calibrate.Calibration
     columns: Sequence[str] = tuple(FEATURE_COLS)
@@ -44,11 +44,9 @@ class Trained:
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add naive, baseline, specialist, quantile and near-arrival predictions."""
         df = rows if "naive" in rows.columns else with_naive(rows)
-        df = models.assemble(df.drop("features"), [*self.columns, "naive"])
-        df = models.predict_with(self.specialist, df, "specialist")
-        df = models.assemble(df.drop("features"), self.columns)
-        df = models.predict_with(self.baseline, df, "baseline")
-        df = models.predict_quantiles(self.quantiles, df).drop("features")
+        df = df.dropna(subset=[*self.columns, "naive"])
+        df = self.baseline.predict(self.specialist.predict(df, "specialist"), "baseline")
+        df = models.predict_quantiles(self.quantiles, df)
         near = self.near.prediction(F.col("p50"), F.col("naive"), F.col("specialist"))
         return df.withColumn("near_opt", near)
 
@@ -57,8 +55,8 @@ class Trained:
         spark = SparkSession.getActiveSession()
         for name, model in self.quantiles.items():
             model.save(f"{path}/{name}")
-        self.baseline.write().overwrite().save(f"{path}/baseline")
-        self.specialist.write().overwrite().save(f"{path}/specialist")
+        self.baseline.save(f"{path}/baseline")
+        self.specialist.save(f"{path}/specialist")
         c = self.calibration
         row = [(
             list(self.quantiles), list(self.columns), *asdict(self.near).values(), c.scale_80, c.scale_90,
@@ -71,9 +69,9 @@ class Trained:
         spark = SparkSession.getActiveSession()
         s = spark.read.schema(_STATE).json(f"{path}/state").first()
         return cls(
-            quantiles={name: models.QuantileBoost.load(f"{path}/{name}") for name in s["quantiles"]},
-            baseline=GBTRegressionModel.load(f"{path}/baseline"),
-            specialist=GBTRegressionModel.load(f"{path}/specialist"),
+            quantiles={name: HistBoost.load(f"{path}/{name}") for name in s["quantiles"]},
+            baseline=HistBoost.load(f"{path}/baseline"),
+            specialist=HistBoost.load(f"{path}/specialist"),
             near=models.NearChoice(s["mode"], s["threshold"], s["weight"], s["near_mae"], s["within_tolerance"]),
             calibration=calibrate.Calibration(
                 s["scale_80"], s["scale_90"], s["scale_posthoc"],
@@ -109,17 +107,16 @@ def fit(rows: DataFrame, options: TrainingOptions = TrainingOptions()) -> tuple[
     """
     keep = ["VIN", "trip_local", "event_seq", "Speed", *FEATURE_COLS, "naive", "y", "split"]
     rows = cut_lineage(rows.select(*dict.fromkeys(keep)))
-    assembled = models.assemble(rows, options.columns)
-    train = assembled.where(F.col("split") == "train")
-    validation = assembled.where(F.col("split") == "validation")
-    baseline = models.train_baseline(train, rounds=options.baseline_rounds, depth=options.depth)
-    quantiles = models.train_quantiles(
-        train, validation, rounds=options.quantile_rounds, depth=options.quantile_depth,
-        step=options.quantile_step, patience=options.patience,
-    )
-    specialist = models.train_near_specialist(
-        train, [*options.columns, "naive"], rounds=options.specialist_rounds, depth=options.depth
-    )
+    rows_of = {s: models.with_near_weight(rows.where(F.col("split") == s)) for s in ("train", "validation")}
+    baseline = models.baseline_spec("baseline", options.columns, options.baseline_rounds, options.depth)
+    specialist = models.specialist_spec([*options.columns, "naive"], options.specialist_rounds, options.depth)
+    quantiles = [
+        models.quantile_spec(a, options.columns, options.quantile_rounds, options.quantile_depth, options.quantile_step, options.patience)
+        for a in QUANTILES
+    ]
+    fitted = train_boosts(rows_of["train"], rows_of["validation"], [baseline, specialist, *quantiles])
+    baseline, specialist = fitted.pop("baseline"), fitted.pop("specialist")
+    quantiles = fitted
     start = models.NearChoice("global", 0.0, 0.0, None, None)
     trained = Trained(quantiles, baseline, specialist, start, None, options.columns)
     scored = cut_lineage(trained.predict(rows.where(F.col("split") != "train")))

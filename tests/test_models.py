@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from haulcast.operators import models
 from haulcast.operators.models import NearChoice, choose_near
-from haulcast.operators.routes import route_asof
+from haulcast.operators.routes import route_asof, route_refreshes
 from haulcast.plans import training
 from haulcast.plans.scoring import batch_predict, response_json
 from haulcast.sources.requests import parse_requests
@@ -69,6 +69,46 @@ def test_requests(spark):
     assert '"google_route_eta_min":null' in [r[0] for r in responses.where("method like 'physics%'").select(response_json(responses)).collect()][0]
 
 
+def chain_rows(seed, n=400):
+    import random
+
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for k in range(n):
+        at += rng.choice([0, 5, 60, 200, 600, 2000])
+        rows.append((rng.choice("AAAB"), rng.randrange(2), k, at, rng.choice([41.001, 41.004, 41.2, None]), 9.0, 40.0, 8.0))
+    rows.append(("A", 0, n, None, 41.0, 9.0, 40.0, 8.0))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [100, 3600, 10**6])
+def test_route_refreshes(spark, chunk):
+    rows = chain_rows(chunk)
+    pings = spark.createDataFrame(rows, "VIN string, trip_local long, event_seq long, s long, Latitude double, Longitude double, destination_latitude double, destination_longitude double")
+    pings = pings.withColumn("Timestamp", F.timestamp_seconds("s")).drop("s")
+    last, want = {}, {}
+    for vin, trip, seq, s, lat, *_ in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0, r[2])):
+        if s is None or lat is None:
+            want[seq] = (False, None)
+            continue
+        key = (vin, trip, round(lat, 2))
+        if key not in last or s >= last[key][0] + 900:
+            last[key] = (s, seq)
+        want[seq] = (last[key][1] == seq, last[key][1])
+    got = route_refreshes(pings, ttl_minutes=15, chunk_seconds=chunk)
+    assert got.columns == [*pings.columns, "refresh", "served_by"]
+    assert {r["event_seq"]: (r["refresh"], r["served_by"]) for r in got.collect()} == want
+    assert route_refreshes(pings.limit(0)).count() == 0
+
+
+def test_route_refreshes_of_one_long_key(spark):
+    pings = spark.range(3000).select(F.lit("A").alias("VIN"), F.lit(1).cast("long").alias("trip_local"), F.col("id").alias("event_seq"), F.timestamp_seconds(F.col("id") * 7).alias("Timestamp"))
+    for c in ("Latitude", "Longitude", "destination_latitude", "destination_longitude"):
+        pings = pings.withColumn(c, F.lit(1.0))
+    got = route_refreshes(pings, ttl_minutes=1, chunk_seconds=1000).where("refresh").select("event_seq").collect()
+    assert sorted(r[0] for r in got) == list(range(0, 3000, 9))  # the first ping at least 60 s later is the ninth
+
+
 @pytest.mark.parametrize("chunk", [300, 3600, 10**6])
 def test_route_lifetime(spark, chunk):
     pings = spark.createDataFrame([("A", 0), ("A", 600), ("A", 1500), ("A", 1501), ("B", 600)], "VIN string, s long")
@@ -88,12 +128,12 @@ class _Asked(Exception):
     [
         ("gbt_baseline", "haulcast.operators.models.train_baseline", {"rounds": 200, "depth": 6}),
         ("near_specialist", "haulcast.operators.models.train_near_specialist", {"rounds": 300, "depth": 6}),
-        ("quantile_gbt", "haulcast.operators.models.train_quantile_boost", {"rounds": 300, "depth": 5, "patience": 20}),
-        ("predict_quantiles", "haulcast.operators.models.train_quantile_boost", {"rounds": 300, "depth": 5, "patience": 20}),
+        ("quantile_gbt", "haulcast.operators.models.train_quantiles", {"rounds": 300, "depth": 6, "patience": 20}),
+        ("predict_quantiles", "haulcast.operators.models.train_quantiles", {"rounds": 300, "depth": 6, "patience": 20}),
         ("train_pipeline", "haulcast.plans.training.fit", {"options": training.TrainingOptions()}),
         ("model_save_load", "haulcast.plans.training.fit", {"options": training.TrainingOptions()}),
         ("feature_importance", "haulcast.operators.models.train_baseline", {"rounds": 200, "depth": 6}),
-        ("ablation", "haulcast.operators.models.train_baseline", {"rounds": 200, "depth": 6}),
+        ("ablation", "haulcast.operators.models.baseline_spec", {"rounds": 200, "depth": 6}),
         ("model_variants", "haulcast.operators.extras.train_forest", {"trees": 20, "depth": 6}),
         ("model_variants", "haulcast.operators.extras.tune_by_trip", {"folds": 3}),
     ],

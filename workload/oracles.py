@@ -235,6 +235,27 @@ add("prefix_asof", TRIPS, f"""SELECT {KEY} FROM trips
 add("route_asof", ROUTES, f"""SELECT p.event_seq, p.VIN, CASE WHEN epoch_us(p.Timestamp) - epoch_us(q.route_ts) <= 900000000
       THEN {r("cast(replace(q.duration, 's', '') AS DOUBLE) / 60.0")} END AS route_eta_min
     FROM pings p ASOF LEFT JOIN routes q ON p.VIN = q.VIN AND p.Timestamp >= q.route_ts""")
+REFRESHES = "RECURSIVE " + TRIPS.lstrip() + """,
+placed AS (SELECT VIN, trip_local, event_seq, Timestamp, epoch_us(Timestamp) AS t, round(Latitude) AS a, round(Longitude) AS b,
+    round(last_value(Latitude IGNORE NULLS) OVER trip) AS c, round(last_value(Longitude IGNORE NULLS) OVER trip) AS d FROM trips
+    WINDOW trip AS (PARTITION BY VIN, trip_local ORDER BY Timestamp, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+keyed AS (SELECT *, dense_rank() OVER (ORDER BY VIN, trip_local, a, b, c, d) AS k FROM placed),
+chain AS (
+  SELECT k, t, event_seq FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY t, event_seq) = 1
+  UNION ALL
+  SELECT k, t, event_seq FROM (
+    SELECT n.k, n.t, n.event_seq, row_number() OVER (PARTITION BY n.k ORDER BY n.t, n.event_seq) AS place
+    FROM chain c JOIN keyed n ON n.k = c.k AND n.t >= c.t + 900000000) WHERE place = 1),
+served AS (SELECT n.*, c.event_seq IS NOT NULL AS refresh, last_value(c.event_seq IGNORE NULLS) OVER (
+    PARTITION BY n.k ORDER BY n.t, n.event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served_by
+  FROM keyed n LEFT JOIN chain c USING (event_seq))"""
+add("route_refresh", REFRESHES, f"SELECT {KEY}, refresh, served_by FROM served")
+add("route_call_budget", REFRESHES + """,
+  daily AS (SELECT cast(Timestamp AS DATE) AS day, count(DISTINCT VIN) AS trucks, count(DISTINCT hour(Timestamp))::DOUBLE AS hours,
+      count_if(refresh)::BIGINT AS calls, count(*) AS n FROM served GROUP BY 1),
+  scen AS (SELECT day, calls, n, trucks * (hours * 3600.0 / 30.0) * 30.0 AS pings, hours, 30.0 AS interval_s,
+      calls / n AS ratio, 5.0 AS price, 2000.0 AS budget FROM daily)""",
+    f"SELECT strftime(day, '%Y-%m-%d') AS day, calls, n AS pings, {BUDGET} FROM scen")
 add("trip_backjoin", TRIPS, f"""SELECT {KEY}, count(*) OVER (PARTITION BY VIN, trip_local) AS trip_pings,
     epoch_us(min(Timestamp) OVER (PARTITION BY VIN, trip_local))::BIGINT AS start_us FROM trips""")
 add("destination_join", TRIPS, f"""SELECT {KEY}, {r('dest_lat')} AS destination_latitude, {r('dest_lon')} AS destination_longitude FROM (

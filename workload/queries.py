@@ -24,7 +24,7 @@ from haulcast.operators import (
     quantiles,
 )
 from haulcast.operators.models import trip_split
-from haulcast.operators.routes import join_destinations, route_asof
+from haulcast.operators.routes import join_destinations, route_asof, route_refreshes
 from haulcast.operators.trips import keep_long_trips, segment_trips, trip_label
 from haulcast.plans import scoring, training
 from haulcast.plans.segment import numbered_trips
@@ -93,6 +93,15 @@ def kept_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_long_trips(trips(spark, sf_dir))
 
 
+def trip_ends(rows: DataFrame) -> DataFrame:
+    """Last known position of each trip."""
+    at = F.struct("Timestamp", "event_seq")
+    return rows.groupBy("VIN", "trip_local").agg(
+        F.max_by("Latitude", F.when(F.col("Latitude").isNotNull(), at)).alias("destination_latitude"),
+        F.max_by("Longitude", F.when(F.col("Longitude").isNotNull(), at)).alias("destination_longitude"),
+    )
+
+
 def with_features(spark: SparkSession, sf_dir: str, *names: str, label: bool = False) -> DataFrame:
     return features.add_features(
         trips(spark, sf_dir), names, min_pings=MIN_TRIP_PINGS, label=label
@@ -374,6 +383,41 @@ def _(spark, sf_dir):
     )
 
 
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route calls of all trips; places to whole degrees, as the adapted positions jump inside one."""
+    rows = kept_trips(spark, sf_dir)
+    return route_refreshes(join_destinations(rows, trip_ends(rows)), digits=0)
+
+
+@query("route_refresh")
+def _(spark, sf_dir):
+    return refreshed(spark, sf_dir).select(*KEY, "refresh", "served_by")
+
+
+@query("route_call_budget")
+def _(spark, sf_dir):
+    """Budget of each day at the share of pings that asked the route service."""
+    daily = (
+        refreshed(spark, sf_dir)
+        .groupBy(F.to_date("Timestamp").alias("day"))
+        .agg(
+            F.count_distinct("VIN").alias("trucks"),
+            F.count_distinct(F.hour("Timestamp")).cast("double").alias("hours"),
+            F.count_if("refresh").alias("calls"),
+            F.count(F.lit(1)).alias("pings"),
+        )
+    )
+    columns = eta.budget_columns(
+        F.col("trucks"), F.lit(30.0), F.col("hours"), F.col("calls") / F.col("pings"), F.lit(5.0), F.lit(2000.0)
+    )
+    return daily.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"),
+        "calls",
+        "pings",
+        *[c.alias(n) if n.endswith("_ok") else r6(c).alias(n) for n, c in columns.items()],
+    )
+
+
 @query("trip_backjoin")
 def _(spark, sf_dir):
     """Trip aggregates attached to the trip's rows."""
@@ -388,12 +432,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Last known position of each trip as a destination table, joined to the trip's pings."""
     rows = kept_trips(spark, sf_dir)
-    at = F.struct("Timestamp", "event_seq")
-    destinations = rows.groupBy("VIN", "trip_local").agg(
-        F.max_by("Latitude", F.when(F.col("Latitude").isNotNull(), at)).alias("destination_latitude"),
-        F.max_by("Longitude", F.when(F.col("Longitude").isNotNull(), at)).alias("destination_longitude"),
-    )
-    return join_destinations(rows.select(*KEY), destinations).select(
+    return join_destinations(rows.select(*KEY), trip_ends(rows)).select(
         *KEY,
         r6("destination_latitude").alias("destination_latitude"),
         r6("destination_longitude").alias("destination_longitude"),
@@ -813,7 +852,7 @@ def _(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     columns = [*features.FEATURE_COLS, "naive"]
     model = models.train_near_specialist(rows.where("split = 'train'"), columns)
-    test = models.assemble(rows.where("split = 'test'"), columns)
+    test = rows.where("split = 'test'")
     return rounded(metrics.evaluate(models.predict_with(model, test, "p50")))
 
 
@@ -821,7 +860,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The 0.9 quantile."""
     train, validation, test = model_parts(spark, sf_dir)
-    model = models.train_quantile_boost(train, validation, 0.9)
+    model = models.train_quantiles(train, validation, (0.9,))["p90"]
     scored = model.predict(test, "p90")
     return rounded(
         scored.agg(
