@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +38,14 @@ TREES = 8
 ROUND_TREES = 4  # trees whose nodes are shuffled together
 LEAF = 128
 SPILL = 0.01  # cosine-scale distance from the cut inside which a vector goes to both sides
-LOCAL_SPILL = 0.03  # the same at the levels below, which a task splits itself
+LOCAL_SPILL = 0.015  # the same at the levels below, which a task splits itself
 MAX_SAMPLE = 16384
 SAMPLE_LEAF = 32  # sample vectors of a node under which the fitted levels end
 MAX_DEPTH = 40
 NODE_ROWS = 8192  # vectors that a task gathers before it splits them itself
 FIT_ROWS = 1024  # vectors on which an over-full node is fitted further
 LAST_NODE = 1 << 60
-SPLITS = 0.95  # share of a node's vectors that reach its larger side, from which it counts as not split
+SPLITS = 0.7  # share of a node's vectors on its larger side from which it counts as not split; beyond, copies outgrow what a split saves
 BLOCK = 4096  # vectors of a crowded leaf on either side of one task
 TILE = 1024
 
@@ -104,13 +105,39 @@ def leaf_id(tree: int, node: int, dim: int) -> int:
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
     """Vectors as stored to unit vectors in double precision."""
-    rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+    return _unit(np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Scaled by a power of two first, so squares neither overflow nor vanish."""
     if len(rows):
         rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
         rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows
 
 
+def _named(batches):
+    """Rows with two hashes of their unit vector; those that link with nothing lose their vector."""
+    for batch in batches:
+        column = batch.column("v")
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component becomes NaN
+        start = np.cumsum(lengths) - lengths
+        good, names = np.zeros(len(lengths), dtype=bool), np.zeros((2, len(lengths)), dtype=np.uint64)
+        for dim in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == dim)
+            rows = values[start[own][:, None] + np.arange(dim)]
+            fine = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+            own, bits = own[fine], (_unit(rows[fine]) + 0.0).view(np.uint64)
+            good[own] = True
+            for k in range(2):
+                names[k, own] = mix(bits + mix(np.arange(dim, dtype=np.uint64), 300 + k), 400 + k).sum(axis=1, dtype=np.uint64)
+        good &= batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
+        kept = pa.array(good)
+        hashes = [pa.array(x.view(np.int64), mask=~good) for x in names]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("row"), *hashes, pc.if_else(kept, column, pa.scalar(None, column.type))], names=["vec_id", "row", "u1", "u2", "v"])
+
+
 def _counter(forest, dim, seed, spill):
     """Vectors per node, of one batch."""
 
@@ -289,19 +316,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept (vec_id = component_id)."""
     spark = vectors.sparkSession
-    value = F.col("embedding").cast("array<double>")
-    bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = ~bad & (F.size(value) > 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"), F.when(good, value).alias("d"))
-    # scaled by the largest component first, so squares neither overflow nor vanish
-    top = F.array_max(F.transform("d", lambda x: F.abs(x)))
-    rows = rows.withColumn("top", top).withColumn("scaled", F.transform("d", lambda x: F.try_divide(x, F.col("top"))))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("norm", norm)
-    unit = F.when((F.col("top") > 0) & F.col("vec_id").isNotNull(), F.transform("scaled", lambda x: F.try_divide(x, F.col("norm"))))
-    rows = rows.select("vec_id", F.monotonically_increasing_id().alias("row"), unit.alias("unit"), "v")
-    keys = [F.when(F.col("unit").isNotNull(), F.xxhash64(F.lit(k), "unit")).alias(f"u{k}") for k in (1, 2)]
-    rows = stage(rows.select("vec_id", "row", *keys, F.when(F.col("unit").isNotNull(), F.col("v")).alias("v")))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col("embedding").alias("v"))
+    rows = stage(rows.mapInArrow(_named, f"vec_id long, row long, u1 long, u2 long, v {rows.schema['v'].dataType.simpleString()}"))
     equal = rows.filter("v is not null").groupBy("u1", "u2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     equal = stage(equal)
     classes = rows.join(equal.select(F.col("rep").alias("row"), "rep", "copies"), "row").select("rep", "copies", "v")
