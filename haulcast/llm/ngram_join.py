@@ -39,7 +39,7 @@ BUCKET_GRAMS = 1 << 21  # n-grams that a task counts at once, about
 GRAM_BYTES = 6  # of text, at least, that an n-gram stands for on average
 PROFILE = 32
 LINKING_ROUNDS = 2  # rounds, at least, in which a member meets one hub, before lists are compared exhaustively
-MOST_LINKING = 8  # and at most
+MOST_LINKING = 4  # and at most
 OPEN_PAIRS = 2  # comparisons per list entry above which another such round comes first
 NO_ID = -(2**63)
 LOW48 = (1 << 48) - 1
