@@ -97,6 +97,33 @@ def weight_coverage(raw: DataFrame) -> DataFrame:
     )
 
 
+def coverage_rollup(raw: DataFrame) -> DataFrame:
+    """Rows, vehicles, weight coverage and missing speeds per (source, vehicle), per source and overall.
+
+    ``level`` tells a total from an empty value: 0 one vehicle of a source, 1 a source, 3 the whole
+    table (an empty table has no rows at any level). The raw rows are aggregated once, inside the tasks first; the grouping
+    sets expand only the rows per (source, vehicle).
+    """
+    per_vin = raw.groupBy(_text(raw, "Source").alias("Source"), _text(raw, "VIN").alias("VIN")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(_text(raw, "Weight_lbs") != "").alias("with_weight"),
+        F.count_if(_text(raw, "Speed") == "").alias("missing_speed"),
+    )
+    named = per_vin.withColumn("_vehicle", F.nullif(F.col("VIN"), F.lit("")))
+    return (
+        named.rollup("Source", "VIN")
+        .agg(
+            F.grouping_id().cast("int").alias("level"),
+            F.sum("n").alias("n"),
+            F.count_distinct("_vehicle").alias("vehicles"),
+            F.sum("with_weight").alias("with_weight"),
+            F.sum("missing_speed").alias("missing_speed"),
+        )
+        .where(F.col("n").isNotNull())
+        .withColumn("coverage_pct", round_half_up(F.col("with_weight") / F.col("n") * 100, 3))
+    )
+
+
 def coverage_extremes(raw: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` vehicles of lowest and of highest weight coverage."""
     per_vin = weight_coverage(raw)

@@ -276,6 +276,10 @@ add("audit_missingness", RAW, " UNION ALL ".join(
     {r(f"count_if({c} = '') / count(*) * 100", 3)} > 5 AS flagged FROM raw"""
     for c in ("VIN", "Timestamp", "Latitude", "Longitude", "Speed", "Weight_lbs", "Device_Type", "Source")))
 add("rows_per_vin", RAW, "SELECT VIN, count(*) AS n FROM raw WHERE VIN <> '' GROUP BY VIN")
+add("coverage_rollup", RAW, f"""SELECT Source, VIN, grouping(Source, VIN)::INT AS level, count(*) AS n,
+    count(DISTINCT nullif(VIN, '')) AS vehicles, count_if(Weight_lbs <> '')::BIGINT AS with_weight,
+    {r("count_if(Weight_lbs <> '') / count(*) * 100", 3)} AS coverage_pct, count_if(Speed = '')::BIGINT AS missing_speed
+    FROM raw GROUP BY ROLLUP (Source, VIN)""")
 COVER = RAW + f""", cover AS (SELECT VIN, count(*) AS n, count_if(Weight_lbs <> '')::BIGINT AS with_weight,
     {r("count_if(Weight_lbs <> '') / count(*) * 100", 3)} AS coverage_pct FROM raw WHERE VIN <> '' GROUP BY VIN)"""
 add("weight_coverage", COVER, "SELECT * FROM cover")
@@ -624,4 +628,10 @@ add("stream_eta", STREAM + f", listed AS (SELECT *, {NAIVE} AS v, list({NAIVE})
 add("stream_trips", GAP_TRIPS, f"""SELECT VIN, count(*) AS pings, epoch_us(min(Timestamp))::BIGINT AS start_us,
     epoch_us(max(Timestamp))::BIGINT AS end_us, {r('max(coalesce(Speed, 0.0))')} AS top_mph,
     count_if(coalesce(Speed, 0.0) < 2)::BIGINT AS standing_pings FROM gap_trips GROUP BY VIN, trip_local""")
+add("stream_closed_trips", ALL_TRIPS + """, ends AS (SELECT VIN, trip_local, count(*) AS pings,
+      epoch_us(min(Timestamp))::BIGINT AS start_us, epoch_us(max(Timestamp))::BIGINT AS end_us,
+      max(coalesce(Speed, 0.0)) AS top, count_if(coalesce(Speed, 0.0) < 2)::BIGINT AS standing_pings
+    FROM all_trips GROUP BY VIN, trip_local)""", f"""SELECT VIN, trip_local, pings, start_us, end_us, {r('top')} AS top_mph,
+    standing_pings, CASE WHEN lead(start_us) OVER (PARTITION BY VIN ORDER BY trip_local) - end_us <= 1800000000
+      THEN 'move' ELSE 'gap' END AS closed_by FROM ends""")
 add("stream_dedupe", PINGS, "SELECT VIN, event_seq FROM pings")

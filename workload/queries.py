@@ -35,6 +35,7 @@ from haulcast.sources import pings as ping_source
 from haulcast.sources.events import event_pings
 from haulcast.sources.requests import parse_requests
 from haulcast.streaming import replay
+from haulcast.streaming.closing import archive, stream_closed_trips
 from haulcast.streaming.features import split_late, stream_features
 from haulcast.streaming.trips import drop_repeats, stream_trips
 
@@ -457,6 +458,11 @@ def _(spark, sf_dir):
     return audit.rows_per_vin(derived.raw_text_pings(spark, sf_dir))
 
 
+@query("coverage_rollup")
+def _(spark, sf_dir):
+    return audit.coverage_rollup(derived.raw_text_pings(spark, sf_dir))
+
+
 @query("weight_coverage")
 def _(spark, sf_dir):
     return audit.weight_coverage(derived.raw_text_pings(spark, sf_dir))
@@ -1095,15 +1101,20 @@ def _(spark, sf_dir):
     return rounded(out.select("VIN", "event_seq", "eta_min", "eta_smoothed_min"))
 
 
+def with_closing_ping(pings: DataFrame) -> DataFrame:
+    """The pings and one of another vehicle a day later, which lets the watermark pass all of them."""
+    end = pings.agg(F.max("Timestamp").alias("t")).select(
+        F.lit("closing").alias("VIN"),
+        F.lit(-1).cast("long").alias("event_seq"),
+        (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("Timestamp"),
+    )
+    return pings.unionByName(end, allowMissingColumns=True)
+
+
 @query("stream_trips")
 def _(spark, sf_dir):
     """Gap trips from session windows; a later ping of another vehicle closes the last ones."""
-    pings = event_pings(spark, sf_dir)
-    end = pings.agg(F.max("Timestamp").alias("t")).select(
-        F.lit("closing").alias("VIN"), (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("Timestamp")
-    )
-    rows = pings.unionByName(end, allowMissingColumns=True)
-    out = streamed(spark, rows, stream_trips)
+    out = streamed(spark, with_closing_ping(event_pings(spark, sf_dir)), stream_trips)
     return out.where(F.col("VIN") != "closing").select(
         "VIN",
         "pings",
@@ -1114,6 +1125,16 @@ def _(spark, sf_dir):
     )
 
 
+@query("stream_closed_trips")
+def _(spark, sf_dir):
+    """Live trips by gap and by stop and move, archived per day once they are closed."""
+    path, target, state = (ping_source.scratch_path(spark, n) for n in ("replay", "archive", "archive-state"))
+    rows = with_closing_ping(event_pings(spark, sf_dir))
+    replay.replay(rows, path, lambda stream: archive(stream_closed_trips(stream), target, state))
+    out = spark.read.parquet(target).where(F.col("VIN") != "closing")
+    return out.withColumn("top_mph", r6("top_mph")).drop("day", "batch")
+
+
 @query("stream_dedupe")
 def _(spark, sf_dir):
     """Every third ping sent twice; repeats are dropped within the watermark."""
