@@ -3,8 +3,9 @@
 A conversation's turns are rendered into one string, ``<s>[INST] role [/INST]text</s>`` per turn. The
 whole string is encoded once; the tokens' character offsets and the sorted character spans of the
 assistant turns are intersected by binary search, which gives the loss mask. The template's marks are
-ids of their own, so no token reaches across the edge of a turn. Marks inside roles and texts are
-escaped with a backslash behind their first character, and read back exactly.
+ids of their own, so no token reaches across the edge of a turn. Marks inside roles and texts, and
+control strings of the form ``<|name|>`` that the tokenizer would take as ids of its own, are escaped
+with a backslash behind their first character, and read back exactly.
 
 Defined results: turns go by turn number (null first), then role and text; a null role or text is
 empty; rows without conv_id form one conversation without id; a conversation of any length is one row
@@ -27,8 +28,11 @@ from haulcast.llm.packing import tokenizer_path
 # The marks of the template.
 BEGIN, ROLE_OPEN, ROLE_CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 MARKS = [BEGIN, ROLE_OPEN, ROLE_CLOSE, END]
-_MARK = re.compile(r"([<\[])(\\*)(?=(?:/?s>|/?INST\]))")
-_ESCAPED = re.compile(r"([<\[])\\(\\*)(?=(?:/?s>|/?INST\]))")
+# what turns a bracket into a control string: the template's marks, and strings such as <|endoftext|>
+# that a tokenizer holds as control ids of its own
+_REST = r"(?=(?:/?s>|/?INST\]|\|[A-Za-z0-9_]+\|>))"
+_MARK = re.compile(r"([<\[])(\\*)" + _REST)
+_ESCAPED = re.compile(r"([<\[])\\(\\*)" + _REST)
 _TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.DOTALL)
 LEARNED_ROLE = "assistant"
 

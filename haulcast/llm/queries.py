@@ -96,7 +96,7 @@ QUERIES = {
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2#\3', 'g'))"
+_ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|\|[A-Za-z0-9_]+\|>)', '\1\2#\3', 'g'))"
 _REACH = """
     both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
     reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),

@@ -348,6 +348,19 @@ def test_chat(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_texts_hold_no_control_ids(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<\\|endoftext|>", "<|im_start|>user", "<||> <|a b|>", "x" * 300_000 + "<|endoftext|>" * 2000]
+    rows = [(k, turn, role, text) for k, text in enumerate(texts) for turn, role in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(turns)
+    control = chat.chat_tokenizer(chat.tokenizer_path()).token_to_id("<|endoftext|>")
+    assert control is not None and done.where(F.array_contains("ids", control)).count() == 0
+    got = {r["conv_id"]: r for r in chat.digests(done).collect()}
+    for k, text in enumerate(texts):
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+        assert got[k]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
 def brute_spans(text):
     rules = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
