@@ -635,3 +635,56 @@ add("stream_closed_trips", ALL_TRIPS + """, ends AS (SELECT VIN, trip_local, cou
     standing_pings, CASE WHEN lead(start_us) OVER (PARTITION BY VIN ORDER BY trip_local) - end_us <= 1800000000
       THEN 'move' ELSE 'gap' END AS closed_by FROM ends""")
 add("stream_dedupe", PINGS, "SELECT VIN, event_seq FROM pings")
+
+
+def geohash(precision: int) -> str:
+    """Geohash of the position by the bits of its two step numbers."""
+    lat_bits, lon_bits = 5 * precision // 2, (5 * precision + 1) // 2
+    lat = f"least(floor((Latitude + 90.0) / 180.0 * {1 << lat_bits}.0)::BIGINT, {(1 << lat_bits) - 1})"
+    lon = f"least(floor((Longitude + 180.0) / 360.0 * {1 << lon_bits}.0)::BIGINT, {(1 << lon_bits) - 1})"
+    letters = []
+    for at in range(0, 5 * precision, 5):
+        bits = [
+            f"(({lon if b % 2 == 0 else lat} >> {(lon_bits if b % 2 == 0 else lat_bits) - 1 - b // 2}) & 1) * {1 << (at + 4 - b)}"
+            for b in range(at, at + 5)
+        ]
+        letters.append(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', ({' + '.join(bits)} + 1)::BIGINT, 1)")
+    return " || ".join(letters)
+
+
+add("trip_point_lookup_indexed", TRIPS,
+    f"""SELECT {PING_OUT}, trip_local FROM trips
+        WHERE (VIN, trip_local) = (SELECT (VIN, trip_local) FROM trips ORDER BY VIN, trip_local LIMIT 1)""")
+add("cell_density", PINGS, " UNION ALL ".join(
+    f"""SELECT {level}::INT AS level, {geohash(level)} AS cell, count(*) AS pings, {r('sum(coalesce(Speed, 0.0))')} AS speed_sum,
+    {r('avg((coalesce(Speed, 0.0) < 2)::INT)')} AS standing_share FROM pings GROUP BY 2""" for level in range(1, 6)))
+SQL["density_clusters"] = f"""WITH RECURSIVE {PINGS},
+places AS (SELECT Longitude AS x, Latitude AS y, count(*) AS w, min(event_seq) AS first_id FROM pings GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT a.first_id AS a, b.first_id AS b, b.w AS w FROM places a JOIN places b
+    ON b.x BETWEEN a.x - 0.02 AND a.x + 0.02
+    AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.015::DOUBLE * 0.015::DOUBLE),
+core AS MATERIALIZED (SELECT a FROM near GROUP BY a HAVING sum(w) >= 10),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+named AS (SELECT a, min(b) AS cluster_id FROM reached GROUP BY a),
+border AS (SELECT near.a, min(cluster_id) AS cluster_id FROM near JOIN named ON near.b = named.a GROUP BY near.a)
+SELECT event_seq, coalesce(named.cluster_id, border.cluster_id) AS cluster_id, named.a IS NOT NULL AS is_core
+FROM pings JOIN places ON Longitude = x AND Latitude = y LEFT JOIN named ON named.a = first_id LEFT JOIN border ON border.a = first_id"""
+add("speed_backoff", PINGS + """, seen AS (SELECT Device_Type, VIN, count(Speed) AS n, sum(Speed) AS t FROM pings
+    WHERE Speed IS NOT NULL GROUP BY 1, 2),
+fleet AS (SELECT sum(n)::BIGINT AS n, sum(t) / sum(n) AS e FROM seen),
+device AS (SELECT Device_Type, sum(n)::BIGINT AS n, (sum(t) + 20.0::DOUBLE * (SELECT e FROM fleet)) / (sum(n) + 20.0::DOUBLE) AS e FROM seen GROUP BY 1)""",
+    f"""SELECT 0::INT AS level, Device_Type, VIN, seen.n AS n, {r('(t + 20.0::DOUBLE * e) / (seen.n + 20.0::DOUBLE)')} AS estimate
+    FROM seen JOIN device USING (Device_Type)
+    UNION ALL SELECT 1::INT, Device_Type, NULL, n, {r('e')} FROM device UNION ALL SELECT 2::INT, NULL, NULL, n, {r('e')} FROM fleet""")
+add("silent_spells", PINGS + """, steps AS (SELECT VIN, event_seq, lag(event_seq) OVER v AS last_seq,
+    (epoch_us(Timestamp) - lag(epoch_us(Timestamp)) OVER v) / 1e6::DOUBLE AS silent_s FROM pings
+    WINDOW v AS (PARTITION BY VIN ORDER BY Timestamp, event_seq))""",
+    f"SELECT VIN, last_seq, event_seq AS next_seq, {r('silent_s')} AS silent_s FROM steps WHERE silent_s > 300")
+add("fleet_counts_sketched", TRIPS, """SELECT count(*) AS rows, count(*) AS exact_rows, count(DISTINCT VIN) AS exact_vehicles,
+    count(DISTINCT (VIN, trip_local)) AS exact_trips, true AS vehicles_near, true AS trips_near FROM trips""")
+add("run_ledger", PREDICTIONS, " UNION ALL ".join(
+    f"""SELECT 'load_state=' || load_state AS slice, '{k}' AS metric, {r(v.format(p='p50'))} AS before, {r(v.format(p='p90'))} AS after,
+    {r(f"({v.format(p='p90')}) - ({v.format(p='p50')})")} AS change,
+    {r(f"CASE WHEN ({v.format(p='p50')}) <> 0 THEN (({v.format(p='p90')}) - ({v.format(p='p50')})) / abs({v.format(p='p50')}) * 100 END")} AS change_pct
+    FROM predictions GROUP BY load_state""" for k, v in METRIC.items()))

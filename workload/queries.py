@@ -13,8 +13,11 @@ from haulcast.functions import eta, text
 from haulcast.functions.geo import haversine_km
 from haulcast.operators import (
     audit,
+    backoff,
     calibrate,
+    cells,
     changepoint,
+    clusters,
     extras,
     features,
     loadstate,
@@ -22,15 +25,16 @@ from haulcast.operators import (
     models,
     motion,
     quantiles,
+    sketches,
 )
 from haulcast.operators.models import trip_split
 from haulcast.operators.routes import join_destinations, route_asof, route_refreshes
 from haulcast.operators.trips import keep_long_trips, segment_trips, trip_label
-from haulcast.plans import scoring, training
+from haulcast.plans import ledger, scoring, training
 from haulcast.plans.segment import numbered_trips
 from haulcast.schema import MIN_TRIP_PINGS
 from haulcast.session import configure, cut_lineage
-from haulcast.sources import derived
+from haulcast.sources import derived, trip_index
 from haulcast.sources import pings as ping_source
 from haulcast.sources.events import event_pings
 from haulcast.sources.requests import parse_requests
@@ -179,6 +183,17 @@ def _(spark, sf_dir):
     return ping_columns(ping_source.trip_rows(table, first["VIN"], first["trip_local"]), "trip_local")
 
 
+@query("trip_point_lookup_indexed")
+def _(spark, sf_dir):
+    """The same pings, read from the files that the side index names for the trip."""
+    path, index = ping_source.scratch_path(spark, "trips"), ping_source.scratch_path(spark, "trip-index")
+    ping_source.write_trips(kept_trips(spark, sf_dir), path)
+    trip_index.write_trip_index(spark, path, index)
+    first = ping_source.trip_list(ping_source.read_trips(spark, path)).first()
+    found = trip_index.indexed_trip_rows(spark, path, index, first["VIN"], first["trip_local"])
+    return ping_columns(found, "trip_local")
+
+
 @query("trip_list")
 def _(spark, sf_dir):
     return ping_source.trip_list(kept_trips(spark, sf_dir))
@@ -1073,6 +1088,59 @@ def _(spark, sf_dir):
     return rounded(extras.grid_density(event_pings(spark, sf_dir), 0.25))
 
 
+@query("cell_density")
+def _(spark, sf_dir):
+    """Densities per geohash of one to five characters; speeds as sums, which have no rounding ties."""
+    found = cells.cell_density(event_pings(spark, sf_dir))
+    return rounded(found.withColumn("speed_sum", F.col("mean_speed") * F.col("pings")).drop("mean_speed"))
+
+
+@query("density_clusters")
+def _(spark, sf_dir):
+    """Density clusters of all pings, in degrees."""
+    p = event_pings(spark, sf_dir)
+    points = p.select(F.col("event_seq").alias("id"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y"))
+    return clusters.density_clusters(points, 0.015, 10).withColumnRenamed("id", "event_seq")
+
+
+# --- histories ----------------------------------------------------------------------------
+
+
+@query("speed_backoff")
+def _(spark, sf_dir):
+    """Mean speed of each vehicle, drawn towards its device type's and the fleet's."""
+    return rounded(backoff.backoff_table(event_pings(spark, sf_dir), "Speed"))
+
+
+@query("silent_spells")
+def _(spark, sf_dir):
+    """Spells of more than five minutes without a ping."""
+    return rounded(backoff.silent_spells(event_pings(spark, sf_dir)))
+
+
+@query("fleet_counts_sketched")
+def _(spark, sf_dir):
+    """Distinct counts from the daily sketches, beside the exact ones."""
+    path = ping_source.scratch_path(spark, "fleet-days")
+    rows = kept_trips(spark, sf_dir)
+    sketches.write_daily(sketches.daily_sketches(rows), path)
+    exact = audit.fleet_counts(rows).withColumnsRenamed({"vehicles": "exact_vehicles", "trips": "exact_trips"})
+    both = sketches.distinct_between(spark, path).join(exact.withColumnRenamed("rows", "exact_rows"), F.lit(True))
+    near = lambda c: F.abs(F.col(c) - F.col(f"exact_{c}")) <= F.col(f"exact_{c}") * sketches.relative_error()
+    return both.select("rows", "exact_rows", "exact_vehicles", "exact_trips", *[near(c).alias(f"{c}_near") for c in ("vehicles", "trips")])
+
+
+@query("run_ledger")
+def _(spark, sf_dir):
+    """Two milestones' reports recorded, the first one twice, and compared."""
+    path = ping_source.scratch_path(spark, "runs")
+    rows = derived.predictions(spark, sf_dir).select("load_state", "y", "p50", "p90")
+    before, after = (metrics.evaluate(rows, p50=c, by=["load_state"]) for c in ("p50", "p90"))
+    for report, run in ((before, "m1"), (after, "m2"), (before, "m1")):
+        ledger.record_run(report, path, run, f"milestone {run}", ["load_state"])
+    return rounded(ledger.compare_runs(ledger.read_runs(spark, path), "m1", "m2"))
+
+
 # --- streams ------------------------------------------------------------------------------
 
 
