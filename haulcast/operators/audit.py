@@ -159,18 +159,33 @@ def weight_verdict(raw: DataFrame, missing_above: float = 10.0, spread_above: fl
     )
 
 
-def adjacent_duplicates(raw: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
+def _block_before(ends: DataFrame, group_blocks: int) -> DataFrame:
+    """``_carried``: the end of the block before each, wherever numbers were left out.
+
+    Blocks are worked in groups; across groups only one row per group is ordered, that is one for
+    ``group_blocks`` times the rows of a block.
+    """
+    grouped = ends.withColumn("_group", F.expr(f"_block div {int(group_blocks)}L"))
+    tails = grouped.groupBy("_group").agg(F.max_by("_end", "_block").alias("_tail"))
+    earlier = tails.select("_group", F.lag("_tail").over(Window.orderBy("_group")).alias("_earlier"))
+    inside = F.lag("_end").over(Window.partitionBy("_group").orderBy("_block"))
+    return grouped.withColumn("_inside", inside).join(earlier, "_group").select(
+        "_block", F.coalesce("_inside", "_earlier").alias("_carried")
+    )
+
+
+def adjacent_duplicates(raw: DataFrame, block_rows: int = 1_000_000, group_blocks: int = 4096) -> DataFrame:
     """Rows whose vehicle, time and position text equal the row just before them in file order.
 
     File order ignores vehicles, so the rows are cut into blocks of consecutive sequence numbers;
-    only each block's last row is looked at from outside (one row per block).
+    only each block's last row is looked at from outside (one row per block, in groups of blocks).
     """
     rows = raw.select(
         "event_seq", *[_text(raw, c).alias(c) for c in ("VIN", "Timestamp", "Latitude", "Longitude")]
     ).withColumn("_block", F.expr(f"event_seq div {int(block_rows)}L"))
     content = F.struct("VIN", "Timestamp", "Latitude", "Longitude")
     ends = rows.groupBy("_block").agg(F.max_by(content, "event_seq").alias("_end"))
-    carried = ends.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_carried"))
+    carried = _block_before(ends, group_blocks)
     before = F.lag(content).over(Window.partitionBy("_block").orderBy("event_seq"))
     return (
         attach(rows.withColumn("_before", before), carried, ["_block"])

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from haulcast.operators.audit import adjacent_duplicates
 from haulcast.operators.backoff import backoff_table, silent_spells, with_backoff
 from haulcast.operators.sketches import daily_sketches, distinct_between, relative_error, write_daily
 from haulcast.plans.ledger import compare_runs, history, read_runs, record_run
@@ -107,3 +108,14 @@ def test_lookup_opens_only_the_trips_files(spark):
     assert "trip_date" in found.columns
     assert indexed_trip_rows(spark, path, index, "v0", 2).count() == 0
     assert indexed_trip_rows(spark, path, index, "absent", 1).count() == 0
+
+
+def test_adjacent_duplicates_over_blocks_and_groups(spark):
+    """Repeats at the borders of blocks, of groups of blocks and over missing numbers."""
+    numbers = [n for n in range(200) if not 61 <= n < 117]
+    rows = [(n, f"v{n // 3}", "t", "1", "2") for n in numbers]
+    raw = spark.createDataFrame(rows, "event_seq long, VIN string, Timestamp string, Latitude string, Longitude string")
+    want = {b for a, b in zip(numbers, numbers[1:]) if a // 3 == b // 3}
+    for block, group in ((4, 3), (7, 1), (1000, 4096)):
+        got = {r["event_seq"] for r in adjacent_duplicates(raw, block, group).collect()}
+        assert got == want

@@ -500,7 +500,7 @@ def _(spark, sf_dir):
 
 @query("adjacent_duplicates")
 def _(spark, sf_dir):
-    found = audit.adjacent_duplicates(derived.disordered_raw_pings(spark, sf_dir), block_rows=1000)
+    found = audit.adjacent_duplicates(derived.disordered_raw_pings(spark, sf_dir))
     return found.select("event_seq", "VIN")
 
 
