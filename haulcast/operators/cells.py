@@ -71,13 +71,11 @@ def neighbours(cell: Column, precision: int) -> Column:
     """The up to eight cells around one, as a sorted array; longitudes wrap, the poles are borders."""
     lat_bits, lon_bits = axis_bits(precision)
     lat, lon = _axis_steps(cell, precision)
-    around = []
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            if dx or dy:
-                y, x = lat + dy, F.pmod(lon + dx, F.lit(1 << lon_bits).cast("long"))
-                around.append(F.when(y.between(0, (1 << lat_bits) - 1), _encode(y, x, precision)))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*around))))
+    last, width = F.lit((1 << lat_bits) - 1).cast("long"), F.lit(1 << lon_bits).cast("long")
+    offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
+    steps = F.array(*[F.struct((lat + dy).alias("y"), F.pmod(lon + dx, width).alias("x")) for dy, dx in offsets])
+    inside = F.filter(steps, lambda s: s["y"].between(0, last))
+    return F.array_sort(F.array_distinct(F.transform(inside, lambda s: _encode(s["y"], s["x"], precision))))
 
 
 def cell_density(pings: DataFrame, finest: int = 5, coarsest: int = 1) -> DataFrame:
