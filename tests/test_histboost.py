@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haulcast.operators import models
+from haulcast.operators import histboost, models
 from haulcast.operators.histboost import BoostSpec, HistBoost, best_split, compressed, train_boosts, weighted_quantile
 
 
@@ -119,3 +119,40 @@ def test_a_node_without_a_fine_split():
     g, h = np.zeros((2, 64)), np.zeros((2, 64))
     h[:, 3] = 100
     assert best_split(g, h, np.array([True, True])) is None
+
+
+def test_a_job_follows_its_own_nodes_only():
+    rng = np.random.default_rng(5)
+    bins, y = rng.integers(0, 64, (3, 500)).astype(np.uint8), rng.normal(size=500)
+    tree = histboost.Tree()
+    low, high = tree.split(0, 1, 30, 1.0)
+    left, right = tree.split(high, 2, 10, 1.0)
+    rows = np.flatnonzero(y > -1)
+    reached = {node: own.tolist() for node, own in histboost.node_rows(tree.packed(), bins, rows)}
+    at_high = bins[1, rows] > 30
+    expected = {low: ~at_high, left: at_high & (bins[2, rows] <= 10), right: at_high & (bins[2, rows] > 10)}
+    assert reached == {node: rows[mask].tolist() for node, mask in expected.items()}
+    assert [node for node, _ in histboost.node_rows(tree.packed(), bins, rows, [left])] == [left]
+    missing = np.array([[1.0], [np.nan], [np.nan]])
+    assert [n for n, own in histboost.node_rows(tree.packed(), missing, np.arange(1)) if len(own)] == [right]  # nothing known: right
+
+
+def test_rows_are_dealt_to_the_cluster_not_to_tasks_of_a_block():
+    assert [histboost.task_count(n, 12) for n in (0, 5000, 20_000, 350_000, 20_000_000)] == [1, 1, 3, 12, 12]
+    assert histboost.task_count(100_000_000, 12) == 48
+
+
+def test_a_job_does_not_repeat_the_trees_of_earlier_rounds(spark, monkeypatch):
+    """However many rounds lie between two writes, a task gets one round's trees to advance by."""
+    sizes = []
+    real = histboost.RDD.map
+
+    def seen(self, f, preservesPartitioning=False):
+        sizes.extend(len(d) for d in (f.__defaults__ or ()) if isinstance(d, list))
+        return real(self, f, preservesPartitioning)
+
+    monkeypatch.setattr(histboost.RDD, "map", seen)
+    df, _ = table(spark, n=300)
+    specs = [BoostSpec("a", columns=("a", "b"), rounds=13, step=0.5), BoostSpec("b", columns=("b",), rounds=13, step=0.5)]
+    train_boosts(df, None, specs)
+    assert sizes == [2] * 13
