@@ -103,10 +103,14 @@ def fingerprints(docs: DataFrame, primes=PRIMES, huge: int = HUGE) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """Chunk rows (keys, n, chunk) of the documents named by ``keys`` (doc_id, text_sha256, fingerprint)."""
+    """Chunk rows (keys, n, chunk) of the documents named by ``keys`` (doc_id, text_sha256, fingerprint).
+
+    Texts are shuffled only where their doc_id may be among the keys, at any size of the table.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, _ = split_by_keys(rows, keys, F.col("d"), F.col("doc_id"))
     rows = rows.withColumn("s", F.sha2("text", 256))
-    joined = rows.join(keys, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("text_sha256")))
+    joined = rows.join(keys.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("text_sha256")))
     piece = F.expr(f"transform(sequence(0, greatest(length(text) - 1, 0), {size}), i -> substring(text, i + 1, {size}))")
     return joined.select("doc_id", "text_sha256", *FP, F.posexplode(piece).alias("n", "chunk"))
 
@@ -122,7 +126,7 @@ def exact_groups(docs: DataFrame, primes=PRIMES, huge: int = HUGE, chunk: int =
     if differing.isEmpty():
         out = rows.join(groups, FP)
     else:
-        pieces = _chunks(docs, suspects.join(differing, FP, "left_semi"), chunk)
+        pieces = _chunks(docs, stage(suspects.join(differing, FP, "left_semi")), chunk)
         # a chunk is named by its smallest owner; a text by the names of its chunks
         owner = F.min(F.struct("doc_id", "text_sha256")).alias("owner")
         named = pieces.join(pieces.groupBy(*FP, "n", "chunk").agg(owner), [*FP, "n", "chunk"])

@@ -83,6 +83,19 @@ def test_exact_dedup_keeps_one_row_of_each_text(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_exact_dedup_moves_only_texts_that_may_have_copies(docs, monkeypatch):
+    passed, real = [], exact_dedup.split_by_keys
+
+    def seen(rows, *keys):
+        found = real(rows, *keys)
+        passed.append((found[0].count(), rows.count()))
+        return found
+
+    monkeypatch.setattr(exact_dedup, "split_by_keys", seen)
+    suspects = exact_dedup.exact_groups(docs).filter("group_size > 1").count()
+    assert passed and suspects <= passed[0][0] < passed[0][1]
+
+
 def test_fingerprints_compose():
     for prime, base in exact_dedup.PRIMES:
         whole = sum((b + 1) * pow(base, j, prime) for j, b in enumerate(b"abcdef")) % prime
