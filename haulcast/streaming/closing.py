@@ -27,13 +27,12 @@ WAITING = [f.split()[0] for f in WAITING_SCHEMA.split(", ")]
 CLOSED = [f.split()[0] for f in CLOSED_SCHEMA.split(", ")]
 
 
-def fold(ready: pd.DataFrame, running: dict | None, gap_us: int, stop_mph: float) -> pd.DataFrame:
-    """Trips of ``ready`` (sorted pings) as rows of the open-trip state, the running one continued.
+def fold(t: np.ndarray, mph: np.ndarray, running: dict | None, gap_us: int, stop_mph: float) -> list[dict]:
+    """Trips of sorted pings as rows of the open-trip state, the running one continued.
 
     ``starts`` tells what opened each trip: ``gap``, ``move`` or, for the running one and a vehicle's
-    first, nothing.
+    first, nothing. A vehicle has few pings in a step, so this works on arrays, not on tables.
     """
-    t, mph = ready["at_us"].to_numpy(), ready["mph"].to_numpy()
     before_t, before_mph = np.empty_like(t), np.empty_like(mph)
     before_t[1:], before_mph[1:] = t[:-1], mph[:-1]
     before_t[0] = t[0] if running is None else running["end_us"]
@@ -41,21 +40,22 @@ def fold(ready: pd.DataFrame, running: dict | None, gap_us: int, stop_mph: float
     gap = t - before_t > gap_us
     opens = gap | ((before_mph < stop_mph) & (mph >= stop_mph))
     number = np.cumsum(opens) + (1 if running is None else running["trip"])
-    pieces = pd.DataFrame(
-        {"trip": number, "at": t, "mph": mph, "standing": mph < stop_mph, "gap": gap, "opens": opens}
-    ).groupby("trip")
-    trips = pieces.agg(
-        pings=("at", "size"), start_us=("at", "first"), end_us=("at", "last"), last_mph=("mph", "last"),
-        top_mph=("mph", "max"), standing=("standing", "sum"), by_gap=("gap", "first"), by_any=("opens", "first"),
-    ).reset_index()
-    trips["starts"] = np.where(trips["by_gap"], "gap", np.where(trips["by_any"], "move", ""))
+    first = np.flatnonzero(np.diff(number, prepend=number[0] - 1))
+    last = np.append(first[1:], len(t)) - 1
+    columns = {
+        "trip": number[first], "pings": last - first + 1, "start_us": t[first], "end_us": t[last], "last_mph": mph[last],
+        "top_mph": np.maximum.reduceat(mph, first), "standing": np.add.reduceat((mph < stop_mph).astype(np.int64), first),
+        "starts": np.where(gap[first], "gap", np.where(opens[first], "move", "")),
+    }
+    trips = [dict(zip(columns, values)) for values in zip(*(c.tolist() for c in columns.values()))]
     if running is None or not running["is_open"]:
         return trips
-    if trips.at[0, "trip"] != running["trip"]:
-        return pd.concat([pd.DataFrame([{**running, "starts": ""}]), trips], ignore_index=True)
-    trips.loc[0, "start_us"] = running["start_us"]
-    trips.loc[0, "top_mph"] = max(trips.at[0, "top_mph"], running["top_mph"])
-    trips.loc[0, ["pings", "standing"]] += [running["pings"], running["standing"]]
+    if trips[0]["trip"] != running["trip"]:
+        return [{**running, "starts": ""}, *trips]
+    trips[0]["start_us"] = running["start_us"]
+    trips[0]["top_mph"] = max(trips[0]["top_mph"], running["top_mph"])
+    for name in ("pings", "standing"):
+        trips[0][name] += running[name]
     return trips
 
 
@@ -81,45 +81,41 @@ class ClosingTrips(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            batch = batch[WAITING]
-            self.waiting.appendList(list(batch.astype(object).itertuples(index=False, name=None)))
-            self._wake(int(batch["at_us"].min()))
+            at = batch["at_us"].tolist()
+            self.waiting.appendList(list(zip(at, batch["event_seq"].tolist(), batch["mph"].tolist())))
+            self._wake(min(at))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        running = dict(zip(OPEN, self.running.get())) if self.running.exists() else None
-        waiting = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=WAITING)
-        waiting = waiting.astype({"at_us": "int64", "event_seq": "int64", "mph": "float64"})
-        now = waiting["at_us"] <= passed
-        ready, later = waiting[now].sort_values(["at_us", "event_seq"], ignore_index=True), waiting[~now]
+        # every call to the state is a round trip to the JVM, so what is missing is read, not asked for first
+        running, waiting = self.running.get(), list(self.waiting.get())
+        running = None if running is None else dict(zip(OPEN, running))
+        ready = sorted((p for p in waiting if p[0] <= passed), key=lambda p: (p[0], p[1]))
         closed = []
-        if len(ready):
-            trips = fold(ready, running, self.gap_us, self.stop_mph)
-            done = trips.iloc[:-1].assign(closed_by=trips["starts"].shift(-1).iloc[:-1])
-            closed.append(done)
-            running = {**trips.iloc[-1].to_dict(), "is_open": True}
-            if len(later):
-                self.waiting.put(list(later.astype(object).itertuples(index=False, name=None)))
-                self._wake(int(later["at_us"].min()))
+        if ready:
+            at, mph = np.array([p[0] for p in ready], dtype=np.int64), np.array([p[2] for p in ready], dtype=np.float64)
+            trips = fold(at, mph, running, self.gap_us, self.stop_mph)
+            closed += [{**trip, "closed_by": after["starts"]} for trip, after in zip(trips, trips[1:])]
+            running = {**trips[-1], "is_open": True}
+            later = [tuple(p) for p in waiting if p[0] > passed]
+            if later:
+                self.waiting.put(later)
+                self._wake(min(p[0] for p in later))
             else:
                 self.waiting.clear()
         if running is not None and running["is_open"]:
             if passed >= running["end_us"] + self.gap_us:
-                closed.append(pd.DataFrame([{**running, "closed_by": "gap"}]))
+                closed.append({**running, "closed_by": "gap"})
                 running["is_open"] = False
             else:
                 self._wake(running["end_us"] + self.gap_us)
         if running is not None:
-            whole = ("trip", "pings", "start_us", "end_us", "standing")
-            running.update({n: int(running[n]) for n in whole}, is_open=bool(running["is_open"]))
             self.running.update(tuple(running[n] for n in OPEN))
-        closed = [part for part in closed if len(part)]
         if closed:
-            out = pd.concat(closed, ignore_index=True).assign(VIN=key[0])
-            out = out.rename(columns={"trip": "trip_local", "standing": "standing_pings"})
-            whole = ("trip_local", "pings", "start_us", "end_us", "standing_pings")
-            yield out[CLOSED].astype({**dict.fromkeys(whole, "int64"), "top_mph": "float64"})
+            named = {"trip_local": "trip", "standing_pings": "standing"}
+            out = {n: [trip[named.get(n, n)] for trip in closed] for n in CLOSED if n != "VIN"}
+            yield pd.DataFrame({"VIN": [key[0]] * len(closed), **out})
 
     def close(self) -> None:
         pass

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import asin, cos, radians, sin, sqrt
 from statistics import fmean, stdev
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,20 @@ STATE_SCHEMA = (
     "last_us long, last_seq long, trip long, pings long, start_us long, recent array<double>, "
     "top double, load int, changes long, smoothed double"
 )
+OUTPUT = [tuple(f.split()) for f in OUTPUT_SCHEMA.split(", ")]
+TAKEN = ("at_us", "event_seq", "mph", "Latitude", "Longitude", "dest_lat", "dest_lon")
+DTYPES = {"long": np.int64, "int": np.int32, "boolean": np.bool_, "double": np.float64, "string": object}
 DAY_MS = 86_400_000
 
 
+def _column(kind: str, values: tuple) -> np.ndarray:
+    """An output column of its own type; whole numbers that a late row lacks become floats with NaN."""
+    dtype = DTYPES[kind]
+    if kind in ("long", "int") and None in values:
+        dtype = np.float64
+    return np.array(values, dtype=dtype)
+
+
 def distance_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     """Great-circle distance of two points, for the row-wise stream state."""
     lat1, lon1, lat2, lon2 = map(radians, (lat1, lon1, lat2, lon2))
@@ -77,20 +89,20 @@ class TripState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
-        s = dict(zip(names, self.state.get())) if self.state.exists() else None
+        s = self.state.get()  # a call is a round trip to the JVM
+        s = None if s is None else dict(zip(names, s))
         if s is not None:
             s["recent"] = list(s["recent"])
-        batch = pd.concat(list(rows)).sort_values(["at_us", "event_seq"])
+        taken = [c for batch in rows for c in zip(*(batch[n].tolist() for n in TAKEN))]
+        taken.sort(key=lambda row: row[:2])
         out = []
-        for us, seq, speed, lat, lon, dlat, dlon in batch[
-            ["at_us", "event_seq", "mph", "Latitude", "Longitude", "dest_lat", "dest_lon"]
-        ].itertuples(index=False):
+        for us, seq, speed, *places in taken:
             if s is not None and (us, seq) < (s["last_us"], s["last_seq"]):
                 out.append((key[0], seq, us, True, *[None] * 10))
                 continue
             eta = None
-            if not pd.isna([lat, lon, dlat, dlon]).any():
-                eta = distance_km(lat, lon, dlat, dlon) / (max(speed, 1.0) * KM_PER_MILE) * 60.0
+            if all(x is not None and x == x for x in places):
+                eta = distance_km(*places) / (max(speed, 1.0) * KM_PER_MILE) * 60.0
             s = self._step(s, int(us), int(seq), float(speed), eta)
             recent = s["recent"]
             out.append((
@@ -99,8 +111,7 @@ class TripState(StatefulProcessor):
                 s["changes"], eta, s["smoothed"],
             ))
         self.state.update(tuple(s[n] for n in names))
-        columns = [f.split()[0] for f in OUTPUT_SCHEMA.split(", ")]
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame({name: _column(kind, values) for (name, kind), values in zip(OUTPUT, zip(*out))})
 
     def close(self) -> None:
         pass

@@ -5,11 +5,12 @@ import random
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from haulcast.operators.trips import segment_trips
-from haulcast.streaming import closing, replay
+from haulcast.streaming import closing, features, replay
 
 START = dt.datetime(2026, 4, 1, 8)
 SCHEMA = "VIN string, event_seq long, Timestamp timestamp, Speed double"
@@ -103,3 +104,69 @@ def test_the_rule_that_closed_a_trip(spark):
     got = spark.read.parquet(f"{folder}/out").where("VIN = 'a'").orderBy("trip_local")
     assert [(r["trip_local"], r["pings"], r["closed_by"]) for r in got.collect()] == [
         (1, 1, "move"), (2, 1, "gap"), (3, 2, "gap"), (4, 1, "gap")]
+
+
+class State:
+    """Value and list state of one vehicle, held here."""
+
+    def __init__(self):
+        self.held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def appendList(self, values):
+        self.held = [*(self.held or []), *values]
+
+    def clear(self):
+        self.held = None
+
+    def getValueState(self, *_, **__):
+        return State()
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 7_200_000
+
+
+@pytest.mark.parametrize("kind", ["closing", "features"])
+def test_a_vehicle_of_a_step_builds_one_table_at_most(kind, monkeypatch):
+    """Steps have many vehicles of few pings, so tables built per vehicle are most of their time."""
+    minutes = [0, 1, 2, 50, 51, 52, 119, 130]
+    batch = pd.DataFrame({"at_us": [m * 60_000_000 for m in minutes], "event_seq": range(8), "mph": [5.0, 0.0, 9.0, 9.0, 1.0, 0.0, 7.0, 8.0]})
+    batch = batch.assign(Latitude=40.0, Longitude=[-70.0, None, *[-70.5] * 6], dest_lat=41.0, dest_lon=-71.0).sample(frac=1, random_state=2)
+    built, real = [], pd.DataFrame.__init__
+    processor = closing.ClosingTrips(30 * 60_000_000, 2.0) if kind == "closing" else features.TripState()
+    processor.init(State())
+    parts = [batch.iloc[:5], batch.iloc[5:]]
+
+    def counted(self, *args, **kwargs):
+        built.append(1)
+        real(self, *args, **kwargs)
+
+    monkeypatch.setattr(pd.DataFrame, "__init__", counted)
+    if kind == "closing":
+        assert list(processor.handleInputRows(("v",), iter(parts), None)) == []
+        read, built[:] = len(built), []
+        (out,) = processor.handleExpiredTimer(("v",), State(), None)
+    else:
+        (out,) = processor.handleInputRows(("v",), iter(parts), None)
+        read = 0
+    made = len(built)
+    monkeypatch.undo()
+    if kind == "closing":
+        assert out["pings"].tolist() == [2, 1, 3] and out["closed_by"].tolist() == ["move", "gap", "gap"]
+        assert processor.waiting.get() == [(130 * 60_000_000, 7, 8.0)] and processor.running.get()[:2] == (4, 1)
+    else:
+        assert out["event_seq"].tolist() == list(range(8)) and out["trip_local"].tolist() == [1, 1, 2, 3, 3, 3, 4, 4]
+        assert out["eta_min"].isna().tolist() == [k == 1 for k in range(8)] and not out["late"].any()
+    assert read == 0 and made <= 1
