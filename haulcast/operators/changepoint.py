@@ -162,22 +162,30 @@ def binseg_positions(
 def _stream(method: str, penalty: float, min_size: int, splits: int | None):
     """Batch function: sorted (VIN, trip_local, _sp) rows to change-point rows."""
 
-    def rows(key, positions: list[int]) -> pd.DataFrame:
+    def table(found: list[tuple]) -> pd.DataFrame:
+        """Change points of several trips [(vehicle, trip, positions)] as one table: trips are many and short."""
+        size = [len(positions) for _, _, positions in found]
         return pd.DataFrame(
-            {"VIN": key[0], "trip_local": key[1], "position": np.asarray(positions, dtype=np.int64)}
+            {
+                "VIN": np.repeat(np.array([vin for vin, _, _ in found], dtype=object), size),
+                "trip_local": np.repeat(np.array([trip for _, trip, _ in found]), size),
+                "position": np.concatenate([np.asarray(positions, dtype=np.int64) for _, _, positions in found]),
+            }
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, search, held = None, None, []
 
-        def close():
+        def close() -> list[int]:
             if key is None:
-                return None
+                return []
             if method == "pelt":
-                return rows(key, search.finish()) if search.n >= CHANGE_MIN_PINGS else None
+                return search.finish() if search.n >= CHANGE_MIN_PINGS else []
+            if sum(map(len, held)) < CHANGE_MIN_PINGS:
+                return []
             speeds = np.concatenate(held)
             wanted = len(pelt_positions(speeds)) if splits is None else splits
-            return rows(key, binseg_positions(speeds, wanted, min_size))
+            return binseg_positions(speeds, wanted, min_size)
 
         for batch in batches:
             vin, trip, sp = (batch[c].to_numpy() for c in ("VIN", "trip_local", "_sp"))
@@ -189,20 +197,20 @@ def _stream(method: str, penalty: float, min_size: int, splits: int | None):
                     continue
                 here = (vin[lo], trip[lo])
                 if here != key:
-                    out.append(close())
-                    key, search, held = here, PrunedSearch(penalty, min_size), []
+                    out.append((*(key or here), close()))
+                    key, search, held = here, PrunedSearch(penalty, min_size) if method == "pelt" else None, []
                 if method == "pelt":
                     search.push(sp[lo:hi])
                 else:
                     held.append(sp[lo:hi])
             if method == "pelt" and key is not None and search.n >= CHANGE_MIN_PINGS:
-                out.append(rows(key, search.settled()))
-            out = [o for o in out if o is not None and len(o)]
+                out.append((*key, search.settled()))
+            out = [o for o in out if o[2]]
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield table(out)
         last = close()
-        if last is not None and len(last):
-            yield last
+        if last:
+            yield table([(*key, last)])
 
     return run
 

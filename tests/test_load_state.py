@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from haulcast.operators import changepoint, loadstate
@@ -120,3 +121,31 @@ def test_smoothing_over_many_blocks(spark, alpha):
         s = alpha * v + (1 - alpha) * s if want else v
         want.append(s)
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("method", changepoint.METHODS)
+def test_a_batch_of_many_trips_gives_one_table(method):
+    """Trips are short, so a table for each of them would be most of the time."""
+    signals = [FOUR, [5.0, 6.0], TWO, FOUR]
+    rows = pd.DataFrame([("v", k, x) for k, signal in enumerate(signals) for x in signal], columns=["VIN", "trip_local", "_sp"])
+    run = changepoint._stream(method, changepoint.CHANGE_PENALTY, changepoint.CHANGE_MIN_SIZE, None)
+    positions = pelt_positions if method == "pelt" else binseg_positions
+    want = [("v", k, p) for k, signal in enumerate(signals) for p in positions(np.array(signal))]
+    for cut in (len(rows), 11):
+        tables = list(run(iter([rows.iloc[:cut], rows.iloc[cut:]])))
+        assert sorted(map(tuple, pd.concat(tables).to_numpy().tolist())) == want
+        assert len(tables) <= 3
+    built = []
+
+    class Counted(pd.DataFrame):
+        def __init__(self, *args, **kwargs):
+            built.append(1)
+            super().__init__(*args, **kwargs)
+
+    frames = changepoint.pd.DataFrame
+    try:
+        changepoint.pd.DataFrame = Counted
+        list(run(iter([rows])))
+    finally:
+        changepoint.pd.DataFrame = frames
+    assert len(built) <= 2  # the batch's and the last trip's
