@@ -8,8 +8,9 @@
    both. Documents whose prefix holds unshared n-grams only are done.
 3. Equal sets are one class; one representative of each goes on.
 4. Representatives meet on prefix n-grams, of which those of equal lists count once. Length,
-   positional and suffix filters (a 32-part profile of both sets bounds their intersection) apply
-   inside the meeting join; a pair is then kept once and verified once on the whole sets.
+   positional and suffix filters apply inside the meeting join: a 32-part profile of both sets bounds
+   their intersection, and 256 parities bound their difference, which tells texts apart that have a
+   passage in common. A pair is then kept once and verified once on the whole sets.
 5. Lists of n-grams with many members do not emit all pairs: what links is one component, and pairs
    inside a component need no test. In the first rounds each member meets one hub, which links
    groups of near copies; such rounds go on while the lists would still take more comparisons than a
@@ -38,6 +39,7 @@ CHUNK_BITS = 20  # chunks are numbered by task and place; with 15 bits for the d
 BUCKET_GRAMS = 1 << 21  # n-grams that a task counts at once, about
 GRAM_BYTES = 6  # of text, at least, that an n-gram stands for on average
 PROFILE = 32
+WORDS = 4  # of 64 parities each
 LINKING_ROUNDS = 2  # rounds, at least, in which a member meets one hub, before lists are compared exhaustively
 MOST_LINKING = 4  # and at most
 OPEN_PAIRS = 2  # comparisons per list entry above which another such round comes first
@@ -150,7 +152,7 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_exchange_batch(out)])
 
 
-SETS = "row long, doc_id long, n long, sig_a long, sig_b long, alone long, profile array<int>, keys array<long>"
+SETS = "row long, doc_id long, n long, sig_a long, sig_b long, alone long, profile array<int>, keys array<long>, " + ", ".join(f"odd_{k} long" for k in range(WORDS))
 
 
 def gram_keys(bucket: int, low: np.ndarray, buckets: int) -> np.ndarray:
@@ -159,6 +161,21 @@ def gram_keys(bucket: int, low: np.ndarray, buckets: int) -> np.ndarray:
     return (low & np.uint64((1 << room) - 1) | np.uint64(bucket << room)).view(np.int64)
 
 
+def parities(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per word and set: bits that tell of which parts the set has an odd number; ``keys`` lie set by set.
+
+    Two sets differ in at least as many n-grams as bits. The profile's bits of a key take no part.
+    """
+    part = keys >> np.int64(PROFILE.bit_length() - 1) & np.int64(64 * WORDS - 1)
+    bit = np.uint64(1) << (part & 63).astype(np.uint64)
+    out, filled = np.zeros((WORDS, len(sizes)), dtype=np.uint64), np.flatnonzero(sizes)
+    if len(filled):
+        first = (np.cumsum(sizes) - sizes)[filled]
+        for k in range(WORDS):
+            out[k, filled] = np.bitwise_xor.reduceat(np.where(part >> 6 == k, bit, np.uint64(0)), first)
+    return out.view(np.int64)
+
+
 def _regroup(num: int, den: int, buckets: int):
     """One chunk: its documents, with shared n-grams in rare-first order where their prefix has any."""
 
@@ -181,7 +198,8 @@ def _regroup(num: int, den: int, buckets: int):
         order = np.lexsort((keys, freq, docs))
         docs, keys = docs[order], keys[order]
         profile = np.bincount(docs * PROFILE + keys % PROFILE, minlength=len(ids) * PROFILE).reshape(-1, PROFILE)
-        ends = np.cumsum(np.bincount(docs, minlength=len(ids)))
+        sizes = np.bincount(docs, minlength=len(ids))
+        ends, odd = np.cumsum(sizes), parities(keys, sizes)
         valid = ids != NO_ID
         lists = [keys[e - s : e] if w else None for e, s, w in zip(ends, np.where(wanted, shared, 0), wanted)]
         return pa.table(
@@ -194,6 +212,7 @@ def _regroup(num: int, den: int, buckets: int):
                 "alone": n - shared,
                 "profile": pa.array([p if w else None for p, w in zip(profile.astype(np.int32), wanted)], type=pa.list_(pa.int32())),
                 "keys": pa.array(lists, type=pa.list_(pa.int64())),
+                **{f"odd_{k}": odd[k] for k in range(WORDS)},
             }
         )
 
@@ -230,8 +249,10 @@ def _meetings(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataF
     needed = num * (F.col("n") + F.col("hub_n"))
     most = F.least("pos", "hub_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) - 1
     met = met.filter((num + den) * most >= needed)
-    # the suffix filter stands in the join too, so pairs that it rules out are never written
-    both = F.aggregate(F.zip_with("profile", "hub_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    # the suffix filters stand in the join too, so pairs that they rule out are never written
+    differ = sum((F.bit_count(F.col(f"profile.odd_{k}").bitwiseXOR(F.col(f"hub_profile.odd_{k}"))) for k in range(WORDS)), F.lit(0))
+    met = met.filter((num + den) * (F.col("profile.shared") + F.col("hub_profile.shared") - differ) >= 2 * needed)
+    both = F.aggregate(F.zip_with("profile.parts", "hub_profile.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return met.filter((num + den) * both >= needed).select("row", "hub", "c", "hub_c")
 
 
@@ -253,7 +274,8 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     members = stage(sets.select("row", "doc_id", *same).join(classes, same, "left").select("row", "doc_id", "n", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "row").alias("rep")))
     candidates = stage(sets.filter("keys is not null").join(members.filter("row = rep").select("row"), "row", "left_semi").drop("doc_id", "sig_a", "sig_b"))
     prefix = F.expr(f"slice(keys, 1, cast(n - ceil({num} * n / {den}) + 1 - alone as int))")
-    postings = candidates.select("row", "n", "alone", "profile", F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"), "profile")
+    profile = F.struct(F.col("profile").alias("parts"), F.size("keys").alias("shared"), *[f"odd_{k}" for k in range(WORDS)]).alias("profile")
+    postings = candidates.select("row", "n", "alone", profile, F.posexplode(prefix).alias("at", "h")).select("row", "n", "h", (F.col("at") + F.col("alone")).alias("pos"), "profile")
     postings = stage(postings.join(_distinct_lists(postings), "h"))
     current, used, merged, failed = postings.withColumn("c", F.col("row")), None, [], None
     few, slots, turn, entries = 256, 64, 0, postings.count()

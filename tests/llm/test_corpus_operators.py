@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -132,6 +133,38 @@ def test_ngram_join_links_a_group_of_many_near_copies(spark):
     assert got == roots(links, list(sets))
 
 
+def test_ngram_join_rules_out_texts_with_common_passages_before_they_are_written(spark, monkeypatch):
+    """Texts of four passages each, three of them in common with some others, are no candidates."""
+    written = []
+    real = ngram_join._meetings
+
+    def counted(*args):
+        out = real(*args)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    pieces = [" ".join(f"p{i}x{k}" for k in range(40)) for i in range(7)]
+    texts = [" ".join(pieces[i] for i in four) for four in itertools.combinations(range(7), 4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(rows, 3, 80, 100).collect()}
+    assert got == {k: k for k in range(len(texts))}
+    assert sum(written) == 0
+
+
+def test_ngram_join_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(2**62), 2**62, 300)
+    sets = [np.sort(rng.choice(keys, n, replace=False)) for n in (0, 1, 40, 0, 200, 300, 0)]
+    odd = ngram_join.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = sum(int(x).bit_count() for x in (odd[:, i] ^ odd[:, j]).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b)) and (i != j or bits == 0)
+    assert sum(int(x).bit_count() for x in odd[:, 1].view(np.uint64)) == 1
+    assert ngram_join.parities(np.zeros(0, np.int64), np.zeros(3, np.int64)).tolist() == [[0] * 3] * ngram_join.WORDS
+
+
 def test_ngram_join_without_ids_or_rows(spark, empty):
     rows = [(None, "a b c d"), (None, "a b c d"), (1, "a b c d")]
     got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
