@@ -115,6 +115,41 @@ def test_sketches_keep_ranks():
     assert weighted_quantile(*compressed(np.array([3.0, 1.0, 2.0]), np.ones(3)), 0.5) == 2.0
 
 
+def test_leaf_quantiles_of_many_tasks():
+    """Ranked residuals of all tasks are put together once; the driver keeps every point, also of tasks of unlike size."""
+    rng = np.random.default_rng(4)
+    block = lambda x: (np.zeros((1, len(x)), np.uint8), x, np.zeros(len(x), bool), np.zeros((0, len(x))), np.zeros((1, len(x))))
+    leaf = {0: histboost.Tree().packed()}
+    for sizes in ((3000, 700, 40_000, 1, 90), (5, 1, 30)):
+        parts = [rng.exponential(size=n) + (n > 10_000) for n in sizes]
+        sketches = [next(histboost._residuals(leaf, [0])([block(x)]))[0, 0] for x in parts]
+        assert [n for _, n in sketches] == list(sizes) and max(len(value) for value, _ in sketches) <= 1024
+        for x, (value, _) in zip(parts, sketches):
+            assert np.array_equal(value, compressed(x, np.ones(len(x)))[0])
+        every = np.sort(np.concatenate(parts))
+        two = histboost._merged({(0, 0): sketches[0]}, {(0, 0): sketches[1]})[0, 0]
+        assert two[1] == sizes[0] + sizes[1]
+        for q in (0.1, 0.5, 0.9):
+            got = histboost.leaf_quantile(sketches, q)
+            assert abs((every <= got).mean() - q) <= 0.001 or got == weighted_quantile(every, np.ones(len(every)), q)
+            assert histboost.leaf_quantile([two, *sketches[2:]], q) == pytest.approx(got, rel=0.02)
+    whole = next(histboost._residuals(leaf, [0])([block(x) for x in parts]))[0, 0]  # blocks of one task
+    assert np.array_equal(whole[0], every) and whole[1] == len(every)
+
+
+def test_a_round_adds_one_stage_for_the_leaf_values(spark):
+    """Few tasks: the sketches reach the driver in one job of one stage, as the sums do."""
+    df, _ = table(spark)
+    tracker, group = spark.sparkContext.statusTracker(), "leaf-values"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        train_boosts(df.repartition(8), None, [BoostSpec("p90", 0.9, columns=("a", "b", "c"), rounds=3, step=0.3)], block_rows=200)
+        stages = [len(tracker.getJobInfo(j).stageIds) for j in sorted(tracker.getJobIdsForGroup(group))]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(stages[-5:]) == {1}
+
+
 def test_a_node_without_a_fine_split():
     g, h = np.zeros((2, 64)), np.zeros((2, 64))
     h[:, 3] = 100
