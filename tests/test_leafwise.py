@@ -135,3 +135,35 @@ def test_exact_quantiles_of_unlike_tasks(spark, alpha):
             stepwise = histboost.joined([stepwise, w], alpha)
         assert stepwise.below + len(stepwise.values) + stepwise.above == len(every)
         assert stepwise.quantile(alpha) in (None, exact(every, alpha))
+
+
+def test_no_core_waits_for_the_last_tasks():
+    assert [histboost.task_count(n, 6) for n in (12_000_000, 17_000_000, 30_000_000)] == [6, 12, 18]
+
+
+def test_masks_find_the_rows_of_a_node():
+    rng = np.random.default_rng(8)
+    bins, tree = rng.integers(0, 255, (2, 700)).astype(np.uint8), histboost.Tree()
+    low, high = tree.split(0, 0, 100, 1.0)
+    tree.split(high, 1, 30, 1.0)
+    tree.split(low, 1, 200, 1.0)
+    packed, fit = tree.packed(), rng.random(700) < 0.7
+    for wanted in (None, [high], [low, 4]):
+        rows = {node: own.tolist() for node, own in histboost.node_rows(packed, bins, np.flatnonzero(fit), wanted)}
+        assert {node: np.flatnonzero(own).tolist() for node, own in histboost.node_masks(packed, bins, fit, wanted)} == rows
+    numbers = histboost.leaf_numbers(packed, bins)
+    assert all(set(numbers[own]) == {node} for node, own in histboost.node_rows(packed, bins, np.arange(700)))
+
+
+@pytest.mark.parametrize("alpha", [None, 0.1, 0.9])
+def test_root_sums_of_a_later_round_need_no_counts(alpha):
+    """The counts are those of the first round; of a quantile model only the rarer side is counted."""
+    rng = np.random.default_rng(9)
+    bins, y, held = rng.integers(0, 9, (2, 900)).astype(np.uint8), rng.normal(size=900), rng.random(900) < 0.2
+    blocks = [(bins, y, held, np.zeros((0, 900)), np.full((1, 900), 0.3))]
+    run = lambda known: next(histboost._summer([BoostSpec("m", alpha)], [], [[0, 1]], 9, {0: histboost.Tree().packed()}, {0: [0]}, known, [])(blocks))
+    first, second = run([]), run([0])
+    kind = int(alpha is None)
+    above, every = first[kind].reshape(2, 2, 9)
+    assert every.sum() == 2 * (~held).sum()
+    assert np.allclose(second[kind].reshape(2, 9), every - above if alpha == 0.1 else above)
